@@ -298,8 +298,27 @@ def load_base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_STORED: dict[tuple[int, str, str], str] = {}
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The derivation as a Spark DataFrame (lazy; scans stay prunable)."""
+    """The derivation as a stored parquet relation, like the event logs and
+    metadata tables it stands in for: derived once per session into the
+    checkpoint folder and read back, so operator scans see plain columns
+    (pushdown, pruning, file statistics) rather than the derivation."""
+    from ..session import checkpoint_dir
+    key = (id(spark._jsparkSession), sf_dir.rstrip("/"), name)
+    path = _STORED.get(key)
+    if path is None:
+        import uuid
+        path = f"{checkpoint_dir(spark).rstrip('/')}/fixture-{name}-{uuid.uuid4().hex}"
+        derive(spark, sf_dir, name).write.mode("overwrite").parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(path)
+
+
+def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The derivation as a lazy Spark DataFrame over the base tables."""
     deps, _ = _SQL[name]
     if name == "columns":
         deps = _SQL["tables"][0]
