@@ -179,7 +179,8 @@ def _depth_reach(edges: DataFrame, node: str, direction: str, depth: int | None)
     """Nodes within ``depth`` table hops of ``node`` in one direction, entity
     nodes transparent (a step into an entity costs 0, out of it 1 when the
     landing node is a table). Exact minimum table-hop distance: an entity
-    is always followed within the same round."""
+    is always followed within the same round; a table at the depth limit is
+    not expanded at all."""
     spark = edges.sparkSession
     if direction == "up":
         adj = edges.select(F.col("target").alias("node"), F.col("source").alias("nbr"))
@@ -217,18 +218,6 @@ def _depth_reach(edges: DataFrame, node: str, direction: str, depth: int | None)
         layers.append(nxt)
         frontier = nxt
         visited = materialize(visited.unionByName(nxt).distinct(), "focusV")
-    if frontier is not None:
-        # entities reachable at zero cost from the last table layer
-        closure, ents = frontier, frontier
-        while True:
-            e_next = (ents.join(to_entity, "node").select(F.col("nbr").alias("node")).distinct()
-                      .join(closure, "node", "left_anti"))
-            e_next = materialize(e_next, "focusE")
-            if e_next.isEmpty():
-                break
-            closure = closure.unionByName(e_next)
-            layers.append(e_next)
-            ents = e_next
     return reduce(DataFrame.unionByName, layers).distinct()
 
 

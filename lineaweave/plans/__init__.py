@@ -1,7 +1,7 @@
 """Registered query plans: each pairs a Spark query (library operators over
 the fixture relations) with an independent DuckDB oracle SQL."""
 
-from . import lineage_queries  # noqa: F401  (registers queries)
+from . import graph_queries, lineage_queries  # noqa: F401  (register queries)
 from .common import REGISTRY
 
 __all__ = ["REGISTRY"]
