@@ -151,8 +151,12 @@ def attach_columns(nodes: DataFrame, columns_meta: DataFrame, type_col: str = "d
                    skip_types: tuple[str, ...] = ("VOLUME", "PATH")) -> DataFrame:
     """Left-join ordered column arrays onto table nodes keyed by the
     full (catalog, schema, table) id — never the bare name. Volume and path
-    nodes get none."""
-    cols = column_arrays(columns_meta, type_col)
+    nodes get none. Column metadata is semi-joined to the graph's ids
+    before it is grouped, so only the graph's tables are aggregated."""
+    wanted = nodes.select("id").distinct()
+    meta = (columns_meta.withColumn("_id", F.concat_ws(".", "table_catalog", "table_schema", "table_name"))
+            .join(wanted.select(F.col("id").alias("_id")), "_id", "left_semi").drop("_id"))
+    cols = column_arrays(meta, type_col)
     joined = nodes.join(cols, "id", "left")
     keep = (F.col("node_type") == "table") & ~F.coalesce(F.col("table_type").isin(*skip_types), F.lit(False))
     empty = F.array().cast("array<struct<name:string,type:string,nullable:boolean>>")
@@ -244,18 +248,20 @@ def build_scope_graph(ev_all: DataFrame, tables_meta: DataFrame, catalog: str, s
             raise ValueError(f"catalog {catalog!r} has {n} tables, over the {max_tables}-table limit")
     scope_ids = meta.select(F.concat_ws(".", "table_catalog", "table_schema", "table_name").alias("id")).distinct()
 
+    from ..session import materialize
     rows_in = normalize_rows(ev_all.filter(P.scope_predicate(catalog, schema)))
     loc_s = scope_ids.select(F.col("id").alias("src"), F.lit(True).alias("src_local"))
     loc_t = scope_ids.select(F.col("id").alias("tgt"), F.lit(True).alias("tgt_local"))
-    flagged = (rows_in.join(loc_s, "src", "left").join(loc_t, "tgt", "left")
-               .withColumn("src_local", F.coalesce("src_local", F.lit(False)))
-               .withColumn("tgt_local", F.coalesce("tgt_local", F.lit(False))))
+    flagged = materialize(rows_in.join(loc_s, "src", "left").join(loc_t, "tgt", "left")
+                          .withColumn("src_local", F.coalesce("src_local", F.lit(False)))
+                          .withColumn("tgt_local", F.coalesce("tgt_local", F.lit(False))), "scope-rows")
+    rows_in = flagged
 
     # Entities touching a local table; C7: all their rows, any scope.
     keep = (flagged.filter(F.col("ekey").isNotNull() & (F.col("src_local") | F.col("tgt_local")))
             .select("entity_type", "entity_id").distinct())
     erows = normalize_rows(ev_all.join(keep, ["entity_type", "entity_id"], "left_semi"))
-    erows = entity_rows(erows)
+    erows = materialize(entity_rows(erows), "scope-erows")
 
     # Direct rows with at least one local side.
     drows = flagged.filter(F.col("ekey").isNull() & (F.col("src_local") | F.col("tgt_local")))

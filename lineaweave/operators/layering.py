@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..session import materialize
+from ..session import LoopState, materialize
 from . import graph as G
 from .traverse import reach
 
@@ -44,23 +44,30 @@ def split_orphans(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
 
 def _peel(remaining: DataFrame, edges: DataFrame, base: DataFrame | None, start: int, tag: str):
     """Kahn peeling of ``remaining(id)`` over ``edges(source, target)``.
-    Returns (layers(id, layer), leftover(id)). With ``base(id, layer)`` a
-    peeled node's layer is max(round, base) — used after condensation."""
-    out = []
+    Returns (layers(id, round), leftover(id))."""
+    st = LoopState()
     rem = materialize(remaining.select("id").distinct(), f"{tag}-rem")
-    e = edges
+    out = []
     rnd = start
     while True:
-        live = e.join(rem.select(F.col("id").alias("source")), "source", "left_semi")
+        live = edges.join(rem.select(F.col("id").alias("source")), "source", "left_semi")
         blocked = live.select(F.col("target").alias("id")).distinct()
-        ready = rem.join(blocked, "id", "left_anti")
-        ready = materialize(ready, f"{tag}-r{rnd}")
-        if ready.isEmpty():
+        ready, n = st.step(rem.join(blocked, "id", "left_anti").withColumn("round", F.lit(rnd)), f"{tag}-r")
+        if n == 0:
             break
-        out.append(ready.withColumn("round", F.lit(rnd)))
-        rem = materialize(rem.join(ready, "id", "left_anti"), f"{tag}-rem{rnd}")
+        out.append(ready)
+        rem = rem.join(ready.select("id"), "id", "left_anti")
         rnd += 1
-    layers = reduce(DataFrame.unionByName, out) if out else None
+        if st.due():
+            rem = materialize(rem, f"{tag}-rem")
+            out = [materialize(reduce(DataFrame.unionByName, out), f"{tag}-out")]
+            st.release()
+        else:
+            rem = rem.persist()
+            st.held.append(rem)
+    layers = materialize(reduce(DataFrame.unionByName, out), f"{tag}-layers") if out else None
+    rem = materialize(rem, f"{tag}-left")
+    st.release()
     return layers, rem
 
 
@@ -68,28 +75,53 @@ def strongly_connected(ids: DataFrame, edges: DataFrame) -> DataFrame:
     """SCC id (smallest member id) of every node in ``ids`` over ``edges``
     restricted to ``ids``: colour = min id reaching the node (forward
     propagation to a fixpoint); a component is the colour root plus the
-    same-colour nodes that reach it. Repeats on what is left."""
+    same-colour nodes that reach it. Each pass first trims nodes with no
+    in- or out-edge left (singleton components), so only cycle cores are
+    coloured. Repeats on what is left."""
     spark = ids.sparkSession
     rem = materialize(ids.select("id").distinct(), "scc-rem")
     parts = []
     it = 0
     while not rem.isEmpty():
         it += 1
+        # trim: a node with no in-edge or no out-edge inside the remaining
+        # set is a component of its own; chains hanging off cycles go in bulk
+        while True:
+            e = (edges.join(rem.select(F.col("id").alias("source")), "source", "left_semi")
+                 .join(rem.select(F.col("id").alias("target")), "target", "left_semi"))
+            outs = e.select(F.col("source").alias("id")).distinct()
+            ins = e.select(F.col("target").alias("id")).distinct()
+            trivial = rem.join(outs, "id", "left_anti").unionByName(rem.join(ins, "id", "left_anti")).distinct()
+            trivial = materialize(trivial.select("id", F.col("id").alias("comp")), f"scc-trim{it}")
+            if trivial.isEmpty():
+                break
+            parts.append(trivial)
+            rem = materialize(rem.join(trivial.select("id"), "id", "left_anti"), f"scc-trem{it}")
+        if rem.isEmpty():
+            break
         e = (edges.join(rem.select(F.col("id").alias("source")), "source", "left_semi")
              .join(rem.select(F.col("id").alias("target")), "target", "left_semi"))
         e = materialize(e, f"scc-e{it}")
         col = materialize(rem.select("id", F.col("id").alias("c")), f"scc-c{it}")
-        k = 0
+        st = LoopState()
         while True:
-            k += 1
             prop = e.join(col.select(F.col("id").alias("source"), "c"), "source").select(
                 F.col("target").alias("id"), "c")
-            new = col.unionByName(prop).groupBy("id").agg(F.min("c").alias("c"))
-            new = materialize(new, f"scc-c{it}-{k}")
-            changed = new.join(col.select("id", F.col("c").alias("old")), "id").filter(F.col("c") != F.col("old"))
-            col = new
-            if changed.isEmpty():
+            new = (col.unionByName(prop).groupBy("id").agg(F.min("c").alias("c"))
+                   .join(col.select("id", F.col("c").alias("old")), "id")
+                   .withColumn("changed", F.col("c") != F.col("old")).drop("old"))
+            new = new.persist()
+            st.held.append(new)
+            # one job materialises the round and counts the changed labels
+            n_changed = new.agg(F.count(F.when(F.col("changed"), 1))).first()[0]
+            st.round += 1
+            if st.due():
+                new = materialize(new, f"scc-c{it}")
+                st.release()
+            col = new.drop("changed")
+            if n_changed == 0:
                 break
+        col = st.cut(col, f"scc-col{it}")
         same = (e.join(col.select(F.col("id").alias("source"), F.col("c").alias("cs")), "source")
                 .join(col.select(F.col("id").alias("target"), F.col("c").alias("ct")), "target")
                 .filter(F.col("cs") == F.col("ct"))
@@ -107,6 +139,7 @@ def strongly_connected(ids: DataFrame, edges: DataFrame) -> DataFrame:
 def layer_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, layer) for connected nodes, (id, NULL) for orphans, plus
     an ``orphan`` flag. Longest path from sources; cycles condensed."""
+    nodes = materialize(nodes.select("id").distinct(), "layer-ids")
     e = materialize(_clean_edges(nodes, edges), "layer-edges")
     connected, orphans = split_orphans(nodes, e)
     layers, left = _peel(connected, e, None, 0, "peel")
@@ -142,16 +175,12 @@ def _longest_with_base(comps: DataFrame, ce: DataFrame, base: DataFrame) -> Data
     """Longest-path layer on a DAG where node c may not start before
     ``base(c)``: layer(c) = max(base(c), max(layer(p) + 1)). Kahn rounds;
     each ready node's layer uses its finished predecessors."""
+    st = LoopState()
     rem = materialize(comps, "lwb-rem")
     done = None
-    rnd = 0
     while True:
-        rnd += 1
         live = ce.join(rem.select(F.col("id").alias("source")), "source", "left_semi")
         ready = rem.join(live.select(F.col("target").alias("id")).distinct(), "id", "left_anti")
-        ready = materialize(ready, f"lwb-ready{rnd}")
-        if ready.isEmpty():
-            break
         b = ready.join(base.select(F.col("comp").alias("id"), "base"), "id", "left")
         if done is not None:
             pred = (ce.join(ready.select(F.col("id").alias("target")), "target", "left_semi")
@@ -160,11 +189,20 @@ def _longest_with_base(comps: DataFrame, ce: DataFrame, base: DataFrame) -> Data
             b = b.join(pred, "id", "left")
         else:
             b = b.withColumn("pl", F.lit(None).cast("int"))
-        step = b.select(F.col("id").alias("comp"),
-                        F.greatest(F.coalesce("base", F.lit(0)), F.coalesce("pl", F.lit(0))).alias("layer"))
-        done = materialize(step if done is None else done.unionByName(step), f"lwb-done{rnd}")
-        rem = materialize(rem.join(ready, "id", "left_anti"), f"lwb-rem{rnd}")
-    return done
+        step, n = st.step(b.select(F.col("id").alias("comp"),
+                                   F.greatest(F.coalesce("base", F.lit(0)), F.coalesce("pl", F.lit(0))).alias("layer")),
+                          "lwb-step")
+        if n == 0:
+            break
+        done = step if done is None else done.unionByName(step)
+        rem = rem.join(step.select(F.col("comp").alias("id")), "id", "left_anti")
+        if st.due():
+            done = materialize(done, "lwb-done")
+            rem = materialize(rem, "lwb-rem")
+            st.release()
+    out = materialize(done, "lwb-out") if done is not None else None
+    st.release()
+    return out
 
 
 def schema_of(node_id: F.Column) -> F.Column:

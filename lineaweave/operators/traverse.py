@@ -18,45 +18,66 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import graph as G
 
-# Compact the visited set into one materialised frame every N hops so the
-# anti-join plan stays small on long chains.
-_COMPACT_EVERY = 8
+# Every hop's frontier is persisted and counted (one job: the count is also
+# the emptiness probe); every _CUT_EVERY hops the visited set is
+# checkpointed, which bounds both the plan and the replay after a lost
+# executor.
+_CUT_EVERY = 4
 
 
-def reach(adj: DataFrame, seeds: DataFrame, max_hops: int | None = None,
-          hop_weight: DataFrame | None = None) -> DataFrame:
+def reach(adj: DataFrame, seeds: DataFrame, max_hops: int | None = None, keys: tuple[str, ...] = ("seed",),
+          route: tuple[str, ...] = ()) -> DataFrame:
     """Breadth-first reach.
 
-    ``adj(node, nbr)`` distinct directed pairs; ``seeds(seed, node)``.
-    Returns ``(seed, node, hop)`` with the minimum hop count of every node
-    reachable from each seed (seed itself at hop 0), up to ``max_hops``.
-    Terminates on cycles (visited anti-join) and when a hop adds nothing."""
-    adj = adj.select("node", "nbr")
-    frontier = materialize(seeds.select("seed", "node").distinct(), "seed")
+    ``adj(*route, node, nbr)`` distinct directed pairs; ``seeds(*keys,
+    node)`` start nodes. Returns ``(*keys, node, hop)`` with the minimum
+    hop count of every node reachable from each key (hop 0 = the seed),
+    up to ``max_hops``. ``route`` columns (a subset of ``keys``) select the
+    adjacency a key walks on, so e.g. up- and down-walks of many seeds run
+    in one loop. Terminates on cycles (visited anti-join) and when a hop
+    adds nothing."""
+    keys = tuple(keys)
+    adj = adj.select(*route, "node", "nbr")
+    frontier = materialize(seeds.select(*keys, "node").distinct(), "seed")
     layers = [frontier.withColumn("hop", F.lit(0))]
     visited = frontier
+    live: list[DataFrame] = []
     hop = 0
     while max_hops is None or hop < max_hops:
         hop += 1
-        nxt = (frontier.join(adj, "node").select("seed", F.col("nbr").alias("node")).distinct()
-               .join(visited, ["seed", "node"], "left_anti"))
-        nxt = materialize(nxt, f"hop{hop}")
-        if nxt.isEmpty():
+        nxt = (frontier.join(adj, [*route, "node"]).select(*keys, F.col("nbr").alias("node")).distinct()
+               .join(visited, [*keys, "node"], "left_anti"))
+        if hop % _CUT_EVERY == 0:
+            nxt = materialize(nxt, f"hop{hop}")
+            n = nxt.count()
+        else:
+            nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
+            live.append(nxt)
+            n = nxt.count()
+        if n == 0:
             break
         layers.append(nxt.withColumn("hop", F.lit(hop)))
         frontier = nxt
-        if hop % _COMPACT_EVERY == 0:
-            visited = materialize(reduce(DataFrame.unionByName, [l.select("seed", "node") for l in layers]),
+        if hop % _CUT_EVERY == 0:
+            visited = materialize(reduce(DataFrame.unionByName, [l.select(*keys, "node") for l in layers]),
                                   f"visited{hop}")
+            layers = [materialize(reduce(DataFrame.unionByName, layers), f"layers{hop}")]
+            for d in live:
+                d.unpersist()
+            live = []
         else:
             visited = visited.unionByName(nxt)
-    return reduce(DataFrame.unionByName, layers)
+    out = materialize(reduce(DataFrame.unionByName, layers), "reach")
+    for d in live:
+        d.unpersist()
+    return out
 
 
 def seeds_frame(spark: SparkSession, seeds: list[str] | DataFrame) -> DataFrame:
@@ -84,15 +105,16 @@ def trace_many(ev: DataFrame, seeds: list[str] | DataFrame, max_hops: int | None
                directions: tuple[str, ...] = ("up", "down")) -> DataFrame:
     """(seed, node, direction, hop) for every seed's ancestors
     ('up') and descendants ('down'), each direction with its own visited
-    set (true ancestors and descendants, also on cyclic graphs)."""
+    set (true ancestors and descendants, also on cyclic graphs). Both
+    directions of every seed advance in the same loop."""
     spark = ev.sparkSession
     sf = seeds_frame(spark, seeds)
-    out = []
-    for d in directions:
-        adj = lineage_adjacency(ev, d).persist()
-        r = reach(adj, sf, max_hops)
-        out.append(r.withColumn("direction", F.lit(d)))
-    return reduce(DataFrame.unionByName, out).select("seed", "node", "direction", "hop")
+    adj = reduce(DataFrame.unionByName, [lineage_adjacency(ev, d).withColumn("direction", F.lit(d))
+                                         for d in directions])
+    adj = adj.repartition("node").persist(StorageLevel.MEMORY_AND_DISK)
+    start = reduce(DataFrame.unionByName, [sf.withColumn("direction", F.lit(d)) for d in directions])
+    r = reach(adj, start, max_hops, keys=("direction", "seed"), route=("direction",))
+    return r.select("seed", "node", "direction", "hop")
 
 
 def trace(ev: DataFrame, seed: str, direction: str, max_hops: int | None = 16) -> DataFrame:
@@ -134,9 +156,9 @@ def trace_graph(ev: DataFrame, seed: str, max_hops: int | None = 16, columns_met
     """D3: full cone of one seed as a graph — up and down walks, the rows
     they reach deduplicated (E8), nodes, read-after-write routed edges,
     degree status, optional columns/cost, and a one-row meta frame."""
-    reached = trace_many(ev, [seed], max_hops)
+    reached = materialize(trace_many(ev, [seed], max_hops), "reached")
     rows, meta = trace_rows(ev, reached, max_hops)
-    rows = G.normalize_rows(G.dedupe_rows(rows))
+    rows = materialize(G.normalize_rows(G.dedupe_rows(rows)), "trace-rows")
     g = G.build_trace_graph(rows, columns_meta, cost)
     g.meta = meta.withColumn("lineage_window_days", F.lit(window_days).cast("int"))
     return g

@@ -175,7 +175,8 @@ _FULL_CTES = [EV, ("r", C.norm_rows_sql("ev")),
 
 def full_graph(spark, sf) -> G.Graph:
     """The whole windowed log as one graph (trace builder over every row)."""
-    rows = G.normalize_rows(G.dedupe_rows(C.lineage(spark, sf)))
+    from ..session import materialize
+    rows = materialize(G.normalize_rows(G.dedupe_rows(C.lineage(spark, sf))), "log-rows")
     return G.build_trace_graph(rows)
 
 

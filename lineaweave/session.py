@@ -58,12 +58,57 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
-    """Write ``df`` as parquet under the checkpoint folder and read it back.
+    """Cut the lineage of loop state with a reliable, eager checkpoint into
+    the shared folder named by ``spark.checkpoint.dir``.
 
-    Cuts the lineage of loop state (so plans do not grow per hop and a lost
-    executor never forces a replay of earlier hops) and gives the optimizer
-    real file sizes, so a small frontier is broadcast by the size check of
-    ``spark.sql.autoBroadcastJoinThreshold`` rather than by a blind hint."""
+    Plans no longer grow per hop, a lost executor never replays earlier
+    hops (the checkpoint files outlive it), and the checkpointed relation
+    keeps its size statistics and partitioning, so a small frontier is
+    broadcast by the size check of ``spark.sql.autoBroadcastJoinThreshold``
+    rather than by a blind hint."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+class LoopState:
+    """Per-round state of an iterative operator.
+
+    ``step`` persists the round's frame and counts it (one job; the count is
+    the loop's emptiness probe). Every ``every`` rounds the frame is
+    checkpointed instead and the rounds held in memory are released, which
+    bounds the plan and the work replayed after a lost executor."""
+
+    def __init__(self, every: int = 4):
+        self.every, self.round, self.held = every, 0, []
+
+    def step(self, df: DataFrame, tag: str = "round", cut: bool | None = None) -> tuple[DataFrame, int]:
+        from pyspark import StorageLevel
+        self.round += 1
+        if cut if cut is not None else self.round % self.every == 0:
+            out = materialize(df, tag)
+        else:
+            out = df.persist(StorageLevel.MEMORY_AND_DISK)
+            self.held.append(out)
+        return out, out.count()
+
+    def cut(self, df: DataFrame, tag: str = "cut") -> DataFrame:
+        """Checkpoint a frame built from held rounds, then release them."""
+        out = materialize(df, tag)
+        self.release()
+        return out
+
+    def due(self) -> bool:
+        return self.round % self.every == 0
+
+    def release(self) -> None:
+        for d in self.held:
+            d.unpersist()
+        self.held = []
+
+
+def write_table(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` as parquet under the checkpoint folder and read it back
+    (a stored relation with file statistics and pushdown)."""
     spark = df.sparkSession
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/lw-{tag}-{uuid.uuid4().hex}"
