@@ -307,10 +307,19 @@ def build_scope_graph(ev_all: DataFrame, tables_meta: DataFrame, catalog: str, s
     return Graph(classify(nodes, edges), edges)
 
 
-def table_edges(ev: DataFrame, catalog: str | None = None, schema: str | None = None) -> DataFrame:
+def capped(df: DataFrame, limit: int | None) -> DataFrame:
+    """T4: an optional row cap made deterministic by a total order over
+    every column (a bounded top-k, TakeOrderedAndProject)."""
+    if limit is None:
+        return df
+    return df.orderBy(*[F.col(c).asc_nulls_first() for c in df.columns]).limit(limit)
+
+
+def table_edges(ev: DataFrame, catalog: str | None = None, schema: str | None = None,
+                limit: int | None = None) -> DataFrame:
     """E5: distinct recorded (source, target, entity_type, entity_id) table
     pairs, both sides present, no self pairs; optional catalog/schema scope
-    on either side's table."""
+    on either side's table and optional deterministic cap (T4)."""
     df = ev.filter(F.col("source_table_full_name").isNotNull() & F.col("target_table_full_name").isNotNull()
                    & (F.col("source_table_full_name") != F.col("target_table_full_name")))
     if catalog is not None:
@@ -319,14 +328,16 @@ def table_edges(ev: DataFrame, catalog: str | None = None, schema: str | None =
         else:
             df = df.filter(((F.col("target_table_catalog") == catalog) & (F.col("target_table_schema") == schema))
                            | ((F.col("source_table_catalog") == catalog) & (F.col("source_table_schema") == schema)))
-    return df.select(F.col("source_table_full_name").alias("source"),
-                     F.col("target_table_full_name").alias("target"),
-                     "entity_type", "entity_id").distinct()
+    return capped(df.select(F.col("source_table_full_name").alias("source"),
+                            F.col("target_table_full_name").alias("target"),
+                            "entity_type", "entity_id").distinct(), limit)
 
 
-def column_edges(cl: DataFrame, catalog: str | None = None, schema: str | None = None) -> DataFrame:
+def column_edges(cl: DataFrame, catalog: str | None = None, schema: str | None = None,
+                 limit: int | None = None) -> DataFrame:
     """Distinct column edges with both tables and columns present and
-    different tables; optional schema scope on either side."""
+    different tables; optional schema scope on either side and optional
+    deterministic cap (T4)."""
     df = cl.filter(F.col("source_table_full_name").isNotNull() & F.col("target_table_full_name").isNotNull()
                    & (F.col("source_table_full_name") != F.col("target_table_full_name"))
                    & F.col("source_column_name").isNotNull() & F.col("target_column_name").isNotNull())
@@ -336,10 +347,10 @@ def column_edges(cl: DataFrame, catalog: str | None = None, schema: str | None =
         else:
             df = df.filter(((F.col("target_table_catalog") == catalog) & (F.col("target_table_schema") == schema))
                            | ((F.col("source_table_catalog") == catalog) & (F.col("source_table_schema") == schema)))
-    return df.select(F.col("source_table_full_name").alias("source_table"),
-                     F.col("source_column_name").alias("source_column"),
-                     F.col("target_table_full_name").alias("target_table"),
-                     F.col("target_column_name").alias("target_column")).distinct()
+    return capped(df.select(F.col("source_table_full_name").alias("source_table"),
+                            F.col("source_column_name").alias("source_column"),
+                            F.col("target_table_full_name").alias("target_table"),
+                            F.col("target_column_name").alias("target_column")).distinct(), limit)
 
 
 def column_edges_of(edges: DataFrame, table: str, column: str) -> DataFrame:

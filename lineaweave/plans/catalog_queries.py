@@ -13,11 +13,13 @@ from . import common as C
 from .common import register
 from .lineage_queries import _FULL_CTES, full_graph
 
+_SKIP_CATS = ", ".join(f"'{c}'" for c in S.SKIP_CATALOGS)
+
 TL = ("table_lineage",)
 
 _INV = f"""SELECT table_name AS name, table_catalog || '.' || table_schema || '.' || table_name AS fqdn,
        table_catalog AS catalog, table_schema AS schema, coalesce(table_type, 'TABLE') AS table_type
-FROM tables WHERE table_catalog NOT IN ('system', '__databricks_internal')
+FROM tables WHERE table_catalog NOT IN ({_SKIP_CATS})
   AND table_schema NOT IN ('information_schema', 'default')
   AND NOT regexp_matches(table_name, '{P.INTERNAL_TABLE_RE}')"""
 
@@ -41,16 +43,16 @@ def q_list_columns(spark, sf):
     return S.list_columns(C.fx(spark, sf, "columns"), "main.silver.t7")
 
 
-@register("list_catalogs", C.oracle(("tables",), [], """
-SELECT DISTINCT table_catalog AS catalog FROM tables WHERE table_catalog NOT IN ('system', '__databricks_internal')"""))
+@register("list_catalogs", C.oracle(("tables",), [], f"""
+SELECT DISTINCT table_catalog AS catalog FROM tables WHERE table_catalog NOT IN ({_SKIP_CATS})"""))
 def q_list_catalogs(spark, sf):
     """A5: catalogs."""
     return S.list_catalogs(C.fx(spark, sf, "tables"))
 
 
-@register("list_schemas", C.oracle(("tables",), [], """
+@register("list_schemas", C.oracle(("tables",), [], f"""
 SELECT DISTINCT table_catalog AS catalog, table_schema AS schema FROM tables
-WHERE table_schema NOT IN ('information_schema', 'default') AND table_catalog NOT IN ('system', '__databricks_internal')"""))
+WHERE table_schema NOT IN ('information_schema', 'default') AND table_catalog NOT IN ({_SKIP_CATS})"""))
 def q_list_schemas(spark, sf):
     """A5: schemas per catalog."""
     return S.list_schemas(C.fx(spark, sf, "tables"))

@@ -107,6 +107,17 @@ def q_table_edges_catalog(spark, sf):
     return G.table_edges(C.lineage(spark, sf), C.CATALOG_SCOPE)
 
 
+@register("table_edges_capped", C.oracle(TL, [EV], """
+SELECT * FROM (SELECT DISTINCT source_table_full_name AS source, target_table_full_name AS target, entity_type, entity_id
+  FROM ev WHERE source_table_full_name IS NOT NULL AND target_table_full_name IS NOT NULL
+    AND source_table_full_name <> target_table_full_name) x
+ORDER BY source NULLS FIRST, target NULLS FIRST, entity_type NULLS FIRST, entity_id NULLS FIRST LIMIT 1000"""))
+def q_table_edges_capped(spark, sf):
+    """The recorded-pairs scan with a cap made deterministic by a
+    total order (cap 1,000 so it binds at every scale)."""
+    return G.table_edges(C.lineage(spark, sf), limit=1000)
+
+
 _CE = f"""SELECT DISTINCT source_table_full_name AS source_table, source_column_name AS source_column,
        target_table_full_name AS target_table, target_column_name AS target_column
 FROM column_lineage WHERE event_time > {C.ts_bound()}

@@ -236,7 +236,7 @@ FROM {region}
 
 _SQL["recipients"] = (("customer",), """
 SELECT recipient_name,
-       CASE WHEN length(recipient_name) % 2 = 0 THEN 'TOKEN' ELSE 'DATABRICKS' END AS authentication_type,
+       CASE WHEN length(recipient_name) % 2 = 0 THEN 'TOKEN' ELSE 'OAUTH' END AS authentication_type,
        'owner' || CAST(length(recipient_name) % 3 AS STRING) AS recipient_owner,
        CAST(NULL AS STRING) AS comment
 FROM (SELECT DISTINCT c_mktsegment AS recipient_name FROM {customer}) r
