@@ -152,7 +152,8 @@ def layer_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
               .filter(F.col("cs") != F.col("ct"))
               .select(F.col("cs").alias("source"), F.col("ct").alias("target")).distinct())
         ce = materialize(ce, "layer-ce")
-        comps = comp.select(F.col("comp").alias("id")).distinct()
+        comp = materialize(comp, "layer-comp")
+        comps = materialize(comp.select(F.col("comp").alias("id")).distinct(), "layer-comps")
         # earliest start of each component: after every already-layered predecessor
         if done:
             lay = done[0]
@@ -161,7 +162,7 @@ def layer_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                     .groupBy("comp").agg((F.max("layer") + 1).alias("base")))
         else:
             base = comps.select(F.col("id").alias("comp"), F.lit(0).alias("base")).limit(0)
-        clayer = _longest_with_base(comps, ce, base)
+        clayer = _longest_with_base(comps, ce, materialize(base, "layer-base"))
         done.append(comp.join(clayer, "comp").select("id", "layer"))
     lay = reduce(DataFrame.unionByName, done) if done else None
     ids = nodes.select("id").distinct()

@@ -323,8 +323,9 @@ def _trace_graph(spark, sf) -> G.Graph:
                                   recursive=True))
 def q_trace_nodes(spark, sf):
     """D3: nodes of the seed's full cone with columns, degrees, status."""
-    g = _trace_graph(spark, sf)
-    return _node_out(g.nodes).join(g.nodes.select("id", F.size("columns").alias("n_columns")), "id")
+    nodes = _trace_graph(spark, sf).nodes
+    return nodes.select(*[F.col(c).cast("string").alias(c) if c == "last_run" else F.col(c) for c in _NODE_OUT],
+                        F.size("columns").alias("n_columns"))
 
 
 @register("trace_edges", C.oracle(TL + ("columns",), _TRACE_CTES, "SELECT source, target FROM edges",
