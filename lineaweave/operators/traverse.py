@@ -164,13 +164,18 @@ def trace_graph(ev: DataFrame, seed: str, max_hops: int | None = 16, columns_met
     return g
 
 
-def graph_reach(edges: DataFrame, seeds: DataFrame, direction: str, max_hops: int | None = None) -> DataFrame:
-    """Reach over a graph's own edge set (tables and entities alike)."""
-    if direction == "up":
-        adj = edges.select(F.col("target").alias("node"), F.col("source").alias("nbr"))
-    else:
-        adj = edges.select(F.col("source").alias("node"), F.col("target").alias("nbr"))
-    return reach(adj.distinct().persist(), seeds, max_hops)
+def graph_reach(edges: DataFrame, seeds: DataFrame, directions: tuple[str, ...] = ("up", "down"),
+                max_hops: int | None = None) -> DataFrame:
+    """Reach over a graph's own edge set (tables and entities alike), all
+    requested directions in one loop: (direction, seed, node, hop)."""
+    parts = []
+    for d in directions:
+        a, b = ("target", "source") if d == "up" else ("source", "target")
+        parts.append(edges.select(F.lit(d).alias("direction"), F.col(a).alias("node"), F.col(b).alias("nbr")))
+    adj = reduce(DataFrame.unionByName, parts).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    start = reduce(DataFrame.unionByName, [seeds.select(F.lit(d).alias("direction"), "seed", "node")
+                                           for d in directions])
+    return reach(adj, start, max_hops, keys=("direction", "seed"), route=("direction",))
 
 
 def induced_edges(edges: DataFrame, node_set: DataFrame) -> DataFrame:
@@ -191,9 +196,7 @@ def highlight(g: G.Graph, node: str) -> tuple[DataFrame, DataFrame]:
                .unionByName(g.edges.filter(F.col("source") == node).select(F.col("target").alias("id"))))
         ids = one.unionByName(spark.createDataFrame([(node,)], "id string")).distinct()
     else:
-        up = graph_reach(g.edges, seeds, "up")
-        down = graph_reach(g.edges, seeds, "down")
-        ids = up.select(F.col("node").alias("id")).unionByName(down.select(F.col("node").alias("id"))).distinct()
+        ids = graph_reach(g.edges, seeds).select(F.col("node").alias("id")).distinct()
     return ids, induced_edges(g.edges, ids)
 
 
@@ -275,17 +278,11 @@ def trace_column(col_edges: DataFrame, table: str, column: str,
                              _col_key(F.col("target_table"), F.col("target_column")).alias("tkey"))
     seed_key = f"{table}.{column.lower()}"
     seeds = spark.createDataFrame([(seed_key, seed_key)], "seed string, node string")
-    out = []
-    for d in directions:
-        if d == "up":
-            adj = keyed.select(F.col("tkey").alias("node"), F.col("skey").alias("nbr")).distinct()
-            r = reach(adj.persist(), seeds).select(F.col("node").alias("tkey"))
-            out.append(keyed.join(r, "tkey", "left_semi"))
-        else:
-            adj = keyed.select(F.col("skey").alias("node"), F.col("tkey").alias("nbr")).distinct()
-            r = reach(adj.persist(), seeds).select(F.col("node").alias("skey"))
-            out.append(keyed.join(r, "skey", "left_semi"))
-    res = reduce(DataFrame.unionByName, out)
+    key_edges = keyed.select(F.col("skey").alias("source"), F.col("tkey").alias("target"))
+    r = graph_reach(key_edges, seeds, directions)
+    up = r.filter(F.col("direction") == "up").select(F.col("node").alias("tkey"))
+    down = r.filter(F.col("direction") == "down").select(F.col("node").alias("skey"))
+    res = keyed.join(up, "tkey", "left_semi").unionByName(keyed.join(down, "skey", "left_semi"))
     return res.select("source_table", "source_column", "target_table", "target_column").distinct()
 
 
