@@ -18,9 +18,10 @@ derived relations current:
 * ST4 ``stream_orders_daily``: the demo pipeline — CSV landing ingest (A9)
   to the daily orders roll-up (E14) in ``complete`` mode.
 
-Every sink is a versioned parquet folder under the checkpoint directory;
-streams use their own checkpoint locations there, so a restarted query
-resumes where it stopped. ``run_available`` drives a query with
+Sinks are append-only parquet folders under the checkpoint directory,
+tagged with the micro-batch epoch, and streams keep their checkpoint
+locations there: no state lives in the driver, a restarted query resumes
+where it stopped, and a replayed batch cannot change the result. ``run_available`` drives a query with
 ``trigger(availableNow=True)``."""
 
 from __future__ import annotations
@@ -40,23 +41,39 @@ def _base(spark: SparkSession, tag: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/stream-{tag}-{uuid.uuid4().hex}"
 
 
-class VersionedTable:
-    """A parquet table replaced version by version (``v00000001`` ...):
-    a reader always sees the last complete version; writers never overwrite
-    the folder they read from."""
+class LogTable:
+    """An append-only parquet folder written from ``foreachBatch``.
+
+    Nothing is kept in the driver: every write is an append tagged with the
+    micro-batch epoch, so a batch replayed after a failure (foreachBatch is
+    at-least-once) writes the same rows again under the same epoch and
+    readers resolve them deterministically."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema, self.version = spark, path.rstrip("/"), schema, 0
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+
+    def read_all(self) -> DataFrame:
+        """Every appended row with its ``_epoch``; empty before the first write."""
+        try:
+            return self.spark.read.schema(f"{self.schema}, _epoch long").parquet(self.path)
+        except Exception:  # folder not created yet
+            return self.spark.createDataFrame([], f"{self.schema}, _epoch long")
+
+    def append(self, df: DataFrame, epoch: int) -> None:
+        df.withColumn("_epoch", F.lit(epoch).cast("long")).write.mode("append").parquet(self.path)
 
-    def read(self) -> DataFrame:
-        if self.version == 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.parquet(f"{self.path}/v{self.version:08d}")
+    def latest_by_key(self, keys: list[str]) -> DataFrame:
+        """Upsert view: per key, the row of the newest epoch."""
+        rows = self.read_all()
+        vals = [c for c in rows.columns if c not in keys and c != "_epoch"]
+        agg = [F.max_by(F.col(c), F.col("_epoch")).alias(c) for c in vals]
+        return rows.groupBy(*keys).agg(*agg)
 
-    def write(self, df: DataFrame) -> None:
-        nxt = self.version + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v{nxt:08d}")
-        self.version = nxt
+    def latest_epoch(self) -> DataFrame:
+        """Complete-mode view: the rows of the newest epoch."""
+        rows = self.read_all()
+        last = rows.agg(F.max("_epoch").alias("_epoch"))
+        return rows.join(last, "_epoch", "left_semi").drop("_epoch")
 
 
 def run_available(query_writer, name: str):
@@ -79,20 +96,20 @@ def stream_edges(events: DataFrame, watermark: str | None = None) -> DataFrame:
     """ST1: maintain the distinct 6-key lineage rows; returns the sink."""
     spark = events.sparkSession
     base = _base(spark, "edges")
-    sink = VersionedTable(spark, f"{base}/table", ", ".join(f"{c} string" for c in EDGE_KEY))
+    sink = LogTable(spark, f"{base}/table", ", ".join(f"{c} string" for c in EDGE_KEY))
     s = events.select(*EDGE_KEY, "event_time")
     if watermark:
         s = s.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(EDGE_KEY)
     s = s.select(*EDGE_KEY)
 
-    def merge(batch: DataFrame, _epoch: int) -> None:
-        cur = sink.read()
+    def merge(batch: DataFrame, epoch: int) -> None:
+        cur = sink.read_all().drop("_epoch")
         b = batch.distinct()
-        fresh = b.join(cur, [b[c].eqNullSafe(cur[c]) for c in EDGE_KEY], "left_anti") if sink.version else b
-        sink.write(cur.unionByName(fresh))
+        fresh = b.join(cur, [b[c].eqNullSafe(cur[c]) for c in EDGE_KEY], "left_anti")
+        sink.append(fresh, epoch)  # only rows not stored yet: a replayed batch adds nothing
 
     run_available(s.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/ckpt"), "edges")
-    return sink.read()
+    return sink.read_all().drop("_epoch")
 
 
 def stream_entity_rollup(events: DataFrame) -> DataFrame:
@@ -101,21 +118,18 @@ def stream_entity_rollup(events: DataFrame) -> DataFrame:
     per entity)."""
     spark = events.sparkSession
     base = _base(spark, "rollup")
-    sink = VersionedTable(spark, f"{base}/table",
-                          "entity_type string, entity_id string, last_run timestamp, events bigint")
+    sink = LogTable(spark, f"{base}/table", "entity_type string, entity_id string, last_run timestamp, events bigint")
     agg = (events.filter(F.col("entity_type").isNotNull() & F.col("entity_id").isNotNull()
                          & (F.col("entity_type") != "") & (F.col("entity_id") != ""))
            .groupBy("entity_type", "entity_id")
            .agg(F.max("event_time").alias("last_run"), F.count("*").alias("events")))
 
-    def upsert(batch: DataFrame, _epoch: int) -> None:
-        cur = sink.read()
-        keep = cur.join(batch.select("entity_type", "entity_id"), ["entity_type", "entity_id"], "left_anti")
-        sink.write(keep.unionByName(batch))
+    def upsert(batch: DataFrame, epoch: int) -> None:
+        sink.append(batch, epoch)  # update mode: full values of the changed keys
 
     run_available(agg.writeStream.outputMode("update").foreachBatch(upsert)
                   .option("checkpointLocation", f"{base}/ckpt"), "rollup")
-    return sink.read()
+    return sink.latest_by_key(["entity_type", "entity_id"])
 
 
 def stream_daily_counts(events: DataFrame, watermark: str = "1 day") -> DataFrame:
@@ -137,12 +151,12 @@ def stream_orders_daily(spark: SparkSession, landing: str) -> DataFrame:
     """ST4: landing CSV stream -> daily orders and revenue (complete mode)."""
     from ..operators.medallion import ingest_orders_stream, orders_daily
     base = _base(spark, "orders")
-    sink = VersionedTable(spark, f"{base}/table", "order_date date, orders bigint, revenue double")
+    sink = LogTable(spark, f"{base}/table", "order_date date, orders bigint, revenue double")
     agg = orders_daily(ingest_orders_stream(spark, landing))
 
-    def replace(batch: DataFrame, _epoch: int) -> None:
-        sink.write(batch)
+    def replace(batch: DataFrame, epoch: int) -> None:
+        sink.append(batch, epoch)  # complete mode: each epoch is the whole result
 
     run_available(agg.writeStream.outputMode("complete").foreachBatch(replace)
                   .option("checkpointLocation", f"{base}/ckpt"), "orders")
-    return sink.read()
+    return sink.latest_epoch()
