@@ -200,50 +200,52 @@ def highlight(g: G.Graph, node: str) -> tuple[DataFrame, DataFrame]:
     return ids, induced_edges(g.edges, ids)
 
 
-def _depth_reach(edges: DataFrame, node: str, direction: str, depth: int | None) -> DataFrame:
-    """Nodes within ``depth`` table hops of ``node`` in one direction, entity
-    nodes transparent (a step into an entity costs 0, out of it 1 when the
-    landing node is a table). Exact minimum table-hop distance: an entity
-    is always followed within the same round; a table at the depth limit is
-    not expanded at all."""
+def depth_reach(edges: DataFrame, node: str, depth: int | None) -> DataFrame:
+    """Nodes within ``depth`` table hops of ``node``, up and down in one
+    loop (``direction`` column), entity nodes transparent: stepping onto an
+    entity costs 0, onto a table 1 (a 0-1 BFS in rounds). Each round first
+    closes the zero-cost steps, then takes one table hop; a table at the
+    depth limit is not expanded at all. Exact minimum table-hop distance."""
+    from ..session import LoopState
     spark = edges.sparkSession
-    if direction == "up":
-        adj = edges.select(F.col("target").alias("node"), F.col("source").alias("nbr"))
-    else:
-        adj = edges.select(F.col("source").alias("node"), F.col("target").alias("nbr"))
-    adj = adj.distinct().persist()
+    parts = []
+    for d in ("up", "down"):
+        a, b = ("target", "source") if d == "up" else ("source", "target")
+        parts.append(edges.select(F.lit(d).alias("direction"), F.col(a).alias("node"), F.col(b).alias("nbr")))
+    adj = reduce(DataFrame.unionByName, parts).distinct()
     ent = F.col("nbr").startswith("entity:")
-    to_entity = adj.filter(ent)
-    to_table = adj.filter(~ent)
-    frontier = materialize(spark.createDataFrame([(node,)], "node string"), "focus0")
-    layers = [frontier]
+    to_entity = adj.filter(ent).persist(StorageLevel.MEMORY_AND_DISK)
+    to_table = adj.filter(~ent).persist(StorageLevel.MEMORY_AND_DISK)
+    st = LoopState()
+    frontier = materialize(spark.createDataFrame([("up", node), ("down", node)], "direction string, node string"),
+                           "focus0")
     visited = frontier
     rounds = 0
     while depth is None or rounds < depth:
-        rounds += 1
-        # zero-cost closure through entities first, then one table hop
-        closure = frontier
+        # zero-cost closure through entities (tables at the limit never expand)
         ents = frontier
         while True:
-            e_next = (ents.join(to_entity, "node").select(F.col("nbr").alias("node")).distinct()
-                      .join(closure, "node", "left_anti").join(visited, "node", "left_anti"))
-            e_next = materialize(e_next, "focusE")
-            if e_next.isEmpty():
+            e_next = (ents.join(to_entity, ["direction", "node"]).select("direction", F.col("nbr").alias("node"))
+                      .distinct().join(visited, ["direction", "node"], "left_anti"))
+            e_next, n = st.step(e_next, "focusE")
+            if n == 0:
                 break
-            closure = closure.unionByName(e_next)
-            layers.append(e_next)
+            visited = visited.unionByName(e_next)
+            frontier = frontier.unionByName(e_next)
             ents = e_next
-        nxt = (closure.join(to_table, "node").select(F.col("nbr").alias("node")).distinct()
-               .join(visited, "node", "left_anti").join(closure, "node", "left_anti"))
-        nxt = materialize(nxt, "focusT")
-        visited = visited.unionByName(closure).distinct()
-        if nxt.isEmpty():
-            frontier = None
+        rounds += 1
+        nxt = (frontier.join(to_table, ["direction", "node"]).select("direction", F.col("nbr").alias("node"))
+               .distinct().join(visited, ["direction", "node"], "left_anti"))
+        nxt, n = st.step(nxt, "focusT")
+        if n == 0:
             break
-        layers.append(nxt)
+        visited = st.cut(visited.unionByName(nxt), "focusV") if st.due() else visited.unionByName(nxt)
         frontier = nxt
-        visited = materialize(visited.unionByName(nxt).distinct(), "focusV")
-    return reduce(DataFrame.unionByName, layers).distinct()
+    out = materialize(visited.distinct(), "focus")
+    st.release()
+    to_entity.unpersist()
+    to_table.unpersist()
+    return out
 
 
 def focus(g: G.Graph, table: str, depth: int = 0) -> G.Graph:
@@ -251,9 +253,7 @@ def focus(g: G.Graph, table: str, depth: int = 0) -> G.Graph:
     up and down (0 = unlimited; entities transparent), plus every direct
     neighbour of each entity reached, and the edges induced on that set."""
     d = depth if depth > 0 else None
-    up = _depth_reach(g.edges, table, "up", d)
-    down = _depth_reach(g.edges, table, "down", d)
-    reached = up.unionByName(down).distinct().select(F.col("node").alias("id"))
+    reached = depth_reach(g.edges, table, d).select(F.col("node").alias("id")).distinct()
     ents = reached.filter(F.col("id").startswith("entity:"))
     nb = (g.edges.join(ents.select(F.col("id").alias("target")), "target").select(F.col("source").alias("id"))
           .unionByName(g.edges.join(ents.select(F.col("id").alias("source")), "source")

@@ -55,3 +55,17 @@ def test_column_trace_case_insensitive(spark):
     down = {tuple(r) for r in TV.trace_column(ce, "c.s.a", "x").collect()}
     assert down == {("c.s.a", "X", "c.s.b", "y"), ("c.s.b", "Y", "c.s.c", "z")}
     assert TV.column_impact(ce, "c.s.c", "z").count() == 0
+
+
+def test_focus_entities_transparent(spark):
+    from lineaweave.operators import graph as G
+    e = "entity:JOB:1"
+    edges = spark.createDataFrame([("a", e), ("x", e), (e, "b"), ("b", "c"), ("c", "d"), ("q", "r")],
+                                  "source string, target string")
+    nodes = spark.createDataFrame([(n, "entity" if n.startswith("entity:") else "table")
+                                   for n in ["a", "x", "b", "c", "d", "q", "r", e]], "id string, node_type string")
+    g = G.Graph(nodes, edges)
+    one = {r.id for r in TV.focus(g, "b", 1).nodes.collect()}
+    assert one == {"a", "x", "b", "c", e}
+    assert {r.id for r in TV.focus(g, "b", 0).nodes.collect()} == {"a", "x", "b", "c", "d", e}
+    assert {r.id for r in TV.focus(g, "c", 1).nodes.collect()} == {"b", "c", "d"}
