@@ -109,9 +109,13 @@ def trace_many(ev: DataFrame, seeds: list[str] | DataFrame, max_hops: int | None
     directions of every seed advance in the same loop."""
     spark = ev.sparkSession
     sf = seeds_frame(spark, seeds)
-    adj = reduce(DataFrame.unionByName, [lineage_adjacency(ev, d).withColumn("direction", F.lit(d))
-                                         for d in directions])
-    adj = adj.repartition("node").persist(StorageLevel.MEMORY_AND_DISK)
+    s, t = F.col("source_table_full_name"), F.col("target_table_full_name")
+    pairs = (ev.filter(s.isNotNull() & t.isNotNull()).select(s.alias("s"), t.alias("t")).distinct()
+             .persist(StorageLevel.MEMORY_AND_DISK))  # one scan of the log serves both directions
+    views = {"up": pairs.select(F.col("t").alias("node"), F.col("s").alias("nbr")),
+             "down": pairs.select(F.col("s").alias("node"), F.col("t").alias("nbr"))}
+    adj = reduce(DataFrame.unionByName, [views[d].withColumn("direction", F.lit(d)) for d in directions])
+    adj = adj.repartition("direction", "node").persist(StorageLevel.MEMORY_AND_DISK)
     start = reduce(DataFrame.unionByName, [sf.withColumn("direction", F.lit(d)) for d in directions])
     r = reach(adj, start, max_hops, keys=("direction", "seed"), route=("direction",))
     return r.select("seed", "node", "direction", "hop")
@@ -122,20 +126,30 @@ def trace(ev: DataFrame, seed: str, direction: str, max_hops: int | None = 16) -
     return trace_many(ev, [seed], max_hops, (direction,)).select("node", "hop")
 
 
+def _flag_rows(ev: DataFrame, reached: DataFrame) -> DataFrame:
+    """One pass over the log: each row with the up-walk hop of its target
+    (``_hu``) and the down-walk hop of its source (``_hd``), NULL when not
+    reached. The reached sets are checkpointed, so the planner broadcasts
+    them when a cone is small and shuffles otherwise."""
+    up = reached.filter(F.col("direction") == "up").groupBy(
+        F.col("node").alias("target_table_full_name")).agg(F.min("hop").alias("_hu"))
+    dn = reached.filter(F.col("direction") == "down").groupBy(
+        F.col("node").alias("source_table_full_name")).agg(F.min("hop").alias("_hd"))
+    return (ev.join(up, "target_table_full_name", "left").join(dn, "source_table_full_name", "left")
+            .filter(F.col("_hu").isNotNull() | F.col("_hd").isNotNull()))
+
+
 def trace_rows(ev: DataFrame, reached: DataFrame, max_hops: int | None) -> tuple[DataFrame, DataFrame]:
-    """Rows a trace collects, and the truncation flag.
+    """Rows a trace collects, and the truncation flag, from one scan.
 
     Up rows: events whose target is a node expanded by the up walk (hop <
     max_hops); down rows: events whose source was expanded downward.
-    Truncated: a node at the hop limit still has matching events."""
+    Truncated: an event still matches a node found at the hop limit."""
     lim = F.lit(max_hops if max_hops is not None else 1 << 30)
-    up = reached.filter(F.col("direction") == "up")
-    down = reached.filter(F.col("direction") == "down")
-    up_exp = up.filter(F.col("hop") < lim).select(F.col("node").alias("target_table_full_name")).distinct()
-    dn_exp = down.filter(F.col("hop") < lim).select(F.col("node").alias("source_table_full_name")).distinct()
-    rows = (ev.join(up_exp, "target_table_full_name", "left_semi")
-            .unionByName(ev.join(dn_exp, "source_table_full_name", "left_semi")))
-    meta = truncation_rows(ev, reached, max_hops).agg((F.count("*") > 0).alias("truncated"))
+    flagged = materialize(_flag_rows(ev, reached), "trace-flagged")
+    rows = flagged.filter((F.col("_hu") < lim) | (F.col("_hd") < lim)).drop("_hu", "_hd")
+    meta = flagged.agg(F.count(F.when((F.col("_hu") >= lim) | (F.col("_hd") >= lim), 1)).__gt__(0)
+                       .alias("truncated"))
     return rows, meta
 
 
@@ -143,12 +157,8 @@ def truncation_rows(ev: DataFrame, reached: DataFrame, max_hops: int | None) ->
     """Events still matching a node found at the hop limit (one ``x``
     column); non-empty means the walk stopped short of the full cone."""
     lim = F.lit(max_hops if max_hops is not None else 1 << 30)
-    up_edge = reached.filter((F.col("direction") == "up") & (F.col("hop") >= lim)) \
-        .select(F.col("node").alias("target_table_full_name"))
-    dn_edge = reached.filter((F.col("direction") == "down") & (F.col("hop") >= lim)) \
-        .select(F.col("node").alias("source_table_full_name"))
-    return (ev.join(up_edge, "target_table_full_name", "left_semi").select(F.lit(1).alias("x"))
-            .unionByName(ev.join(dn_edge, "source_table_full_name", "left_semi").select(F.lit(1).alias("x"))))
+    return (_flag_rows(ev, reached).filter((F.col("_hu") >= lim) | (F.col("_hd") >= lim))
+            .select(F.lit(1).alias("x")))
 
 
 def trace_graph(ev: DataFrame, seed: str, max_hops: int | None = 16, columns_meta: DataFrame | None = None,

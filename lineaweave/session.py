@@ -59,25 +59,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
-    """Cut the lineage of loop state with a reliable, eager checkpoint into
-    the shared folder named by ``spark.checkpoint.dir``.
-
-    Plans no longer grow per hop, a lost executor never replays earlier
-    hops (the checkpoint files outlive it), and the checkpointed relation
-    keeps its size statistics and partitioning, so a small frontier is
-    broadcast by the size check of ``spark.sql.autoBroadcastJoinThreshold``
-    rather than by a blind hint."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of intermediate state: write ``df`` as parquet into
+    the shared folder named by ``spark.checkpoint.dir`` and read it back.
+
+    Plans no longer grow per hop, and a lost executor never replays the
+    work before the cut, because the files outlive it. The re-read relation
+    also carries its real file size. A checkpointed RDD would only carry
+    the optimizer's pre-execution estimate, which explodes through joins.
+    With the real size, the planner's own ``autoBroadcastJoinThreshold``
+    check broadcasts a small frontier and shuffles a large one."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/lw-{tag}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 class LoopState:
     """Per-round state of an iterative operator.
 
     ``step`` persists the round's frame and counts it (one job; the count is
-    the loop's emptiness probe). Every ``every`` rounds the frame is
-    checkpointed instead and the rounds held in memory are released, which
-    bounds the plan and the work replayed after a lost executor."""
+    the loop's emptiness probe, and later plans over the materialised cache
+    see its real size). Every ``every`` rounds the frame is written to the
+    checkpoint folder instead and the rounds held in memory are released,
+    which bounds the plan and the work replayed after a lost executor."""
 
     def __init__(self, every: int = 4):
         self.every, self.round, self.held = every, 0, []
@@ -107,11 +111,4 @@ class LoopState:
         self.held = []
 
 
-def write_table(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as parquet under the checkpoint folder and read it back
-    (a stored relation with file statistics and pushdown)."""
-    spark = df.sparkSession
-    base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/lw-{tag}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+write_table = materialize
