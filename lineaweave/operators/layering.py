@@ -42,7 +42,7 @@ def split_orphans(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
     return ids.join(ends, "id", "left_semi"), ids.join(ends, "id", "left_anti")
 
 
-def _peel(remaining: DataFrame, edges: DataFrame, base: DataFrame | None, start: int, tag: str):
+def _peel(remaining: DataFrame, edges: DataFrame, start: int, tag: str):
     """Kahn peeling of ``remaining(id)`` over ``edges(source, target)``.
     Returns (layers(id, round), leftover(id))."""
     st = LoopState()
@@ -142,7 +142,7 @@ def layer_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     nodes = materialize(nodes.select("id").distinct(), "layer-ids")
     e = materialize(_clean_edges(nodes, edges), "layer-edges")
     connected, orphans = split_orphans(nodes, e)
-    layers, left = _peel(connected, e, None, 0, "peel")
+    layers, left = _peel(connected, e, 0, "peel")
     done = [layers.select("id", F.col("round").alias("layer"))] if layers is not None else []
     if not left.isEmpty():
         comp = strongly_connected(left, e)

@@ -12,7 +12,7 @@ from ..operators import graph as G
 from ..operators import traverse as TV
 from . import common as C
 from .common import register
-from .lineage_queries import _FULL_CTES, _NODE_OUT, _TRACE_CTES, full_graph
+from .lineage_queries import _FULL_CTES, _TRACE_CTES, full_graph
 
 TL = ("table_lineage",)
 EV = ("ev", C.EV_SQL)

@@ -13,7 +13,6 @@ from ..operators import readiness as RD
 from ..operators import reports as RP
 from ..operators import requests as RQ
 from ..session import checkpoint_dir
-from ..sources import scans as S
 from . import common as C
 from .common import register
 from .graph_queries import _scope_ctes, scope_graph
