@@ -80,28 +80,40 @@ def strongly_connected(ids: DataFrame, edges: DataFrame) -> DataFrame:
     coloured. Repeats on what is left."""
     spark = ids.sparkSession
     rem = materialize(ids.select("id").distinct(), "scc-rem")
+    n_rem = rem.count()
     parts = []
     it = 0
-    while not rem.isEmpty():
+    while n_rem > 0:
         it += 1
         # trim: a node with no in-edge or no out-edge inside the remaining
         # set is a component of its own; chains hanging off cycles go in bulk
+        st = LoopState()
         while True:
             e = (edges.join(rem.select(F.col("id").alias("source")), "source", "left_semi")
                  .join(rem.select(F.col("id").alias("target")), "target", "left_semi"))
             outs = e.select(F.col("source").alias("id")).distinct()
             ins = e.select(F.col("target").alias("id")).distinct()
             trivial = rem.join(outs, "id", "left_anti").unionByName(rem.join(ins, "id", "left_anti")).distinct()
-            trivial = materialize(trivial.select("id", F.col("id").alias("comp")), f"scc-trim{it}")
-            if trivial.isEmpty():
+            trivial, n = st.step(trivial.select("id", F.col("id").alias("comp")), f"scc-trim{it}")
+            if n == 0:
                 break
             parts.append(trivial)
-            rem = materialize(rem.join(trivial.select("id"), "id", "left_anti"), f"scc-trem{it}")
-        if rem.isEmpty():
+            n_rem -= n
+            rem = rem.join(trivial.select("id"), "id", "left_anti")
+            if st.due():
+                rem = materialize(rem, f"scc-trem{it}")
+                parts = [materialize(reduce(DataFrame.unionByName, parts), f"scc-parts{it}")]
+                st.release()
+            else:
+                rem = rem.persist()
+                st.held.append(rem)
+        rem = materialize(rem, f"scc-rem-trim{it}")
+        parts = [materialize(reduce(DataFrame.unionByName, parts), f"scc-parts{it}")] if parts else []
+        st.release()
+        if n_rem == 0:
             break
-        e = (edges.join(rem.select(F.col("id").alias("source")), "source", "left_semi")
-             .join(rem.select(F.col("id").alias("target")), "target", "left_semi"))
-        e = materialize(e, f"scc-e{it}")
+        e = materialize(edges.join(rem.select(F.col("id").alias("source")), "source", "left_semi")
+                        .join(rem.select(F.col("id").alias("target")), "target", "left_semi"), f"scc-e{it}")
         col = materialize(rem.select("id", F.col("id").alias("c")), f"scc-c{it}")
         st = LoopState()
         while True:
@@ -130,6 +142,7 @@ def strongly_connected(ids: DataFrame, edges: DataFrame) -> DataFrame:
         comp = reach(same.distinct(), roots).select(F.col("node").alias("id"), F.col("seed").alias("comp"))
         comp = materialize(comp, f"scc-comp{it}")
         parts.append(comp)
+        n_rem -= comp.count()
         rem = materialize(rem.join(comp, "id", "left_anti"), f"scc-rem{it}")
     if not parts:
         return spark.createDataFrame([], "id string, comp string")
@@ -144,7 +157,7 @@ def layer_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     connected, orphans = split_orphans(nodes, e)
     layers, left = _peel(connected, e, 0, "peel")
     done = [layers.select("id", F.col("round").alias("layer"))] if layers is not None else []
-    if not left.isEmpty():
+    if left.count() > 0:
         comp = strongly_connected(left, e)
         # condensed DAG over the leftover components
         ce = (e.join(comp.select(F.col("id").alias("source"), F.col("comp").alias("cs")), "source")

@@ -77,13 +77,15 @@ def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
 class LoopState:
     """Per-round state of an iterative operator.
 
-    ``step`` persists the round's frame and counts it (one job; the count is
-    the loop's emptiness probe, and later plans over the materialised cache
-    see its real size). Every ``every`` rounds the frame is written to the
-    checkpoint folder instead and the rounds held in memory are released,
-    which bounds the plan and the work replayed after a lost executor."""
-
-    def __init__(self, every: int = 4):
+    ``step`` writes the round's frame to the checkpoint folder and counts it
+    (the count is the loop's emptiness probe). With ``every`` > 1 only every
+    ``every``-th round is written and the others are persisted; that saves
+    writes, but every transformation over a chain of cached frames is
+    re-analysed against the whole cache, which measured slower here, so
+    the default writes every round: plans stay shallow, and a lost executor
+    never replays a previous round."""
+
+    def __init__(self, every: int = 1):
         self.every, self.round, self.held = every, 0, []
 
     def step(self, df: DataFrame, tag: str = "round", cut: bool | None = None) -> tuple[DataFrame, int]:
