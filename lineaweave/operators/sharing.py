@@ -58,6 +58,17 @@ def sharing_overlay(audience: str, table_share_usage, privileges, usage, provide
     return aud, out, inn
 
 
+def sharing_available(audience: str, loaders: dict) -> bool:
+    """the overlay is available when at least one sharing relation the
+    audience needs can be read (``loaders``: name -> callable returning the
+    DataFrame; a ``limit(1)`` probe each, never a full read)."""
+    from .readiness import probe
+    aud = audience if audience in AUDIENCES else "both"
+    need = {"provider": ("table_share_usage",), "recipient": ("catalog_provider_share_usage",),
+            "both": ("table_share_usage", "catalog_provider_share_usage")}[aud]
+    return any(probe(loaders[n])[0] for n in need if n in loaders)
+
+
 def overlay_out(nodes: DataFrame, so: DataFrame, privileges: DataFrame) -> DataFrame:
     """Sharing edges for shared tables present among the graph's
     table nodes: table -> share, share -> each recipient."""

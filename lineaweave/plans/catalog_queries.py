@@ -255,6 +255,16 @@ def q_overlay_audience(spark, sf):
     return out
 
 
+@register("sharing_available", None)
+def q_sharing_available(spark, sf):
+    """overlay availability per audience — a relation the audience needs
+    is readable (here the recipient side's relation is missing)."""
+    loaders = {"table_share_usage": lambda: _sh(spark, sf, "table_share_usage"),
+               "catalog_provider_share_usage": lambda: spark.read.parquet(f"{sf}/no_such_relation.parquet")}
+    rows = [(a, SH.sharing_available(a, loaders)) for a in ("provider", "recipient", "both")]
+    return spark.createDataFrame(rows, "audience string, available boolean")
+
+
 @register("overlay_edges", C.oracle(TL + _SH_FX + _FC_FX, _FULL_CTES + [("so", _SO), ("fc", _FC)], """
 SELECT DISTINCT so.full_name AS source, 'sharing:share:' || so.share_name AS target FROM so
   WHERE so.full_name IN (SELECT id FROM cls WHERE node_type = 'table')
