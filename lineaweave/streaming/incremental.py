@@ -5,7 +5,8 @@ derived relations current:
 
 * ST1 ``stream_edges``: distinct lineage rows (the 6-key of E8) merged into
   a parquet table by ``foreachBatch`` with a left-anti join against what
-  is already stored, so the sink equals the batch distinct at every point.
+  earlier epochs stored, so the sink equals the batch distinct at every
+  point.
   An optional watermark adds ``dropDuplicatesWithinWatermark`` to shrink
   each micro-batch before the merge; Spark then drops rows later than the
   watermark, so it is off by default (exactness first).
@@ -18,10 +19,11 @@ derived relations current:
 * ST4 ``stream_orders_daily``: the demo pipeline — CSV landing ingest (A9)
   to the daily orders roll-up (E14) in ``complete`` mode.
 
-Sinks are append-only parquet folders under the checkpoint directory,
-tagged with the micro-batch epoch, and streams keep their checkpoint
-locations there: no state lives in the driver, a restarted query resumes
-where it stopped, and a replayed batch cannot change the result. ``run_available`` drives a query with
+Sinks are parquet tables under the checkpoint directory with one folder
+per micro-batch epoch, and streams keep their checkpoint locations there:
+no state lives in the driver, a restarted query resumes where it stopped,
+and a replayed batch rewrites its own epoch, so it cannot change the
+result. ``run_available`` drives a query with
 ``trigger(availableNow=True)``."""
 
 from __future__ import annotations
@@ -42,25 +44,30 @@ def _base(spark: SparkSession, tag: str) -> str:
 
 
 class LogTable:
-    """An append-only parquet folder written from ``foreachBatch``.
+    """A parquet table written from ``foreachBatch``, one folder per
+    micro-batch epoch (``_epoch=N``).
 
-    Nothing is kept in the driver: every write is an append tagged with the
-    micro-batch epoch, so a batch replayed after a failure (foreachBatch is
-    at-least-once) writes the same rows again under the same epoch and
-    readers resolve them deterministically."""
+    Nothing is kept in the driver. A batch replayed after a failure
+    (foreachBatch is at-least-once) overwrites its own epoch folder with the
+    same rows, so replays never duplicate or lose anything."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
     def read_all(self) -> DataFrame:
-        """Every appended row with its ``_epoch``; empty before the first write."""
+        """Every stored row with its ``_epoch``; empty before the first write."""
         try:
-            return self.spark.read.schema(f"{self.schema}, _epoch long").parquet(self.path)
+            return (self.spark.read.schema(f"{self.schema}, _epoch long").option("basePath", self.path)
+                    .parquet(self.path))
         except Exception:  # folder not created yet
             return self.spark.createDataFrame([], f"{self.schema}, _epoch long")
 
+    def before(self, epoch: int) -> DataFrame:
+        """Rows written by earlier epochs only (what a replay must compare to)."""
+        return self.read_all().filter(F.col("_epoch") < epoch).drop("_epoch")
+
     def append(self, df: DataFrame, epoch: int) -> None:
-        df.withColumn("_epoch", F.lit(epoch).cast("long")).write.mode("append").parquet(self.path)
+        df.write.mode("overwrite").parquet(f"{self.path}/_epoch={epoch}")
 
     def latest_by_key(self, keys: list[str]) -> DataFrame:
         """Upsert view: per key, the row of the newest epoch."""
@@ -103,10 +110,10 @@ def stream_edges(events: DataFrame, watermark: str | None = None) -> DataFrame:
     s = s.select(*EDGE_KEY)
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        cur = sink.read_all().drop("_epoch")
+        cur = sink.before(epoch)
         b = batch.distinct()
         fresh = b.join(cur, [b[c].eqNullSafe(cur[c]) for c in EDGE_KEY], "left_anti")
-        sink.append(fresh, epoch)  # only rows not stored yet: a replayed batch adds nothing
+        sink.append(fresh, epoch)  # rows no earlier epoch stored; a replay rewrites the same set
 
     run_available(s.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/ckpt"), "edges")
     return sink.read_all().drop("_epoch")
