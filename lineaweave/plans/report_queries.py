@@ -73,6 +73,31 @@ def q_map_slots(spark, sf):
     return out.select("id", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("layer", "slot", "grid_row", "grid_col")])
 
 
+@register("report_lineage_map", C.oracle(SC_FX, _LAYER_CTES + [
+    ("lab", "SELECT l.*, lower(coalesce(n.name, n.id)) AS k FROM layers l JOIN cls n ON n.id = l.id"),
+    ("pr", "SELECT greatest(coalesce(max(layer) + 1, 0), 4) AS per_row FROM layers WHERE NOT orphan"),
+    ("slots", """
+SELECT id, layer, CAST(row_number() OVER (PARTITION BY layer ORDER BY k, id) - 1 AS INT) AS slot,
+       -1 AS grid_row, -1 AS grid_col FROM lab WHERE NOT orphan
+UNION ALL
+SELECT id, -1, -1,
+       CAST(floor((row_number() OVER (ORDER BY k, id) - 1) / (SELECT per_row FROM pr)) AS INT),
+       CAST((row_number() OVER (ORDER BY k, id) - 1) % (SELECT per_row FROM pr) AS INT)
+FROM lab WHERE orphan""")], """
+SELECT n.id, n.node_type AS kind,
+       CASE WHEN n.node_type = 'entity' THEN n.entity_type || ' ' || n.entity_id ELSE n.name END AS label,
+       s.layer, s.slot, s.grid_row, s.grid_col
+FROM cls n JOIN slots s ON s.id = n.id""", recursive=True))
+def q_report_lineage_map(spark, sf):
+    """Lineage-map rows of the main.bronze scope: node, kind, label,
+    layer and slot (or orphan grid cell)."""
+    g, layers = _layers(spark, sf)
+    slots = LY.map_slots(g.nodes, layers)
+    m = RP.lineage_map(g.nodes, layers, slots)
+    return m.select("id", "kind", "label",
+                    *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("layer", "slot", "grid_row", "grid_col")])
+
+
 _MAPS_CTES = _scope_ctes("analytics", None) + [
     ("und", "SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges"),
     ("tbl", """SELECT id, CASE WHEN len(string_split(id, '.')) = 3 THEN split_part(id, '.', 2) ELSE '' END AS schema
