@@ -38,15 +38,38 @@ def window_start(as_of: str | _dt.date, days: int) -> _dt.date:
     return d - _dt.timedelta(days=days)
 
 
+_EPOCH_NTZ = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+
+
+def ntz_micros(c: Column | str) -> Column:
+    """Microseconds since 1970-01-01 of a timestamp-without-zone value,
+    independent of the session time zone."""
+    return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), _c(c))
+
+
+def ntz_to_instant(c: Column | str) -> Column:
+    """A wall-clock (NTZ) timestamp as the instant it denotes in UTC, without
+    going through the session time zone (watermarks need instants)."""
+    return F.timestamp_micros(ntz_micros(c))
+
+
+def instant_to_ntz(c: Column | str) -> Column:
+    """Inverse of ``ntz_to_instant``: the UTC wall clock of an instant."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.timestamp_add("MICROSECOND", F.unix_micros(col), F.expr(_EPOCH_NTZ))
+
+
 def _ts_literal(df: DataFrame, col: str, d: _dt.date) -> Column:
     """Midnight of ``d`` as a literal of the column's own timestamp type, so
-    the comparison needs no cast on the column and pushes into the scan."""
+    the comparison needs no cast on the column and pushes into the scan.
+    Zoned timestamps take the UTC instant (matching ``ntz_to_instant``)."""
     dtype = df.schema[col].dataType
     if isinstance(dtype, T.TimestampNTZType):
         return F.expr(f"TIMESTAMP_NTZ '{d.isoformat()} 00:00:00'")
     if isinstance(dtype, T.DateType):
         return F.expr(f"DATE '{d.isoformat()}'")
-    return F.expr(f"TIMESTAMP '{d.isoformat()} 00:00:00'")
+    micros = int((_dt.datetime(d.year, d.month, d.day) - _dt.datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+    return F.timestamp_micros(F.lit(micros))
 
 
 def within_window(df: DataFrame, as_of: str | _dt.date, days: int, col: str = "event_time") -> DataFrame:
@@ -147,8 +170,8 @@ def freshness(last_run: Column | str, as_of_ts: str) -> tuple[Column, Column]:
     lr = _c(last_run)
     now = F.expr(f"TIMESTAMP_NTZ '{as_of_ts}'")
     fresh = F.coalesce(F.to_date(lr) == F.to_date(now), F.lit(False))
-    secs = F.unix_micros(now.cast("timestamp")) - F.unix_micros(lr.cast("timestamp"))
-    mins = F.floor(secs / F.lit(60_000_000))
+    micros = F.timestamp_diff("MICROSECOND", lr, now)  # wall-clock difference, no time zone involved
+    mins = F.floor(micros / F.lit(60_000_000))
     hrs = F.floor(mins / 60)
     days = F.floor(hrs / 24)
     age = (F.when(lr.isNull(), F.lit(None).cast("string"))

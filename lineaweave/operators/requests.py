@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions.predicates import ntz_micros
+
 # Sample window and advisory threshold.
 SAMPLE_SIZE = 1000
 P99_ADVISORY_MS = 2000.0
@@ -69,7 +71,9 @@ def over_quota(log: DataFrame, n: int = 60, secs: int = 60, bucket_secs: int = 3
     (counted in frames, never reported), which keeps every frame exact."""
     width = max(bucket_secs, secs) * 1_000_000
     span = secs * 1_000_000
-    base = log.select("user_key", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    ts_type = log.schema["ts"].dataType.simpleString()
+    us = ntz_micros("ts") if ts_type == "timestamp_ntz" else F.unix_micros(F.col("ts"))  # no time-zone shift
+    base = log.select("user_key", us.alias("us"))
     base = base.withColumn("bucket", F.floor(F.col("us") / width))
     ctx = (base.filter(F.col("us") >= (F.col("bucket") + 1) * width - span)
            .select("user_key", "us", (F.col("bucket") + 1).alias("bucket"), F.lit(True).alias("ctx")))

@@ -55,7 +55,7 @@ GROUP BY entity_type, entity_id"""))
 def q_stream_rollup(spark, sf):
     """ST2: per-entity last run and event count, update mode + upsert."""
     r = ST.stream_entity_rollup(_events(spark, sf))
-    return r.withColumn("last_run", F.col("last_run").cast("timestamp_ntz").cast("string"))
+    return r.withColumn("last_run", P.instant_to_ntz("last_run").cast("string"))
 
 
 @register("stream_daily_counts", C.oracle(TL, [EV, ("er", "SELECT * FROM ev WHERE entity_type IS NOT NULL AND entity_id IS NOT NULL")], """
@@ -66,7 +66,7 @@ def q_stream_daily(spark, sf):
     """ST3: per-entity daily counts in watermarked 1-day windows (append):
     exactly the days closed by the final watermark (max event time - 1 day)."""
     r = ST.stream_daily_counts(_events(spark, sf))
-    return r.withColumn("day", F.col("day").cast("timestamp_ntz").cast("string"))
+    return r.withColumn("day", P.instant_to_ntz("day").cast("string"))
 
 
 @register("stream_orders_daily", C.oracle(("bronze_orders",), [], """

@@ -93,10 +93,12 @@ def run_available(query_writer, name: str):
 
 
 def read_event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    """The event log as a file stream, ``event_time`` cast to a zoned
-    timestamp (watermarks require it)."""
+    """The event log as a file stream, ``event_time`` turned into the UTC
+    instant it denotes (watermarks require zoned timestamps; the conversion
+    does not depend on the session time zone)."""
+    from ..functions.predicates import ntz_to_instant
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-    return s.withColumn("event_time", F.col("event_time").cast("timestamp"))
+    return s.withColumn("event_time", ntz_to_instant("event_time"))
 
 
 def stream_edges(events: DataFrame, watermark: str | None = None) -> DataFrame:

@@ -74,3 +74,17 @@ def test_window_internal_and_scope(spark):
     assert P.within_window(edge, "2024-01-30", 20).count() == 0
     assert P.scope_filter(ev, "c", "s").count() == 4    # dbfs write path counts, 'sx' does not
     assert P.scope_filter(ev, "d").count() == 1
+
+
+def test_timestamp_helpers_ignore_session_time_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("UTC", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            df = spark.createDataFrame([(dt.datetime(2024, 3, 10, 2, 30),)], "t timestamp_ntz")  # DST gap in LA
+            r = df.select(P.ntz_micros("t").alias("m"), P.instant_to_ntz(P.ntz_to_instant("t")).alias("back"),
+                          F.unix_micros(P.ntz_to_instant("t")).alias("u")).first()
+            assert r.m == r.u == 1710037800 * 1_000_000
+            assert r.back == dt.datetime(2024, 3, 10, 2, 30)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
