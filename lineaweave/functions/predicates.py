@@ -41,22 +41,27 @@ def window_start(as_of: str | _dt.date, days: int) -> _dt.date:
 _EPOCH_NTZ = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
 
-def ntz_micros(c: Column | str) -> Column:
-    """Microseconds since 1970-01-01 of a timestamp-without-zone value,
-    independent of the session time zone."""
-    return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), _c(c))
+def ntz_to_instant(c: Column | str) -> Column:
+    """A wall-clock (NTZ) timestamp as the instant it denotes in UTC. Built
+    from its fields with an explicit 'UTC' zone, so neither the session
+    time zone nor its DST gaps can shift it (watermarks need instants)."""
+    t = _c(c)
+    return F.make_timestamp(F.year(t), F.month(t), F.dayofmonth(t), F.hour(t), F.minute(t),
+                            F.date_part(F.lit("SECOND"), t), F.lit("UTC"))
 
 
-def ntz_to_instant(c: Column | str) -> Column:
-    """A wall-clock (NTZ) timestamp as the instant it denotes in UTC, without
-    going through the session time zone (watermarks need instants)."""
-    return F.timestamp_micros(ntz_micros(c))
+def ntz_micros(c: Column | str) -> Column:
+    """Microseconds since 1970-01-01 of an NTZ value (session-zone free)."""
+    return F.unix_micros(ntz_to_instant(c))
 
 
 def instant_to_ntz(c: Column | str) -> Column:
-    """Inverse of ``ntz_to_instant``: the UTC wall clock of an instant."""
-    col = F.col(c) if isinstance(c, str) else c
-    return F.timestamp_add("MICROSECOND", F.unix_micros(col), F.expr(_EPOCH_NTZ))
+    """Inverse of ``ntz_to_instant``: the UTC wall clock of an instant, as
+    the epoch plus a day-time interval (session-zone free)."""
+    us = F.unix_micros(_c(c))
+    days = F.floor(us / F.lit(86_400_000_000))
+    secs = ((us - days * F.lit(86_400_000_000)).cast("decimal(18,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    return F.expr(_EPOCH_NTZ) + F.make_dt_interval(days.cast("int"), F.lit(0), F.lit(0), secs)
 
 
 def _ts_literal(df: DataFrame, col: str, d: _dt.date) -> Column:
@@ -170,7 +175,7 @@ def freshness(last_run: Column | str, as_of_ts: str) -> tuple[Column, Column]:
     lr = _c(last_run)
     now = F.expr(f"TIMESTAMP_NTZ '{as_of_ts}'")
     fresh = F.coalesce(F.to_date(lr) == F.to_date(now), F.lit(False))
-    micros = F.timestamp_diff("MICROSECOND", lr, now)  # wall-clock difference, no time zone involved
+    micros = ntz_micros(now) - ntz_micros(lr)  # wall-clock difference, no time zone involved
     mins = F.floor(micros / F.lit(60_000_000))
     hrs = F.floor(mins / 60)
     days = F.floor(hrs / 24)
