@@ -103,6 +103,8 @@ def trace_many(ev: DataFrame, seeds: list[str] | DataFrame, max_hops: int | None
     adj = adj.repartition("direction", "node").persist(StorageLevel.MEMORY_AND_DISK)
     start = reduce(DataFrame.unionByName, [sf.withColumn("direction", F.lit(d)) for d in directions])
     r = reach(adj, start, max_hops, keys=("direction", "seed"), route=("direction",))
+    adj.unpersist()    # the result is written parquet; the caches are no longer needed
+    pairs.unpersist()
     return r.select("seed", "node", "direction", "hop")
 
 
@@ -170,7 +172,9 @@ def graph_reach(edges: DataFrame, seeds: DataFrame, directions: tuple[str, ...]
     adj = reduce(DataFrame.unionByName, parts).distinct().persist(StorageLevel.MEMORY_AND_DISK)
     start = reduce(DataFrame.unionByName, [seeds.select(F.lit(d).alias("direction"), "seed", "node")
                                            for d in directions])
-    return reach(adj, start, max_hops, keys=("direction", "seed"), route=("direction",))
+    out = reach(adj, start, max_hops, keys=("direction", "seed"), route=("direction",))
+    adj.unpersist()  # the result is written parquet
+    return out
 
 
 def induced_edges(edges: DataFrame, node_set: DataFrame) -> DataFrame:
