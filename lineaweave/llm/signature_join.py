@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged, slices, stored
+from .common import drop_stored, ragged, slices, stored
 from .components import components
 
 #: Words of a shingle and least similarity in percent.
@@ -48,7 +48,7 @@ SAMPLE, FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_MAX = 20_000, 0.002, 8, 200_000
 BROADCAST_BYTES = 32 << 20
 #: Words whose hashes a task keeps at a time.
 _KEEP = 300_000
-_BITS = (256, 4096)
+_BITS = (256, 8192)
 
 
 # ---------------------------------------------------------------- sets
@@ -103,8 +103,8 @@ def needed(a, b, percent: int):
 
 
 def bitmap_bits(n, percent: int):
-    """Length of the bitmap of a prefix: a power of two, four bits for each shingle if it can."""
-    wanted = np.maximum(4 * np.asarray(prefix_size(n, percent)), 1)
+    """Length of the bitmap of a prefix: a power of two, eight bits for each shingle if it can."""
+    wanted = np.maximum(8 * np.asarray(prefix_size(n, percent)), 1)
     return np.clip(1 << np.ceil(np.log2(wanted)).astype(np.int64), *_BITS)
 
 
@@ -313,8 +313,9 @@ def _pick(rows: dict, words: np.ndarray, k: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def _chunk_pair(percent: int):
-    """Rows of two chunks (node, n, comp, chunk, bits) of a large block: candidate pairs of different components."""
+def _chunk_pair(percent: int, pairs: bool):
+    """Rows of two chunks (node, n, comp, chunk, bits) of a large block: candidate pairs (a, b) of
+    different components, or only the sets in any such pair (node), which are never more than the rows."""
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         node, n, comp, chunk = (table[c].to_numpy() for c in ("node", "n", "comp", "chunk"))
@@ -340,6 +341,10 @@ def _chunk_pair(percent: int):
                         x, y = one[0][i], two[0][j]
                         keep = comp[x] != comp[y]
                         found.append(np.stack([np.minimum(node[x], node[y])[keep], np.maximum(node[x], node[y])[keep]]))
+                        if not pairs:
+                            found = [np.unique(np.concatenate([f.ravel() for f in found]))]
+        if not pairs:
+            return pa.table({"node": np.concatenate([np.zeros(0, np.int64), *found])})
         both = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1), axis=1)
         return pa.table({"a": both[0], "b": both[1]})
     return run
@@ -400,11 +405,15 @@ def _signatures(docs: DataFrame, words: int, percent: int, frequent: np.ndarray)
     return docs.mapInArrow(run, f"id {kind}, n long, sig binary, rare array<long>, common array<long>, bits binary")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """The sets (node, shingles) of the wanted (node, doc, sig), from the texts again."""
-    ids = wanted.select(F.col("doc").alias("d")).distinct()
-    few = 8 * ids.count() <= BROADCAST_BYTES
-    texts = docs.join(F.broadcast(ids) if few else ids, F.col("id").eqNullSafe(F.col("d")), "left_semi")
+def _small(rows: DataFrame, bytes_each: int) -> DataFrame:
+    """``rows``, to be broadcast if their number bounds them to ``BROADCAST_BYTES``; else the join shuffles."""
+    return F.broadcast(rows) if bytes_each * rows.count() <= BROADCAST_BYTES else rows
+
+
+def _sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """The sets (node, home, chunk, shingles) of members (node, doc, sig, home, chunk), from the texts again."""
+    ids = _small(members.select(F.col("doc").alias("d")).distinct(), 16)
+    texts = docs.join(ids, F.col("id").eqNullSafe(F.col("d")), "left_semi")
 
     def run(batches):
         shingler = Shingler(words)
@@ -413,11 +422,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                  ragged([s.view(np.int64) for s in sets], pa.int64())], names=["sig", "shingles"])
-    return texts.mapInArrow(run, "sig binary, shingles array<long>").join(wanted.select("node", "sig"), "sig").drop("sig")
+    of_texts = texts.mapInArrow(run, "sig binary, shingles array<long>")
+    return of_texts.join(_small(members.select("node", "sig", "home", "chunk"), 64), "sig").drop("sig")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked."""
+    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = sets.join(_small(wanted, 16), "node", "left_semi")
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
@@ -433,6 +445,14 @@ def _chunked(rows: DataFrame, key: str) -> DataFrame:
     return sized.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks").cast("long")).cast("int"))
 
 
+def _crossed(rows: DataFrame, percent: int, pairs: bool) -> DataFrame:
+    """Every pair of chunks of large blocks (token, node, n, comp, bits) through ``_chunk_pair``."""
+    parts = _chunked(rows, "token").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return parts.select("token", "node", "n", "comp", "chunk", "bits", F.least("chunk", "other").alias("p"),
+                        F.greatest("chunk", "other").alias("q")).groupBy("token", "p", "q").applyInArrow(
+        _chunk_pair(percent, pairs), "a long, b long" if pairs else "node long")
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                     percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``n_shingles`` and
@@ -446,10 +466,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts; null ids are smallest only among themselves. Other columns are not
     read."""
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = stored(_signatures(given, words, percent, _frequent(given, words)), "signatures")
-    nodes = stored(signed.where("sig IS NOT NULL").groupBy("sig").agg(
+    full = stored(_signatures(given, words, percent, _frequent(given, words)), "signatures")
+    nodes = stored(full.where("sig IS NOT NULL").groupBy("sig").agg(
         F.min("id").alias("doc"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("common").alias("common"),
         F.first("bits").alias("bits")).withColumn("node", F.monotonically_increasing_id()), "sets")
+    signed = stored(full.select("id", "n", "sig"), "rows")
+    drop_stored(full)
 
     # blocks: (token, node) of the shingles that two sets or more have first. Rare ones are dealt once by token, for the
     # sums and the join; frequent ones, which few tasks would get, are summed before they are dealt.
@@ -462,42 +484,48 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     leaves = blocks.where(F.col("c") <= LEAF).join(marks, "node").select("token", "node", "n", "bits")
     near = stored(leaves.repartition("token").sortWithinPartitions("token").mapInArrow(_leaves(percent), "a long, b long").distinct(), "near")
+    # of large blocks only the sets that have a candidate at all go on
     large = blocks.where(F.col("c") > LEAF)
-    anchors = large.groupBy("node").agg(F.max(F.struct("c", "token")).getField("token").alias("token"))
-    anchors = stored(anchors, "anchors")
+    alone = large.join(marks, "node").withColumn("comp", F.col("node"))
+    active = stored(_crossed(alone, percent, False).distinct(), "active")
+    large = stored(large.join(active, "node", "left_semi"), "large-blocks")
+    drop_stored(blocks)
+    anchors = stored(large.groupBy("node").agg(F.max(F.struct("c", "token")).getField("token").alias("token"),
+                                               F.count("*").alias("shared")), "anchors")
     first = anchors.groupBy("token").agg(F.min("node").alias("b"))
     homes = components(near.unionAll(anchors.join(first, "token").select(F.col("node").alias("a"), "b")))
+    # an anchor that no other set has leaves its set alone at home
+    homes = homes.unionAll(anchors.join(homes, "node", "left_anti").select("node", F.col("node").alias("comp")))
 
     members = stored(_chunked(homes.withColumnRenamed("comp", "home").join(nodes.select("node", "n", "doc", "sig"), "node"), "home"), "homes")
-    sets = stored(_sets(given, members.select("node", "doc", "sig"), words), "shingle-sets")
-    at_home = members.select("node", "n", "home", "chunk", "chunks")
-    links = stored(sets.join(at_home, "node").groupBy("home", "chunk").applyInArrow(_home(percent), "a long, b long"), "links")
+    sets = stored(_sets(given, members, words), "shingle-sets")
+    links = stored(sets.groupBy("home", "chunk").applyInArrow(_home(percent), "a long, b long"), "links")
 
     # homes of several chunks: one set of each chunk, the one with most of the frequent shingles, meets those of the others
-    rest = at_home.where("chunks > 1").join(anchors.join(large.groupBy("node").agg(F.count("*").alias("shared")), "node").select("node", "shared"), "node")
+    rest = members.where("chunks > 1").join(anchors.select("node", "shared"), "node").select("node", "home", "chunk", "shared")
     found = [links]
     before = None
     while (met := rest.count()) and (before is None or met < before):
         before = met
         pivots = rest.groupBy("home", "chunk").agg(F.max(F.struct("shared", "node")).getField("node").alias("node"))
         again = stored(_chunked(pivots.drop("chunk").join(nodes.select("node", "n"), "node"), "home"), "pivots")
-        found.append(stored(sets.join(again, "node").groupBy("home", "chunk").applyInArrow(_home(percent), "a long, b long"), "links"))
-        rest = again.where("chunks > 1").join(rest.select("node", "shared"), "node")
+        met_again = sets.drop("home", "chunk").join(_small(again.select("node", "home", "chunk"), 32), "node")
+        found.append(stored(met_again.groupBy("home", "chunk").applyInArrow(_home(percent), "a long, b long"), "links"))
+        rest = again.where("chunks > 1").join(rest.select("node", "shared"), "node").select("node", "home", "chunk", "shared")
 
     # what no chunk has had together: candidates across homes and chunks, if they are not connected yet
     linked = stored(components(_union(found)), "connected")
     state = stored(members.select("node", "home", "chunk").join(linked, "node", "left").select(
         "node", F.coalesce("comp", "node").alias("comp"), "home", "chunk"), "state")
-    kinds = large.join(state, "node").groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    mixed = large.join(kinds.select("token"), "token").join(state.select("node", "comp"), "node").join(marks, "node")
-    parts = _chunked(mixed, "token").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    crossed = parts.groupBy("token", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q")).applyInArrow(
-        _chunk_pair(percent), "a long, b long")
+    of_large = large.join(state.select("node", "comp"), "node")
+    kinds = of_large.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    crossed = _crossed(of_large.join(kinds, "token").join(marks, "node"), percent, True)
     pairs = near.unionAll(crossed).distinct()
     for side in ("a", "b"):
         pairs = pairs.join(state.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("comp", "home", "chunk"))), side)
-    open_pairs = pairs.where("comp_a <> comp_b AND NOT (home_a = home_b AND chunk_a = chunk_b)").select("a", "b")
+    open_pairs = stored(pairs.where("comp_a <> comp_b AND NOT (home_a = home_b AND chunk_a = chunk_b)").select("a", "b"), "open-pairs")
     found.append(stored(_verified(open_pairs, sets, percent), "links"))
+    drop_stored(sets)
 
     classes = components(_union(found))
     least = classes.join(nodes.select("node", "doc"), "node").groupBy("comp").agg(F.min("doc").alias("least"))
