@@ -31,9 +31,9 @@ MAX_SAMPLE = 6000
 #: Weights of the scorer.
 DIMENSIONS = 1 << 17
 #: Rounds of the estimation and of the training.
-EM_ROUNDS, EPOCHS = 200, 120
-#: Posterior from which a document is good.
-THRESHOLD = 0.5
+EM_ROUNDS, EPOCHS = 200, 200
+#: Score from which a document is good.
+THRESHOLD = 0.6
 #: Words whose weights a task keeps at a time.
 _KEEP = 300_000
 
@@ -138,7 +138,7 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(self.bias + total / len(words), -500, 500))))
 
 
-def train(rows: list[tuple[float, np.ndarray, np.ndarray]], epochs: int = EPOCHS, step: float = 2.0,
+def train(rows: list[tuple[float, np.ndarray, np.ndarray]], epochs: int = EPOCHS, step: float = 10.0,
           ridge: float = 1e-5) -> Scorer:
     """Logistic regression on (posterior, places, shares of the words) by steps scaled to past gradients."""
     if not rows:
