@@ -263,7 +263,8 @@ def _by_length(column: pa.Array) -> tuple[np.ndarray, dict[int, tuple[np.ndarray
 # ---------------------------------------------------------------- steps as table functions
 
 def _leaves(percent: int):
-    """Rows (token, node, n, bits) sorted by token, blocks of up to LEAF rows: candidate pairs (a, b)."""
+    """Rows (token, node, n, bits) sorted by token, blocks of up to LEAF rows: candidate pairs (a, b), and of
+    how many blocks (c)."""
     def pairs(table: pa.Table) -> pa.RecordBatch:
         token, node, n = (table[c].to_numpy() for c in ("token", "node", "n"))
         words, rows = _by_length(table["bits"].combine_chunks())
@@ -284,8 +285,8 @@ def _leaves(percent: int):
                 most = ones(bits[0] & bits[1]) + slack + np.maximum(n[x] - shown[0], n[y] - shown[1])
                 ok = most >= needed(n[x], n[y], percent)
                 found.append(np.stack([np.minimum(node[x], node[y])[ok], np.maximum(node[x], node[y])[ok]]))
-        both = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+        both, c = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1), axis=1, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(c)], names=["a", "b", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -426,6 +427,35 @@ def _sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
     return of_texts.join(_small(members.select("node", "sig", "home", "chunk"), 64), "sig").drop("sig")
 
 
+def _shown(n: str, percent: int):
+    """``prefix_size`` and ``needed`` as columns: the shingles beyond the prefix of a set of size n."""
+    return F.ceil(F.lit(percent) * F.col(n) / 100) - 1
+
+
+def _enough(common, percent: int):
+    """Whether sets of sizes na and nb may be linked with so many common shingles in their prefixes."""
+    least = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
+    return common + F.greatest(_shown("na", percent), _shown("nb", percent)) >= least
+
+
+def _counted(pairs: DataFrame, nodes: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that share enough blocks: c small ones, and at most all large ones of either."""
+    shared = large.groupBy("node").agg(F.count("*").alias("shared"))
+    counts = nodes.select("node", "n").join(shared, "node", "left").select("node", "n", F.coalesce("shared", F.lit(0)).alias("g"))
+    for side in ("a", "b"):
+        pairs = pairs.join(counts.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("g").alias(f"g{side}")), side)
+    return pairs.where(_enough(F.col("c") + F.least("ga", "gb"), percent)).select("a", "b")
+
+
+def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose prefixes have enough shingles in common."""
+    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    prefixes = nodes.join(_small(wanted, 16), "node", "left_semi").select("node", "n", F.concat("rare", "common").alias("p"))
+    for side in ("a", "b"):
+        pairs = pairs.join(prefixes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("p").alias(f"p{side}")), side)
+    return pairs.where(_enough(F.size(F.array_intersect("pa", "pb")), percent)).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked."""
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
@@ -483,9 +513,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = nodes.select("node", "n", "bits")
 
     leaves = blocks.where(F.col("c") <= LEAF).join(marks, "node").select("token", "node", "n", "bits")
-    near = stored(leaves.repartition("token").sortWithinPartitions("token").mapInArrow(_leaves(percent), "a long, b long").distinct(), "near")
-    # of large blocks only the sets that have a candidate at all go on
+    near = leaves.repartition("token").sortWithinPartitions("token").mapInArrow(
+        _leaves(percent), "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
     large = blocks.where(F.col("c") > LEAF)
+    near = stored(_counted(near, nodes, large, percent), "near")
+    # of large blocks only the sets that have a candidate at all go on
     alone = large.join(marks, "node").withColumn("comp", F.col("node"))
     active = stored(_crossed(alone, percent, False).distinct(), "active")
     large = stored(large.join(active, "node", "left_semi"), "large-blocks")
@@ -524,6 +556,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for side in ("a", "b"):
         pairs = pairs.join(state.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("comp", "home", "chunk"))), side)
     open_pairs = stored(pairs.where("comp_a <> comp_b AND NOT (home_a = home_b AND chunk_a = chunk_b)").select("a", "b"), "open-pairs")
+    open_pairs = stored(_plausible(open_pairs, nodes, percent), "plausible")
     found.append(stored(_verified(open_pairs, sets, percent), "links"))
     drop_stored(sets)
 
