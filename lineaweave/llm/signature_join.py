@@ -42,8 +42,10 @@ WORDS, PERCENT = 5, 80
 LEAF, FAN = 32, 8
 #: Sets and shingles that a chunk of a block has, about.
 CHUNK, CHUNK_SHINGLES = 2048, 2_000_000
-#: The order is taken from about so many texts: shingles in this share of them (and this many) are frequent, at most so many.
-SAMPLE, FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_MAX = 20_000, 0.002, 8, 200_000
+#: The order is taken from about so many texts: shingles that so many of them have are frequent, the first so many by count.
+SAMPLE, FREQUENT_LEAST, FREQUENT_MAX = 64_000, 8, 200_000
+#: Shingles that a task of the sample counts at a time; those that it meets once in a time are not counted.
+_COUNT = 4_000_000
 #: Ids of this many bytes at most are broadcast to pick texts; beyond it the texts are shuffled.
 BROADCAST_BYTES = 32 << 20
 #: Words whose hashes a task keeps at a time.
@@ -369,14 +371,20 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
     if n > SAMPLE:
         docs = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int((1 << 40) * (SAMPLE / n)))
 
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        t, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(t[c > 1].view(np.int64)), pa.array(c[c > 1])], names=["t", "c"])
+
     def run(batches):
-        shingler = Shingler(words)
+        shingler, held = Shingler(words), []
         for batch in slices(batches):
-            sets = [shingler(t).view(np.int64) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([ragged(sets, pa.int64())], names=["s"])
-    least = max(FREQUENT_LEAST, int(FREQUENT_SHARE * min(n, SAMPLE)))
-    counts = docs.select("text").mapInArrow(run, "s array<long>").select(F.explode("s").alias("t")).groupBy("t").count()
-    top = counts.where(F.col("count") >= least).orderBy(F.desc("count"), "t").limit(FREQUENT_MAX).select("t").collect()
+            held += [shingler(t) for t in batch["text"].to_pylist()]
+            if sum(map(len, held)) > _COUNT:
+                yield counted(held)
+                held = []
+        yield counted(held)
+    counts = docs.select("text").mapInArrow(run, "t long, c long").groupBy("t").agg(F.sum("c").alias("c"))
+    top = counts.where(F.col("c") >= FREQUENT_LEAST).orderBy(F.desc("c"), "t").limit(FREQUENT_MAX).select("t").collect()
     return np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
 
 
