@@ -46,22 +46,24 @@ def folded(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
 
-def shingle_hashes(words: str, size: int) -> Column:
-    """A hash for each place where ``size`` words begin (fewer at the end).
+def with_shingles(rows: DataFrame, size: int) -> DataFrame:
+    """``rows`` with ``hashes``: one for each place of ``words`` where ``size`` words begin (fewer at the end).
 
     Words that differ only in case are equal here; the comparison of the
-    words themselves comes later."""
-    hashes = F.transform(F.col(words), lambda w: F.xxhash64(F.lower(w)))
-
-    def joined(a: Column, b: Column, step: int) -> Column:
-        later = F.slice(b, step + 1, F.greatest(F.size(b) - step, F.lit(0)))
-        return F.slice(F.zip_with(a, later, lambda x, y: F.xxhash64(x, y)), 1, F.size(later))
-    out, have = hashes, 1
+    words themselves comes later. Each step has a projection of its own, so
+    that what the next one uses twice is computed once."""
+    rows = rows.withColumn("single", F.transform(F.col("words"), lambda w: F.xxhash64(F.lower(w)))).withColumn("hashes", F.col("single"))
+
+    def joined(with_: str, step: int) -> DataFrame:
+        size = F.greatest(F.size(with_) - step, F.lit(0))
+        return rows.withColumn("hashes", F.zip_with(F.slice("hashes", F.lit(1), size), F.slice(with_, F.lit(step + 1), size),
+                                                    lambda x, y: F.xxhash64(x, y)))
+    have = 1
     while 2 * have <= size:
-        out, have = joined(out, out, have), 2 * have
+        rows, have = joined("hashes", have), 2 * have
     for k in range(have, size):
-        out = joined(out, hashes, k)
-    return out
+        rows = joined("single", k)
+    return rows.drop("single")
 
 
 def benchmark_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
@@ -77,14 +79,13 @@ def benchmark_windows(items: DataFrame, id_col: str, text_col: str, window: int)
 def window_shingles(windows: DataFrame, size: int) -> DataFrame:
     """Shingles of the windows: ``win``, ``token``, ``offset`` (from 0). A shorter window is one shingle."""
     words = windows.withColumn("words", F.split("body", " "))
-    return words.select("win", F.posexplode(shingle_hashes("words", size)).alias("offset", "token"))
+    return with_shingles(words, size).select("win", F.posexplode("hashes").alias("offset", "token"))
 
 
 def _shared_places(docs: DataFrame, tokens: DataFrame, size: int, window: int, broadcast: bool) -> DataFrame:
     """Rows of the documents' shingles that an item has, with the words around
     each (``near``, from word ``from``), and for each document a row without."""
-    hashed = docs.select("row", "id", "words", F.size("words").cast("long").alias("n_words"),
-                         shingle_hashes("words", size).alias("hashes"))
+    hashed = with_shingles(docs.select("row", "id", "words", F.size("words").cast("long").alias("n_words")), size)
     # a last null is the document's own row
     places = hashed.select("row", "id", "words", "n_words", F.posexplode(F.concat(
         "hashes", F.array(F.lit(None).cast("long")))).alias("place", "token"))
