@@ -9,16 +9,16 @@ file a task. A file is the magic ``TS8B`` and a row of segments; a segment is
     document ids, their null marks, ids of each         int64, uint8, int64
 
 all little-endian, so that a reader can map the arrays and unpack any block
-alone. What a task holds is one segment, about 2 MB of text. File names are
+alone. What a task holds is one segment, about 1 MB of text. File names are
 reported in a small table with what each holds; the ids before a file are the
 running sum over that table."""
 
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +31,9 @@ from .common import ChunkTable, new_file, scratch, shared_files, slices, stored
 
 MAGIC = b"TS8B"
 #: Bytes of text in a segment, about.
-SEGMENT = 2 << 20
+SEGMENT = 1 << 20
 #: Distinct chunks that a task keeps at a time.
-KEEP = 200_000
+KEEP = 400_000
 MANIFEST = "part int, file string, n_docs long, n_ids long"
 
 
@@ -52,7 +52,10 @@ class BatchEncoder:
     that is white space. So if a text has no space beside other white space,
     its ids are those of its chunks (a space and what follows), and each
     distinct chunk is encoded once. Other texts, those with an added token's
-    string and other kinds of tokenizer are encoded whole."""
+    string and other kinds of tokenizer are encoded whole.
+
+    A Python worker keeps its encoder from task to task (``encoder``), since
+    the next task meets mostly the same chunks."""
 
     def __init__(self, path: str | None = None):
         from tokenizers import Tokenizer
@@ -61,26 +64,39 @@ class BatchEncoder:
         split = spec["pre_tokenizer"] or {}
         self.by_chunk = (split.get("type") == "ByteLevel" and split.get("use_regex", True)
                          and not split.get("add_prefix_space") and spec["normalizer"] is None)
-        self.whole = re.compile("|".join([r"\s | \s", r"\s\Z", r"\A\s", *(re.escape(t["content"]) for t in spec["added_tokens"])]))
-        self.table = ChunkTable()
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.clear()
+
+    def clear(self) -> None:
+        self.table, self.bare = ChunkTable(), np.zeros(0, bool)
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.table) > KEEP:
-            self.table = ChunkTable()
+            self.clear()
         index: list[np.ndarray | None] = []
+        look_up = self.table.__getitem__
         for text in texts:
-            if not self.by_chunk or self.whole.search(text):
+            if not self.by_chunk or any(a in text for a in self.added):
                 index.append(None)
             else:
                 first, *rest = text.split(" ")
-                index.append(np.array([self.table[c] for c in [first, *(f" {p}" for p in rest)] if c], np.int64))
-        if self.table.new:
-            self.table.add(self.plain(self.table.new))
-        others = iter(self.plain([t for t, k in zip(texts, index, strict=True) if k is None]))
-        return [np.array(next(others), np.int32) if k is None else self.table.gather(k) for k in index]
+                index.append(np.array([look_up(first), *map(look_up, [f" {p}" for p in rest])], np.int64))
+        if new := self.table.new:
+            # a chunk with white space at either end, or nothing but its space
+            bare = [(c[1:] if c[:1] == " " else c) for c in new]
+            self.bare = np.concatenate([self.bare, np.array([p.strip() != p or not p for p in bare], bool)])
+            self.table.add(self.plain(new))
+        whole = [k is None or (len(k) > 1 and bool(self.bare[k].any())) for k in index]
+        others = iter(self.plain([t for t, w in zip(texts, whole, strict=True) if w]))
+        return [np.array(next(others), np.int32) if w else self.table.gather(k) for k, w in zip(index, whole, strict=True)]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str | None) -> BatchEncoder:
+    return BatchEncoder(path)
 
 
 def write_segment(out, ids: list[np.ndarray], doc_ids: list[int | None]) -> int:
@@ -131,12 +147,12 @@ def write_tokens(docs: DataFrame, folder: str, end_id: int | None, id_col: str =
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        encoder, part, n_docs, n_ids = BatchEncoder(path), TaskContext.get().partitionId(), 0, 0
+        part, n_docs, n_ids = TaskContext.get().partitionId(), 0, 0
         end = np.array([] if end_id is None else [end_id], np.int32)
         with new_file(folder, f"part-{part:05}.ts8b") as (out, name):
             out.write(MAGIC)
             for batch in slices(_chain(first, batches), most=SEGMENT):
-                ids = [np.concatenate([i, end]) for i in encoder.encode([t or "" for t in batch["text"].to_pylist()])]
+                ids = [np.concatenate([i, end]) for i in encoder(path).encode([t or "" for t in batch["text"].to_pylist()])]
                 n_ids += write_segment(out, ids, batch["id"].to_pylist())
                 n_docs += batch.num_rows
         yield pa.RecordBatch.from_pylist([{"part": part, "file": name, "n_docs": n_docs, "n_ids": n_ids}],
