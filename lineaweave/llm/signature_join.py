@@ -20,8 +20,9 @@ in three steps, none of which loses a link:
    what is known to be connected are not looked for. Pairs of candidates from
    different homes or chunks are verified by a join of their sets.
 
-The order comes from the shingles that are frequent in a bounded sample. It
-decides how much work is done, never what is linked."""
+The order comes from a count of all texts, of which a bounded list of the most
+frequent shingles is kept. It decides how much work is done, never what is
+linked."""
 
 from __future__ import annotations
 
@@ -42,9 +43,9 @@ WORDS, PERCENT = 5, 80
 LEAF, FAN = 32, 8
 #: Sets and shingles that a chunk of a block has, about.
 CHUNK, CHUNK_SHINGLES = 2048, 2_000_000
-#: The order is taken from about so many texts: shingles that so many of them have are frequent, the first so many by count.
-SAMPLE, FREQUENT_LEAST, FREQUENT_MAX = 64_000, 8, 200_000
-#: Shingles that a task of the sample counts at a time; those that it meets once in a time are not counted.
+#: Shingles that so many texts have are frequent; of these the first so many by count rank last.
+FREQUENT_LEAST, FREQUENT_MAX = 8, 200_000
+#: Shingles that a task counts at a time; those that it meets once in a time are left out of the count.
 _COUNT = 4_000_000
 #: Ids of this many bytes at most are broadcast to pick texts; beyond it the texts are shuffled.
 BROADCAST_BYTES = 32 << 20
@@ -325,6 +326,18 @@ def _chunk_pair(percent: int, pairs: bool):
         words, rows = _by_length(table["bits"].combine_chunks())
         sides = np.unique(chunk)
         trees: dict[tuple[int, int, int], tuple[np.ndarray, SignatureTree]] = {}
+        if pairs:
+            token = table["token"][0].as_py() if table.num_rows else None
+            prefix = [np.asarray(x.values) for x in table["prefix"]]
+            shared = [frozenset(x) for x in table["shared"].to_pylist()]
+            rest = n - prefix_size(n, percent)
+
+        def plausible(i: int, j: int) -> bool:
+            """Whether this is the pair's first large block, and their prefixes have enough in common."""
+            if min(shared[i] & shared[j]) != token:
+                return False
+            common = len(np.intersect1d(prefix[i], prefix[j], assume_unique=True))
+            return common + max(rest[i], rest[j]) >= needed(n[i], n[j], percent)
 
         def tree(side: int, own: int, w: int) -> tuple[np.ndarray, SignatureTree] | None:
             if (side, own, w) not in trees:
@@ -343,6 +356,8 @@ def _chunk_pair(percent: int, pairs: bool):
                     for i, j in dual_traversal(one[1], two[1], percent):
                         x, y = one[0][i], two[0][j]
                         keep = comp[x] != comp[y]
+                        if pairs:
+                            keep[keep] = [plausible(i, j) for i, j in zip(x[keep].tolist(), y[keep].tolist(), strict=True)]
                         found.append(np.stack([np.minimum(node[x], node[y])[keep], np.maximum(node[x], node[y])[keep]]))
                         if not pairs:
                             found = [np.unique(np.concatenate([f.ravel() for f in found]))]
@@ -366,10 +381,7 @@ def _home(percent: int):
 # ---------------------------------------------------------------- the join
 
 def _frequent(docs: DataFrame, words: int) -> np.ndarray:
-    """Shingles that are frequent in the sample, sorted."""
-    n = docs.count()
-    if n > SAMPLE:
-        docs = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int((1 << 40) * (SAMPLE / n)))
+    """Shingles that are frequent in the texts, sorted. They order the shingles, whatever they are."""
 
     def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
         t, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
@@ -484,9 +496,10 @@ def _chunked(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _crossed(rows: DataFrame, percent: int, pairs: bool) -> DataFrame:
-    """Every pair of chunks of large blocks (token, node, n, comp, bits) through ``_chunk_pair``."""
+    """Every pair of chunks of large blocks (token, node, n, comp, bits; for pairs also the prefix and
+    the large blocks that the set shares) through ``_chunk_pair``."""
     parts = _chunked(rows, "token").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return parts.select("token", "node", "n", "comp", "chunk", "bits", F.least("chunk", "other").alias("p"),
+    return parts.select("token", "node", "n", "comp", "chunk", "bits", *(["prefix", "shared"] if pairs else []), F.least("chunk", "other").alias("p"),
                         F.greatest("chunk", "other").alias("q")).groupBy("token", "p", "q").applyInArrow(
         _chunk_pair(percent, pairs), "a long, b long" if pairs else "node long")
 
@@ -559,7 +572,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "node", F.coalesce("comp", "node").alias("comp"), "home", "chunk"), "state")
     of_large = large.join(state.select("node", "comp"), "node")
     kinds = of_large.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    crossed = _crossed(of_large.join(kinds, "token").join(marks, "node"), percent, True)
+    own = large.groupBy("node").agg(F.collect_list("token").alias("shared"))  # of the node's prefix
+    whole = nodes.select("node", "n", "bits", F.concat("rare", "common").alias("prefix"))
+    crossed = _crossed(of_large.join(kinds, "token").join(own, "node").join(whole, "node"), percent, True)
     pairs = near.unionAll(crossed).distinct()
     for side in ("a", "b"):
         pairs = pairs.join(state.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("comp", "home", "chunk"))), side)
