@@ -39,7 +39,7 @@ def normalize_ref(name: Column | str, path: Column | str, ref_type: Column | str
         .when(is_vol & vol_full, vol_id)
         .when(is_vol, F.concat(F.lit("volume:"), p))
         .when(F.instr(p, "://") > 0, cloud_id)
-        .otherwise(F.concat(F.lit("path:"), F.substring(path, 1, 80)))
+        .otherwise(F.concat(F.lit("path:"), path))
     )
     node_type = (
         F.when(_truthy(name), F.when(_truthy(ref_type), ref_type).otherwise(F.lit("TABLE")))

@@ -57,17 +57,16 @@ def search_graph(nodes: DataFrame, query: str) -> DataFrame:
 
 
 def preview(df: DataFrame, text: str = "", key: str | None = None, ascending: bool = True,
-            n: int = 500) -> DataFrame:
+            n: int | None = None) -> DataFrame:
     """Filter (B14), sort by one column (numeric order for numeric
     columns, binary string order otherwise; remaining columns break ties)
-    and keep the first ``n`` rows."""
+    and keep the first ``n`` rows, all by default. Without a key the order is
+    that of all columns from the left."""
     out = P.filter_rows(df, text)
-    if key is None:
-        return out.limit(n)
-    k = F.col(key)
-    first = k.asc_nulls_first() if ascending else k.desc_nulls_last()
+    first = [] if key is None else [F.col(key).asc_nulls_first() if ascending else F.col(key).desc_nulls_last()]
     rest = [F.col(c).asc_nulls_first() for c in df.columns if c != key]
-    return out.orderBy(first, *rest).limit(n)
+    out = out.orderBy(*first, *rest)
+    return out if n is None else out.limit(n)
 
 
 def resolve_names(entities: DataFrame, registry: DataFrame) -> DataFrame:

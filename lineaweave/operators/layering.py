@@ -224,11 +224,11 @@ def schema_of(node_id: F.Column) -> F.Column:
     return F.when(F.size(parts) == 3, F.element_at(parts, 2)).otherwise(F.lit(""))
 
 
-def schema_maps(g: G.Graph, k: int = 12) -> DataFrame:
+def schema_maps(g: G.Graph, k: int | None = None) -> DataFrame:
     """Per-schema map membership (schema, id): the schema's table
     nodes, their neighbours (undirected), and every neighbour of those
     neighbours that are entities. Schemas whose subgraph has no edge are
-    skipped; the ``k`` schemas with most tables are kept (ties by name).
+    skipped; with ``k``, the ``k`` schemas with most tables are kept (ties by name).
     Membership is keyed by bare schema name, as the report does."""
     ids = g.nodes.select("id")
     e = (g.edges.join(ids.select(F.col("id").alias("source")), "source", "left_semi")
@@ -244,7 +244,7 @@ def schema_maps(g: G.Graph, k: int = 12) -> DataFrame:
                  .join(member.select("schema", F.col("id").alias("target")), ["schema", "target"]))
     has_edges = sub_edges.select("schema").distinct()
     sizes = tables.groupBy("schema").agg(F.count("*").alias("n_tables")).join(has_edges, "schema", "left_semi")
-    top = sizes.orderBy(F.desc("n_tables"), F.asc("schema")).limit(k)  # bounded top-k
+    top = sizes if k is None else sizes.orderBy(F.desc("n_tables"), F.asc("schema")).limit(k)
     top = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_tables"), F.asc("schema"))))
     return member.join(top.select("schema", "rank"), "schema")
 

@@ -18,14 +18,14 @@ def probe(loader: Callable[[], DataFrame]) -> tuple[bool, bool, str]:
         non_empty = len(df.limit(1).take(1)) > 0
         return True, non_empty, "reachable"
     except Exception as e:  # unreachable relation: report, do not raise
-        return False, False, str(e)[:200]
+        return False, False, str(e)
 
 
 def source_readiness(spark: SparkSession, sources: dict[str, tuple[Callable[[], DataFrame], bool, str]],
                      visible_catalogs: DataFrame | None = None, tables_meta: DataFrame | None = None,
-                     sample: int = 8) -> tuple[DataFrame, bool]:
+                     sample: int | None = None) -> tuple[DataFrame, bool]:
     """One row per relation (check, ok, required, detail, hint) plus a
-    catalog-metadata row: visible catalogs (up to ``sample``, sorted,
+    catalog-metadata row: visible catalogs (with ``sample``, so many of them by name;
     system catalogs skipped) that expose no metadata rows are named in the
     hint. Overall ok = every required check ok."""
     rows = []
@@ -34,7 +34,8 @@ def source_readiness(spark: SparkSession, sources: dict[str, tuple[Callable[[],
         rows.append((name, reach, required, detail, None if reach else hint, non_empty))
     if visible_catalogs is not None and tables_meta is not None:
         vis = (visible_catalogs.select(F.col("catalog")).distinct()
-               .filter(~F.col("catalog").isin(*SYSTEM_CATALOGS)).orderBy("catalog").limit(sample))
+               .filter(~F.col("catalog").isin(*SYSTEM_CATALOGS)))
+        vis = vis if sample is None else vis.orderBy("catalog").limit(sample)
         have = tables_meta.select(F.col("table_catalog").alias("catalog")).distinct()
         flagged = vis.join(have.select("catalog", F.lit(True).alias("readable")), "catalog", "left")
         res = flagged.agg(F.count("*").alias("n"), F.count("readable").alias("ok"),

@@ -16,22 +16,16 @@ UNION ALL, which never reaches a fixpoint on cyclic lineage."""
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import checkpoint_dir, materialize
 from . import graph as G
 
-# Each hop's new nodes are written once to the checkpoint folder and read
-# back (``materialize``): plans stay shallow, a lost executor never replays
-# earlier hops, and later joins see the frontier's real size. The visited
-# set is the union of those per-hop scans, compacted every _COMPACT_EVERY
-# hops so the anti-join reads few, small file sets (measured: compacting
-# every 2 hops beats both every hop and every 8 on small frontiers).
-_COMPACT_EVERY = 2
 
 
 def reach(adj: DataFrame, seeds: DataFrame, max_hops: int | None = None, keys: tuple[str, ...] = ("seed",),
@@ -44,25 +38,33 @@ def reach(adj: DataFrame, seeds: DataFrame, max_hops: int | None = None, keys: t
     up to ``max_hops``. ``route`` columns (a subset of ``keys``) select the
     adjacency a key walks on, so e.g. up- and down-walks of many seeds run
     in one loop. Terminates on cycles (visited anti-join) and when a hop
-    adds nothing. One write and one count (the emptiness probe) per hop."""
+    adds nothing. Each hop is appended once to the walk's folder, which one
+    scan reads as the visited set and, at the end, as the result; nothing is
+    written again. One count (the emptiness probe) per hop."""
     keys = tuple(keys)
     adj = adj.select(*route, "node", "nbr")
-    layers = [materialize(seeds.select(*keys, "node").distinct().withColumn("hop", F.lit(0)), "seed")]
-    frontier = layers[0].drop("hop")
+    spark = adj.sparkSession
+    base = f"{checkpoint_dir(spark).rstrip('/')}/lw-reach-{uuid.uuid4().hex}"
+    paths: list[str] = []
+
+    def append(df: DataFrame) -> DataFrame:
+        path = f"{base}/h{len(paths)}"
+        df.write.parquet(path)
+        paths.append(path)
+        return spark.read.schema(df.schema).parquet(path)
+    first = append(seeds.select(*keys, "node").distinct().withColumn("hop", F.lit(0)))
+    schema, frontier = first.schema, first.drop("hop")
     hop = 0
     while max_hops is None or hop < max_hops:
         hop += 1
-        visited = reduce(DataFrame.unionByName, [l.select(*keys, "node") for l in layers])
+        visited = spark.read.schema(schema).parquet(*paths).select(*keys, "node")
         nxt = (frontier.join(adj, [*route, "node"]).select(*keys, F.col("nbr").alias("node")).distinct()
                .join(visited, [*keys, "node"], "left_anti").withColumn("hop", F.lit(hop)))
-        nxt = materialize(nxt, f"hop{hop}")
+        nxt = append(nxt)
         if nxt.count() == 0:
             break
-        layers.append(nxt)
         frontier = nxt.drop("hop")
-        if len(layers) >= _COMPACT_EVERY:
-            layers = [materialize(reduce(DataFrame.unionByName, layers), f"layers{hop}")]
-    return layers[0] if len(layers) == 1 else materialize(reduce(DataFrame.unionByName, layers), "reach")
+    return spark.read.schema(schema).parquet(*paths)
 
 
 def seeds_frame(spark: SparkSession, seeds: list[str] | DataFrame) -> DataFrame:
@@ -86,7 +88,7 @@ def lineage_adjacency(ev: DataFrame, direction: str) -> DataFrame:
     return df.distinct()
 
 
-def trace_many(ev: DataFrame, seeds: list[str] | DataFrame, max_hops: int | None = 16,
+def trace_many(ev: DataFrame, seeds: list[str] | DataFrame, max_hops: int | None = None,
                directions: tuple[str, ...] = ("up", "down")) -> DataFrame:
     """(seed, node, direction, hop) for every seed's ancestors
     ('up') and descendants ('down'), each direction with its own visited
@@ -108,7 +110,7 @@ def trace_many(ev: DataFrame, seeds: list[str] | DataFrame, max_hops: int | None
     return r.select("seed", "node", "direction", "hop")
 
 
-def trace(ev: DataFrame, seed: str, direction: str, max_hops: int | None = 16) -> DataFrame:
+def trace(ev: DataFrame, seed: str, direction: str, max_hops: int | None = None) -> DataFrame:
     """D1 (direction='up') / D2 (direction='down') for one seed: (node, hop)."""
     return trace_many(ev, [seed], max_hops, (direction,)).select("node", "hop")
 
@@ -148,7 +150,7 @@ def truncation_rows(ev: DataFrame, reached: DataFrame, max_hops: int | None) ->
             .select(F.lit(1).alias("x")))
 
 
-def trace_graph(ev: DataFrame, seed: str, max_hops: int | None = 16, columns_meta: DataFrame | None = None,
+def trace_graph(ev: DataFrame, seed: str, max_hops: int | None = None, columns_meta: DataFrame | None = None,
                 cost: DataFrame | None = None, window_days: int | None = None) -> G.Graph:
     """D3: full cone of one seed as a graph — up and down walks, the rows
     they reach deduplicated (E8), nodes, read-after-write routed edges,

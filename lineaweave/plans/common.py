@@ -16,7 +16,8 @@ DAYS = 90
 SEED = "analytics.gold.t7"
 SCOPE_CATALOG, SCOPE_SCHEMA = "main", "bronze"
 CATALOG_SCOPE = "analytics"
-MAX_HOPS = 16
+MAX_HOPS = None  # walks end where nothing new is reached
+ORACLE_HOPS = 40  # recursive SQL needs a bound on cycles; beyond the depth of the inputs it changes nothing
 COST_AS_OF, COST_DAYS = "2002-01-01", 3000
 COLUMN_SEED = ("analytics.mart.t7", "c2")
 NOW_TS = "2024-01-30 12:00:00"
@@ -77,7 +78,7 @@ def norm_id_sql(name: str, path: str) -> str:
       WHEN starts_with({p}, '/Volumes/') THEN 'volume:' || {p}
       WHEN strpos({p}, '://') > 0
         THEN 'path:' || split_part({p}, '://', 1) || '://' || split_part(substr({p}, strpos({p}, '://') + 3), '/', 1)
-      ELSE 'path:' || substr({path}, 1, 80) END)"""
+      ELSE 'path:' || {path} END)"""
 
 
 def norm_type_sql(name: str, path: str, typ: str) -> str:

@@ -239,7 +239,7 @@ def q_pipelines_view(spark, sf):
 
 # ---------------------------------------------------------------- traces
 
-def _walk_sql(direction: str, seed_sql: str, max_hops: int = C.MAX_HOPS) -> list:
+def _walk_sql(direction: str, seed_sql: str, max_hops: int = C.ORACLE_HOPS) -> list:
     if direction == "up":
         adj = "SELECT DISTINCT target_table_full_name AS node, source_table_full_name AS nbr FROM ev"
     else:
@@ -291,8 +291,8 @@ def q_trace_many(spark, sf):
 
 
 _TRACE_CTES = ([EV] + _walk_sql("up", _SEED_SQL) + _walk_sql("down", _SEED_SQL) + [
-    ("tr", f"""SELECT * FROM ev WHERE target_table_full_name IN (SELECT node FROM m_up WHERE hop < {C.MAX_HOPS})
-      UNION SELECT * FROM ev WHERE source_table_full_name IN (SELECT node FROM m_down WHERE hop < {C.MAX_HOPS})"""),
+    ("tr", f"""SELECT * FROM ev WHERE target_table_full_name IN (SELECT node FROM m_up WHERE hop < {C.ORACLE_HOPS})
+      UNION SELECT * FROM ev WHERE source_table_full_name IN (SELECT node FROM m_down WHERE hop < {C.ORACLE_HOPS})"""),
     ("r", C.norm_rows_sql("tr")),
     ("er", "SELECT * FROM r WHERE ekey IS NOT NULL"),
     ("edges", C.routed_edges_sql("er") + """
@@ -336,8 +336,8 @@ def q_trace_edges(spark, sf):
 
 
 @register("trace_meta", C.oracle(TL, [EV] + _walk_sql("up", _SEED_SQL) + _walk_sql("down", _SEED_SQL), f"""
-SELECT (EXISTS (SELECT 1 FROM ev WHERE target_table_full_name IN (SELECT node FROM m_up WHERE hop >= {C.MAX_HOPS}))
-        OR EXISTS (SELECT 1 FROM ev WHERE source_table_full_name IN (SELECT node FROM m_down WHERE hop >= {C.MAX_HOPS})))
+SELECT (EXISTS (SELECT 1 FROM ev WHERE target_table_full_name IN (SELECT node FROM m_up WHERE hop >= {C.ORACLE_HOPS}))
+        OR EXISTS (SELECT 1 FROM ev WHERE source_table_full_name IN (SELECT node FROM m_down WHERE hop >= {C.ORACLE_HOPS})))
        AS truncated, CAST({C.DAYS} AS INT) AS lineage_window_days""", recursive=True))
 def q_trace_meta(spark, sf):
     """D3 meta: truncated flag and window days."""

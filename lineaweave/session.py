@@ -112,5 +112,3 @@ class LoopState:
             d.unpersist()
         self.held = []
 
-
-write_table = materialize
