@@ -9,7 +9,7 @@ file a task. A file is the magic ``TS8B`` and a row of segments; a segment is
     document ids, their null marks, ids of each         int64, uint8, int64
 
 all little-endian, so that a reader can map the arrays and unpack any block
-alone. What a task holds is one segment, about 1 MB of text. File names are
+alone. What a task holds is one segment, about 4 MB of text. File names are
 reported in a small table with what each holds; the ids before a file are the
 running sum over that table."""
 
@@ -22,18 +22,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import ChunkTable, new_file, scratch, shared_files, slices, stored
+from .common import new_file, scratch, shared_files, slices, stored
 
 MAGIC = b"TS8B"
 #: Bytes of text in a segment, about.
-SEGMENT = 1 << 20
+SEGMENT = 4 << 20
 #: Distinct chunks that a task keeps at a time.
 KEEP = 400_000
+#: New chunks that are encoded side by side.
+JOINED = 5_000
 MANIFEST = "part int, file string, n_docs long, n_ids long"
 
 
@@ -51,47 +54,102 @@ class BatchEncoder:
     The byte-level split never joins a space to what stands before it, unless
     that is white space. So if a text has no space beside other white space,
     its ids are those of its chunks (a space and what follows), and each
-    distinct chunk is encoded once. Other texts, those with an added token's
-    string and other kinds of tokenizer are encoded whole.
+    distinct chunk of a batch is encoded once. New chunks are encoded side by
+    side as one text, whose ids the bytes of each token part again; those met
+    twice in a batch are kept. Texts with a hard chunk (white space at an end,
+    an added token's string) and other kinds of tokenizer are encoded whole.
 
     A Python worker keeps its encoder from task to task (``encoder``), since
-    the next task meets mostly the same chunks."""
+    the next task meets the same frequent chunks."""
 
     def __init__(self, path: str | None = None):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(tokenizer_path(path))
         spec = json.loads(self.tokenizer.to_str())
         split = spec["pre_tokenizer"] or {}
-        self.by_chunk = (split.get("type") == "ByteLevel" and split.get("use_regex", True)
-                         and not split.get("add_prefix_space") and spec["normalizer"] is None)
         self.added = [t["content"] for t in spec["added_tokens"]]
+        self.by_chunk = (split.get("type") == "ByteLevel" and split.get("use_regex", True)
+                         and not split.get("add_prefix_space") and spec["normalizer"] is None
+                         and not any(" " in a for a in self.added))
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.width = np.zeros(max(vocabulary.values(), default=-1) + 1, np.int64)  # bytes of a token: a letter each
+        self.width[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.clear()
 
     def clear(self) -> None:
-        self.table, self.bare = ChunkTable(), np.zeros(0, bool)
+        self.known: dict[str, int] = {}
+        self.flat, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.table) > KEEP:
+    def joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and how many each has, of chunks that begin with a space and are not hard."""
+        blocks = [chunks[k:k + JOINED] for k in range(0, len(chunks), JOINED)]
+        flat, size = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for block, ids in zip(blocks, self.plain(["".join(b) for b in blocks]), strict=True):
+            ids = np.array(ids, np.int32)
+            ends = np.cumsum(pc.binary_length(pa.array(block)).to_numpy())
+            to = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
+            if len(ids) != to[-1] or (np.cumsum(self.width[ids])[to - 1] != ends).any():
+                raise ValueError("the tokenizer joined chunks that a space parts")
+            flat.append(ids)
+            size.append(np.diff(to, prepend=0))
+        return np.concatenate(flat), np.concatenate(size)
+
+    def hard(self, chunks: pa.Array) -> np.ndarray:
+        """Which chunks, without their space, are empty, have white space at an end or an added token's string."""
+        hard = pc.or_(pc.equal(chunks, ""), pc.not_equal(pc.utf8_trim_whitespace(chunks), chunks))
+        for added in self.added:
+            hard = pc.or_(hard, pc.match_substring(chunks, added))
+        return hard.to_numpy(zero_copy_only=False)
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        """Ids of each text, a null being an empty text."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if not len(texts) or not self.by_chunk:
+            return [np.array(i, np.int32) for i in self.plain(texts.to_pylist())]
+        if len(self.known) > KEEP:
             self.clear()
-        index: list[np.ndarray | None] = []
-        look_up = self.table.__getitem__
-        for text in texts:
-            if not self.by_chunk or any(a in text for a in self.added):
-                index.append(None)
-            else:
-                first, *rest = text.split(" ")
-                index.append(np.array([look_up(first), *map(look_up, [f" {p}" for p in rest])], np.int64))
-        if new := self.table.new:
-            # a chunk with white space at either end, or nothing but its space
-            bare = [(c[1:] if c[:1] == " " else c) for c in new]
-            self.bare = np.concatenate([self.bare, np.array([p.strip() != p or not p for p in bare], bool)])
-            self.table.add(self.plain(new))
-        whole = [k is None or (len(k) > 1 and bool(self.bare[k].any())) for k in index]
-        others = iter(self.plain([t for t, w in zip(texts, whole, strict=True) if w]))
-        return [np.array(next(others), np.int32) if w else self.table.gather(k) for k, w in zip(index, whole, strict=True)]
+        split = pc.split_pattern(texts, " ")
+        starts = split.offsets.to_numpy()[:-1].astype(np.int64) - split.offsets[0].as_py()
+        pieces = split.flatten()
+        first, coded = pieces.take(pa.array(starts)), pieces.dictionary_encode()
+        # distinct chunks with their space; behind them the texts' first chunks, which have none
+        chunks = [f" {p}" for p in coded.dictionary.to_pylist()] + first.to_pylist()
+        hard = np.concatenate([self.hard(coded.dictionary), self.hard(first)])
+        code = coded.indices.to_numpy().astype(np.int64)
+        code[starts] = len(coded.dictionary) + np.arange(len(first))
+        # where each chunk's ids are: among the known ones, or behind them
+        at = np.fromiter((self.known.get(c, -1) for c in chunks), np.int64, len(chunks))
+        easy = ~hard & (np.arange(len(chunks)) < len(coded.dictionary))
+        side, alone = np.flatnonzero((at < 0) & easy), np.flatnonzero((at < 0) & ~easy)
+        flat, size = self.joined([chunks[k] for k in side])
+        own = self.plain([chunks[k] for k in alone])
+        n = len(self.size)
+        at[side], at[alone] = n + np.arange(len(side)), n + len(side) + np.arange(len(alone))
+        ids = np.concatenate([self.flat, flat, *(np.array(i, np.int32) for i in own)])
+        sizes = np.concatenate([self.size, size, np.fromiter(map(len, own), np.int64, len(own))])
+        index = at[code]
+        ends = np.cumsum(np.add.reduceat(sizes[index], starts))
+        out = np.split(gather(ids, sizes, index), ends[:-1])
+        several = np.diff(np.append(starts, len(index))) > 1
+        whole = np.flatnonzero(several & np.logical_or.reduceat(hard[code], starts))
+        for k, theirs in zip(whole, self.plain(texts.take(pa.array(whole)).to_pylist()), strict=True):
+            out[k] = np.array(theirs, np.int32)
+        # keep the new chunks that the batch has twice
+        twice = np.bincount(code, minlength=len(chunks))[side] > 1
+        self.known.update((chunks[k], n + j) for j, k in enumerate(side[twice]))
+        self.flat = np.concatenate([self.flat, flat[np.repeat(twice, size)]])
+        self.size = np.concatenate([self.size, size[twice]])
+        return out
+
+
+def gather(flat: np.ndarray, size: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """The runs of ``flat``, of ``size`` each, at ``index``, one after the other."""
+    start, size = (np.cumsum(size) - size)[index], size[index]
+    shift = np.repeat(start - np.cumsum(size) + size, size)
+    return flat[shift + np.arange(len(shift))]
 
 
 @lru_cache(maxsize=1)
@@ -152,7 +210,7 @@ def write_tokens(docs: DataFrame, folder: str, end_id: int | None, id_col: str =
         with new_file(folder, f"part-{part:05}.ts8b") as (out, name):
             out.write(MAGIC)
             for batch in slices(_chain(first, batches), most=SEGMENT):
-                ids = [np.concatenate([i, end]) for i in encoder(path).encode([t or "" for t in batch["text"].to_pylist()])]
+                ids = [np.concatenate([i, end]) for i in encoder(path).encode(batch["text"])]
                 n_ids += write_segment(out, ids, batch["id"].to_pylist())
                 n_docs += batch.num_rows
         yield pa.RecordBatch.from_pylist([{"part": part, "file": name, "n_docs": n_docs, "n_ids": n_ids}],
