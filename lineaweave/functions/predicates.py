@@ -99,16 +99,17 @@ def not_internal_table(table_name: Column | str) -> Column:
     return c.isNull() | ~c.rlike(INTERNAL_TABLE_RE)
 
 
-def _volume_prefix_match(path: Column, prefix: str) -> Column:
-    bare = F.when(path.startswith("dbfs:/Volumes/"), path.substr(F.lit(6), F.length(path))).otherwise(path)
-    return F.coalesce(bare.startswith(prefix), F.lit(False))
+def _under(path: Column, prefix: str) -> Column:
+    return path.startswith(prefix) | path.startswith(f"dbfs:{prefix}")
 
 
-def scope_predicate(catalog: str, schema: str | None = None, side_cols: dict | None = None) -> Column:
+def scope_predicate(catalog: str, schema: str | None = None) -> Column:
     """A lineage row is in scope when either side's table is in the
     catalog (and schema), or either side's path is under the scope's volume
-    prefix. Paths are normalised (dbfs: stripped) before a literal prefix
-    test, so ``_`` in names is not a wildcard."""
+    prefix, with ``dbfs:`` before it or not. The prefix test is literal, so
+    ``_`` in names is not a wildcard. For use in a filter: it is NULL, not
+    false, for a row out of scope with missing sides. Only comparisons with
+    literals, so all of it reaches the scan."""
     s_cat, s_sch = F.col("source_table_catalog"), F.col("source_table_schema")
     t_cat, t_sch = F.col("target_table_catalog"), F.col("target_table_schema")
     if schema is None:
@@ -117,9 +118,7 @@ def scope_predicate(catalog: str, schema: str | None = None, side_cols: dict | N
     else:
         prefix = f"/Volumes/{catalog}/{schema}/"
         tables = ((t_cat == catalog) & (t_sch == schema)) | ((s_cat == catalog) & (s_sch == schema))
-    return (F.coalesce(tables, F.lit(False))
-            | _volume_prefix_match(F.col("source_path"), prefix)
-            | _volume_prefix_match(F.col("target_path"), prefix))
+    return tables | _under(F.col("source_path"), prefix) | _under(F.col("target_path"), prefix)
 
 
 def scope_filter(df: DataFrame, catalog: str, schema: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 import io
 from contextlib import redirect_stdout
 
+from lineaweave.functions import predicates as P
 from lineaweave.operators import cost as CO
 from lineaweave.operators import graph as G
 from lineaweave.operators import requests as RQ
@@ -25,6 +26,15 @@ def test_window_and_scope_reach_the_scan(spark):
     assert "created_by" not in p.split("ReadSchema:")[1].split("\n")[0]
 
 
+def test_scope_predicate_reaches_the_scan(spark):
+    p = _plan(P.scope_filter(C.lineage(spark, SF), "main", "bronze"))
+    pushed = next(line for line in p.split("\n") if line.startswith("PushedFilters:"))
+    for test in ("EqualTo(target_table_schema,bronze)", "EqualTo(source_table_catalog,main)",
+                 "StringStartsWith(source_path,dbfs:/Volumes/main/bronze/)",
+                 "StringStartsWith(target_path,/Volumes/main/bronze/)"):
+        assert test in pushed
+
+
 def test_price_list_broadcast_by_size_with_range_residual(spark):
     p = _plan(CO.job_cost(C.fx(spark, SF, "usage"), C.fx(spark, SF, "list_prices"), C.COST_AS_OF, C.COST_DAYS))
     assert "BroadcastHashJoin" in p and "price_end_time" in p
