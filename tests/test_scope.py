@@ -1,71 +1,61 @@
 """Scope graph (D5) cases: catalog span, column keying, stubs, status, cap."""
-import datetime as dt
-
 import pytest
-from pyspark.sql import functions as F
 
 from lineaweave.operators import graph as G
 
 from conftest import lineage_rows
 
-TABLES = [("main", "bronze", "customers", "MANAGED"), ("main", "bronze", "raw_orders", "MANAGED"),
-          ("main", "silver", "customers", "MANAGED")]
-COLUMNS = [("main", "bronze", "customers", "b_id", "INT", "int", "NO", 1),
-           ("main", "silver", "customers", "s_email", "STRING", "string", "YES", 1),
-           ("main", "bronze", "raw_orders", "oid", "INT", "int", "NO", 1)]
-
-
-@pytest.fixture
-def inputs(spark):
-    tables = spark.createDataFrame(
-        [(c, s, t, ty, "u", None, None, None) for c, s, t, ty in TABLES],
-        "table_catalog string, table_schema string, table_name string, table_type string, table_owner string, "
+META = ("table_catalog string, table_schema string, table_name string, table_type string, table_owner string, "
         "comment string, created timestamp_ntz, last_altered timestamp_ntz")
-    cols = spark.createDataFrame(COLUMNS, "table_catalog string, table_schema string, table_name string, "
-                                          "column_name string, data_type string, full_data_type string, "
-                                          "is_nullable string, ordinal_position int")
-    ev = lineage_rows(spark, [("main.bronze.raw_orders", "main.silver.customers", None, None)])
-    return ev, tables, cols
-
-
-def _graph(inputs, schema, **kw):
-    ev, tables, cols = inputs
-    return G.build_scope_graph(ev, tables, "main", schema, columns_meta=cols, **kw)
-
-
-def test_catalog_scope_spans_all_schemas(inputs):
-    g = _graph(inputs, None)
-    ids = {r.id for r in g.nodes.collect()}
-    assert {"main.bronze.customers", "main.bronze.raw_orders", "main.silver.customers"} <= ids
-    assert ("main.bronze.raw_orders", "main.silver.customers") in {tuple(r) for r in g.edges.collect()}
-
-
-def test_columns_keyed_by_schema_no_collision(inputs):
-    by_id = {r.id: r for r in _graph(inputs, None).nodes.collect()}
-    assert [c.name for c in by_id["main.bronze.customers"].columns] == ["b_id"]
-    assert [c.name for c in by_id["main.silver.customers"].columns] == ["s_email"]
-
-
-def test_schema_scope_keeps_cross_schema_target_external(inputs):
-    g = _graph(inputs, "bronze")
-    assert "main.bronze.raw_orders" in {r.id for r in g.nodes.collect()}
-    assert any(r.target == "main.silver.customers" for r in g.edges.collect())
-
-
-def test_cross_schema_external_node_not_orphan(inputs):
-    ext = next(r for r in _graph(inputs, "bronze").nodes.collect() if r.id == "main.silver.customers")
-    assert ext.upstream_count >= 1 and ext.lineage_status == "leaf"
-    assert ext.table_type == "TABLE" and ext.comment == "Cross-schema reference from main.silver"
-
-
-def test_catalog_cap_enforced(inputs):
-    with pytest.raises(ValueError, match="limit"):
-        _graph(inputs, None, max_tables=2)
-
-
-def test_schema_scope_not_capped(inputs):
-    g = _graph(inputs, "bronze", max_tables=1)
-    assert any(r.id == "main.bronze.raw_orders" for r in g.nodes.collect())
+COLUMN_META = ("table_catalog string, table_schema string, table_name string, column_name string, data_type string, "
+               "full_data_type string, is_nullable string, ordinal_position int")
+# a table name that two schemas share, with its own column in each
+SHOP = {"intake.visits": "visitor", "intake.clicks": "pressed", "sales.visits": "takings"}
+FLOWS = [("shop.intake.clicks", "shop.sales.visits"), ("lab.feeds.sensor", "shop.intake.visits"),
+         ("lab.feeds.sensor", "lab.feeds.copy")]
+
+
+@pytest.fixture(scope="module")
+def scoped(spark):
+    """(ids -> node rows, edges) of a scope of the shop, given more arguments; each is built once."""
+    def split(name):
+        return ("shop", *name.split("."))
+    tables = spark.createDataFrame([(*split(t), "MANAGED", None, None, None, None) for t in SHOP], META)
+    columns = spark.createDataFrame([(*split(t), c, "INT", "int", "YES", 1) for t, c in SHOP.items()], COLUMN_META)
+    log = lineage_rows(spark, [(s, t, None, None) for s, t in FLOWS])
+    built = {}
+
+    def make(schema, **limits):
+        key = (schema, *limits.items())
+        if key not in built:
+            g = G.build_scope_graph(log, tables, "shop", schema, columns_meta=columns, **limits)
+            built[key] = {r.id: r for r in g.nodes.collect()}, {tuple(r) for r in g.edges.collect()}
+        return built[key]
+    return make
+
+
+def test_a_catalog_holds_its_schemas_and_what_touches_them(scoped):
+    nodes, edges = scoped(None)
+    assert set(nodes) == {f"shop.{t}" for t in SHOP} | {"lab.feeds.sensor"}
+    assert edges == set(FLOWS[:2])
+    for table, column in SHOP.items():
+        assert [c.name for c in nodes[f"shop.{table}"].columns] == [column]
+
+
+def test_a_schema_shows_others_as_stubs(scoped):
+    nodes, edges = scoped("intake")
+    assert set(nodes) == {"shop.intake.visits", "shop.intake.clicks", "shop.sales.visits", "lab.feeds.sensor"}
+    assert edges == set(FLOWS[:2])
+    stub = nodes["shop.sales.visits"]
+    assert (stub.upstream_count, stub.downstream_count, stub.lineage_status) == (1, 0, "leaf")
+    assert (stub.table_type, stub.comment) == ("TABLE", "Cross-schema reference from shop.sales")
+    assert set(scoped("sales")[0]) == {"shop.sales.visits", "shop.intake.clicks"}
+
+
+def test_table_limit_is_for_catalogs(scoped):
+    with pytest.raises(ValueError, match="3 tables"):
+        scoped(None, max_tables=2)
+    assert scoped("intake", max_tables=1) == scoped("intake")
 
 
 def test_read_after_write_and_coverage(spark):
