@@ -6,13 +6,15 @@ host; a document that loses too many of its words with such lines is
 rejected, and so is one that fails the base rules (too few words, or most of
 its words in repeated three-word windows).
 
-Copies are one document: a document's identity is the smallest hash among its
-lines, which exact copies share and near copies mostly do. So a text is not
-taken for boilerplate because it was copied often.
+Copies are one document: a document's identity is a hash of all its line
+hashes, which only texts of the same normalised lines share. So a text is not
+taken for boilerplate because it was copied often, and documents that share
+some of their lines, be they most, count one by one. Near copies do too.
 
-The per-document part runs in Arrow batches, the counts as two grouped sums
-(first by host, line and identity, then by host and line), so that a line
-which half of all documents hold is summed before it is shuffled."""
+The per-document part runs in Arrow batches. One row of each identity of a
+host stands for its copies; the counts are grouped sums over the lines of
+these, so that a line which half of all documents hold is summed before it is
+shuffled."""
 
 from __future__ import annotations
 
@@ -47,6 +49,11 @@ def line_hash(line: str) -> int:
     return xxhash.xxh3_64_intdigest(plain) - (1 << 63)
 
 
+def identity(hashes: np.ndarray) -> int | None:
+    """Signed 64-bit hash of a document's distinct line hashes, whatever their order; None without lines."""
+    return xxhash.xxh3_64_intdigest(np.sort(hashes).tobytes()) - (1 << 63) if len(hashes) else None
+
+
 def repeated_words(words: list[bytes]) -> int:
     """Words that stand in a three-word window found twice or more."""
     n = len(words) - 2
@@ -81,8 +88,9 @@ def text_features(text: str | None) -> tuple:
         by_hash[h] = by_hash.get(h, 0) + len(own)
     spaces = len(raw) - len(raw.translate(None, _SPACE))
     symbols = len(raw) - len(raw.translate(None, _SYMBOLS))
+    hashes = np.array(list(by_hash), np.int64)
     return (len(words), len(text) - spaces, symbols, dup, repeated_words(words),
-            min(by_hash, default=None), np.array(list(by_hash), np.int64), np.array(list(by_hash.values()), np.int64))
+            identity(hashes), hashes, np.array(list(by_hash.values()), np.int64))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,11 +109,13 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs
                         F.coalesce(F.col(host_col), F.lit("")).alias("host"), F.col(text_col).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
     feats = stored(given.mapInArrow(_features, f"id {id_type}, {FEATURES}"), "lines")
-    lines = feats.select("row", "host", "ident", F.explode(F.arrays_zip("line_hash", "line_words")).alias("x")).select(
-        "row", "host", "ident", F.col("x.line_hash").alias("h"), F.col("x.line_words").alias("w"))
-    hosts = feats.where("ident IS NOT NULL").groupBy("host", "ident").agg(F.count("*")).groupBy("host").agg(
-        F.count("*").alias("of"))
-    held = lines.groupBy("host", "h", "ident").agg(F.count("*")).groupBy("host", "h").agg(F.count("*").alias("n"))
+    lines = feats.select("row", "host", F.explode(F.arrays_zip("line_hash", "line_words")).alias("x")).select(
+        "row", "host", F.col("x.line_hash").alias("h"), F.col("x.line_words").alias("w"))
+    firsts = stored(feats.where("ident IS NOT NULL").groupBy("host", "ident").agg(F.min("row").alias("row")).select(
+        "host", "row"), "distinct")
+    hosts = firsts.groupBy("host").agg(F.count("*").alias("of"))
+    held = feats.join(firsts.select("row"), "row", "left_semi").select("host", F.explode("line_hash").alias("h")).groupBy(
+        "host", "h").agg(F.count("*").alias("n"))
     common = stored(held.where(F.col("n") >= min_docs).join(hosts, "host").where(
         F.col("n") > max_share * F.col("of")).select("host", "h"), "common-lines")
     lost = lines.join(common, ["host", "h"]).groupBy("row").agg(F.sum("w").alias("n_removed_words"))

@@ -1,7 +1,7 @@
 """Operators that judge each document: line rules, language, quality, token counts, pieces."""
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -46,6 +46,42 @@ def test_line_rules_reject_boilerplate_not_copies(docs_of):
     assert left.columns == docs_of(own).columns
 
 
+def line_set(text):
+    return frozenset(line_rules.line_hash(x) for x in (text or "").split("\n") if x.encode().split())
+
+
+def boilerplate_by_host(given, min_docs, max_share):
+    """Boilerplate lines from sets of distinct documents, by brute force."""
+    docs, held = defaultdict(set), defaultdict(set)
+    for _, text, _, host in given:
+        docs[host].add(line_set(text))
+        for h in line_set(text):
+            held[host, h].add(line_set(text))
+    return {k for k, v in held.items() if len(v) >= min_docs and len(v) > max_share * len(docs[k[0]])}
+
+
+def boilerplate_documents():
+    """Documents that pass the base rules: with menus that are little or most of the text, own ones, and copies."""
+    menu = [f"{w} entry of this very same site {prose(w_k, 9)}" for w_k, w in enumerate("abcdefghijklmnopqrst")]
+    some = [(k, "\n".join([*(prose(70 * k + j, 12) for j in range(6)), *menu[:2]]), "en", "hot") for k in range(30)]
+    most = [(100 + k, "\n".join([*menu, prose(5000 + k, 12)]), "en", "hot") for k in range(30)]
+    own = [(200 + k, "\n".join(prose(9000 * k + j, 12) for j in range(8)), "en", "hot") for k in range(60)]
+    copies = [(300 + k, own[0][1], "en", "hot") for k in range(50)]
+    return some + most + own + copies + [(400 + k, t, "en", "cold") for k, (_, t, *_) in enumerate(some[:5] + own[:5])]
+
+
+def test_line_rules_count_every_distinct_document(docs_of):
+    given = boilerplate_documents()
+    want = boilerplate_by_host(given, line_rules.MIN_DOCS, line_rules.MAX_SHARE)
+    assert len(want) == 20
+    assert {tuple(r) for r in line_rules.common_lines(docs_of(given)).collect()} == want
+    got = rows(line_rules.judge_documents(docs_of(given)))
+    for i, text, _, host in given:
+        lost = sum(len(x.split()) for x in text.split("\n") if (host, line_rules.line_hash(x)) in want)
+        assert not got[i]["base_failed"] and got[i]["n_removed_words"] == lost
+        assert got[i]["kept"] == (not 100 <= i < 130)
+
+
 @pytest.mark.parametrize("f", [line_rules.judge_documents, trie_tokens.count_tokens, sentence_pieces.encode_documents,
                                weak_quality.classify])
 def test_empty_tables(docs_of, f):
