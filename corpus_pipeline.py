@@ -18,8 +18,8 @@ MIN_LANGUAGE_SCORE = 0.5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not mostly boilerplate lines of their source."""
-    return line_rules.reject_documents(docs)
+    """Documents that pass the base rules and are not mostly boilerplate lines of their source, without such lines."""
+    return line_rules.clean_documents(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Each line is normalised (case, digits, spaces) and hashed. A line that stands
 in too large a share of a host's distinct documents is boilerplate of that
 host; a document that loses too many of its words with such lines is
 rejected, and so is one that fails the base rules (too few words, or most of
-its words in repeated three-word windows).
+its words in repeated three-word windows). ``clean_documents`` cuts these lines
+out of the documents that stay.
 
 Copies are one document: a document's identity is a hash of all its line
 hashes, which only texts of the same normalised lines share. So a text is not
@@ -24,8 +25,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import ragged, slices, stored
 
@@ -39,7 +41,7 @@ MIN_WORDS, MAX_REPEAT = 50, 50
 _SPACE, _SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
 _DIGITS = re.compile(r"\d+")
 
-FEATURES = ("row long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+FEATURES = ("row long, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
             "n_repeat_words long, ident long, line_hash array<long>, line_words array<int>")
 
 
@@ -97,16 +99,31 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         cols = list(zip(*map(text_features, batch["text"].to_pylist()), strict=True))
         yield pa.RecordBatch.from_arrays(
-            [batch["id"], batch["row"], batch["host"], *(pa.array(c, pa.int64()) for c in cols[:6]),
+            [batch["id"], batch["row"], batch["host"], batch["text_hash"], *(pa.array(c, pa.int64()) for c in cols[:6]),
              ragged(cols[6], pa.int64()), ragged(cols[7], pa.int32())],
             names=["id", *(f.split()[0] for f in FEATURES.split(", "))])
 
 
+def cut_lines(text: str, hashes: set[int]) -> str:
+    """``text`` without the lines whose hash is one of ``hashes``; other lines, blank ones too, stay as they are."""
+    return "\n".join(x for x in text.split("\n") if not x.encode().split() or line_hash(x) not in hashes)
+
+
+@F.arrow_udf(StringType())
+def _cut(texts: pa.Array, cuts: pa.Array) -> pa.Array:
+    return pa.array([None if h is None else cut_lines(t, set(h))
+                     for t, h in zip(texts.to_pylist(), cuts.to_pylist(), strict=True)], pa.string())
+
+
+def _host(host_col: str) -> Column:
+    return F.coalesce(F.col(host_col), F.lit(""))
+
+
 def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int, max_share: float,
             max_removed: float) -> tuple[DataFrame, DataFrame]:
-    """Per-document verdicts with a row number, and the boilerplate lines (host, h)."""
+    """Per-document verdicts with a row number and the lines to cut, and the boilerplate lines (host, h)."""
     given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
-                        F.coalesce(F.col(host_col), F.lit("")).alias("host"), F.col(text_col).alias("text"))
+                        _host(host_col).alias("host"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
     feats = stored(given.mapInArrow(_features, f"id {id_type}, {FEATURES}"), "lines")
     lines = feats.select("row", "host", F.explode(F.arrays_zip("line_hash", "line_words")).alias("x")).select(
@@ -118,7 +135,8 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs
         "host", "h").agg(F.count("*").alias("n"))
     common = stored(held.where(F.col("n") >= min_docs).join(hosts, "host").where(
         F.col("n") > max_share * F.col("of")).select("host", "h"), "common-lines")
-    lost = lines.join(common, ["host", "h"]).groupBy("row").agg(F.sum("w").alias("n_removed_words"))
+    lost = lines.join(common, ["host", "h"]).groupBy("row").agg(
+        F.sum("w").alias("n_removed_words"), F.collect_list("h").alias("cut"))
     out = feats.drop("line_hash", "line_words", "ident").join(lost, "row", "left").withColumn(
         "n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
@@ -151,3 +169,28 @@ def reject_documents(docs: DataFrame, id_col: str = "doc_id", **rules) -> DataFr
     """The rows of ``docs``, with all their columns, whose id has no rejected row."""
     gone = judge_documents(docs, id_col, **rules).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
     return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+
+
+def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+                    chars_col: str | None = "n_chars", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE,
+                    max_removed: float = MAX_REMOVED) -> DataFrame:
+    """The rows of ``reject_documents``, with all their columns, without their boilerplate lines.
+
+    ``chars_col`` is set to the length of each text that lost a line; other rows are as given. The lines to cut are
+    found by id, host and the text's hash, so repeated ids may have different texts. The verdict is on the text as
+    given: what is left of a document may have fewer words than the base rules ask for."""
+    out, _ = _judged(docs, id_col, text_col, host_col, min_docs, max_share, max_removed)
+    judged = stored(out.select("id", "host", "text_hash", "kept", "cut"), "verdicts")
+    gone = judged.where(~F.col("kept")).select(F.col("id").alias("_gone")).distinct()
+    stay = judged.groupBy("id", "host", "text_hash").agg(F.first("cut").alias("_cut")).withColumnsRenamed(
+        {"id": "_id", "host": "_host", "text_hash": "_hash"})
+    stay = stay.join(gone, F.col("_id").eqNullSafe(F.col("_gone")), "left_anti")
+    kept = docs.join(stay, docs[id_col].eqNullSafe(stay["_id"]) & (_host(host_col) == F.col("_host")) &
+                     (F.xxhash64(text_col) == F.col("_hash")))
+    # Python sees the texts that lose a line only
+    kept = kept.withColumn("_text", _cut(F.when(F.col("_cut").isNotNull(), F.col(text_col)), F.col("_cut")))
+    given = {text_col: F.coalesce("_text", F.col(text_col))}
+    if chars_col is not None:
+        length = F.length("_text").cast(docs.schema[chars_col].dataType)
+        given[chars_col] = F.when(F.col("_text").isNotNull(), length).otherwise(F.col(chars_col))
+    return kept.select(*(given[c].alias(c) if c in given else F.col(c) for c in docs.columns))

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from conftest import prose
+from pyspark.sql import functions as F
 
 from lineaweave.llm import language, line_rules, sentence_pieces, token_files, trie_tokens, weak_quality
 
@@ -82,7 +83,25 @@ def test_line_rules_count_every_distinct_document(docs_of):
         assert got[i]["kept"] == (not 100 <= i < 130)
 
 
-@pytest.mark.parametrize("f", [line_rules.judge_documents, trie_tokens.count_tokens, sentence_pieces.encode_documents,
+def test_line_rules_cut_boilerplate_out_of_kept_documents(spark, docs_of, odd_rows):
+    import corpus_pipeline
+    given = boilerplate_documents() + [(500, "\n \n".join(prose(7 * j, 30) for j in range(4)), "en", "hot")]
+    gone = boilerplate_by_host(given, line_rules.MIN_DOCS, line_rules.MAX_SHARE)
+    want = {i: "\n".join(x for x in t.split("\n") if not x.strip() or (h, line_rules.line_hash(x)) not in gone)
+            for i, t, _, h in given if not 100 <= i < 130}
+    assert sum(want[i] != t for i, t, *_ in given if i in want) == 30
+    docs = docs_of(given + [(0, given[70][1], "en", "hot"), *((i, t, "en", "odd") for i, t in odd_rows[:3])])
+    docs = docs.withColumn("n_chars", F.length("text").cast("long"))
+    docs = docs.where("doc_id <> 0").unionByName(docs.where("doc_id = 0"))  # id 0 twice, with two texts
+    for out in (line_rules.clean_documents(docs), corpus_pipeline.quality_rules(spark, docs, "")):
+        got = out.collect()
+        assert out.columns == docs.columns and out.schema["n_chars"] == docs.schema["n_chars"]
+        want_rows = [*((i, t) for i, t in want.items() if i not in (1, 2, 3)), (0, given[70][1])]
+        assert sorted((r["doc_id"], r["text"]) for r in got) == sorted(want_rows)
+        assert all(r["n_chars"] == len(r["text"]) and (r["kept"], r["id"], r["n"], r["row"]) == ("x", "y", 7, 3) for r in got)
+
+
+@pytest.mark.parametrize("f", [line_rules.judge_documents, line_rules.clean_documents, trie_tokens.count_tokens, sentence_pieces.encode_documents,
                                weak_quality.classify])
 def test_empty_tables(docs_of, f):
     assert f(docs_of([(1, "x")]).where("doc_id < 0")).count() == 0
