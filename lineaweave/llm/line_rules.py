@@ -1,8 +1,8 @@
 """Quality rules with cross-document line frequency.
 
 Each line is normalised (case, digits, spaces) and hashed. A line that stands
-in too large a share of a host's distinct documents is boilerplate of that
-host; a document that loses too many of its words with such lines is
+in too many of a host's distinct documents, by share or by number, is
+boilerplate of that host; a document that loses too many of its words with such lines is
 rejected, and so is one that fails the base rules (too few words, or most of
 its words in repeated three-word windows). ``clean_documents`` cuts these lines
 out of the documents that stay.
@@ -31,8 +31,10 @@ from pyspark.sql.types import StringType
 
 from .common import ragged, slices, stored
 
-#: A line is boilerplate from this many distinct documents of its host on, if they are also this share of them.
+#: A line is boilerplate from this many distinct documents of its host on, if they are also above this share of them.
 MIN_DOCS, MAX_SHARE = 10, 0.10
+#: It is boilerplate, too, above this many distinct documents, however many the host has.
+MAX_DOCS = 1000
 #: Words that a document may lose with its boilerplate lines, as a share.
 MAX_REMOVED = 0.5
 #: Base rules: words at least; words in repeated windows at most, in percent.
@@ -120,7 +122,7 @@ def _host(host_col: str) -> Column:
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int, max_share: float,
-            max_removed: float) -> tuple[DataFrame, DataFrame]:
+            max_removed: float, max_docs: int) -> tuple[DataFrame, DataFrame]:
     """Per-document verdicts with a row number and the lines to cut, and the boilerplate lines (host, h)."""
     given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
                         _host(host_col).alias("host"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
@@ -133,8 +135,8 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs
     hosts = firsts.groupBy("host").agg(F.count("*").alias("of"))
     held = feats.join(firsts.select("row"), "row", "left_semi").select("host", F.explode("line_hash").alias("h")).groupBy(
         "host", "h").agg(F.count("*").alias("n"))
-    common = stored(held.where(F.col("n") >= min_docs).join(hosts, "host").where(
-        F.col("n") > max_share * F.col("of")).select("host", "h"), "common-lines")
+    common = stored(held.where((F.col("n") >= min_docs) | (F.col("n") > max_docs)).join(hosts, "host").where(
+        (F.col("n") > max_docs) | (F.col("n") > max_share * F.col("of"))).select("host", "h"), "common-lines")
     lost = lines.join(common, ["host", "h"]).groupBy("row").agg(
         F.sum("w").alias("n_removed_words"), F.collect_list("h").alias("cut"))
     out = feats.drop("line_hash", "line_words", "ident").join(lost, "row", "left").withColumn(
@@ -147,22 +149,22 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs
 
 def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
                     min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE,
-                    max_removed: float = MAX_REMOVED) -> DataFrame:
+                    max_removed: float = MAX_REMOVED, max_docs: int = MAX_DOCS) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, the base counts, the words in
     boilerplate lines, ``base_failed`` and ``kept``.
 
     A null or empty text has no words and fails. A null host is a host of its
     own. Repeated rows are judged one by one and, being copies, count as one
     document. Other columns of ``docs`` are not read."""
-    out, _ = _judged(docs, id_col, text_col, host_col, min_docs, max_share, max_removed)
+    out, _ = _judged(docs, id_col, text_col, host_col, min_docs, max_share, max_removed, max_docs)
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines",
                       "n_repeat_words", "n_removed_words", "base_failed", "kept")
 
 
 def common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-                 min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+                 min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS) -> DataFrame:
     """The boilerplate lines: host and ``line_hash`` of the line."""
-    return _judged(docs, id_col, text_col, host_col, min_docs, max_share, MAX_REMOVED)[1]
+    return _judged(docs, id_col, text_col, host_col, min_docs, max_share, MAX_REMOVED, max_docs)[1]
 
 
 def reject_documents(docs: DataFrame, id_col: str = "doc_id", **rules) -> DataFrame:
@@ -173,13 +175,13 @@ def reject_documents(docs: DataFrame, id_col: str = "doc_id", **rules) -> DataFr
 
 def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
                     chars_col: str | None = "n_chars", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE,
-                    max_removed: float = MAX_REMOVED) -> DataFrame:
+                    max_removed: float = MAX_REMOVED, max_docs: int = MAX_DOCS) -> DataFrame:
     """The rows of ``reject_documents``, with all their columns, without their boilerplate lines.
 
     ``chars_col`` is set to the length of each text that lost a line; other rows are as given. The lines to cut are
     found by id, host and the text's hash, so repeated ids may have different texts. The verdict is on the text as
     given: what is left of a document may have fewer words than the base rules ask for."""
-    out, _ = _judged(docs, id_col, text_col, host_col, min_docs, max_share, max_removed)
+    out, _ = _judged(docs, id_col, text_col, host_col, min_docs, max_share, max_removed, max_docs)
     judged = stored(out.select("id", "host", "text_hash", "kept", "cut"), "verdicts")
     gone = judged.where(~F.col("kept")).select(F.col("id").alias("_gone")).distinct()
     stay = judged.groupBy("id", "host", "text_hash").agg(F.first("cut").alias("_cut")).withColumnsRenamed(

@@ -83,6 +83,19 @@ def test_line_rules_count_every_distinct_document(docs_of):
         assert got[i]["kept"] == (not 100 <= i < 130)
 
 
+def test_line_rules_limit_by_number_on_large_hosts(docs_of):
+    assert line_rules.MAX_DOCS == 1000
+    line = f"footer of a large host {prose(3, 9)}"
+    given = [(k, prose(20_000 + k, 60) + ("\n" + line) * (k <= 1000), "en", "large") for k in range(10_100)]
+    given += [(20_000 + k, prose(60_000 + k, 60) + ("\n" + line) * (k < 9), "en", "small") for k in range(40)]
+    docs, h = docs_of(given), line_rules.line_hash(line)
+    assert {tuple(r) for r in line_rules.common_lines(docs).collect()} == {("large", h)}  # 1001 of 10,100, below the share
+    assert line_rules.common_lines(docs, max_docs=1001).count() == 0
+    assert line_rules.common_lines(docs, max_docs=8).count() == 2
+    assert line_rules.clean_documents(docs).where(F.col("text").contains("footer")).count() == 9
+    assert line_rules.judge_documents(docs).where("n_removed_words > 0").count() == 1001
+
+
 def test_line_rules_cut_boilerplate_out_of_kept_documents(spark, docs_of, odd_rows):
     import corpus_pipeline
     given = boilerplate_documents() + [(500, "\n \n".join(prose(7 * j, 30) for j in range(4)), "en", "hot")]
