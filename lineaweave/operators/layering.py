@@ -18,7 +18,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..session import LoopState, materialize
 from . import graph as G
@@ -244,9 +243,10 @@ def schema_maps(g: G.Graph, k: int | None = None) -> DataFrame:
                  .join(member.select("schema", F.col("id").alias("target")), ["schema", "target"]))
     has_edges = sub_edges.select("schema").distinct()
     sizes = tables.groupBy("schema").agg(F.count("*").alias("n_tables")).join(has_edges, "schema", "left_semi")
-    top = sizes if k is None else sizes.orderBy(F.desc("n_tables"), F.asc("schema")).limit(k)
-    top = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_tables"), F.asc("schema"))))
-    return member.join(top.select("schema", "rank"), "schema")
+    if k is not None:
+        sizes = sizes.orderBy(F.desc("n_tables"), F.asc("schema")).limit(k)
+    ranked = _ordinal(sizes.withColumn("_n", -F.col("n_tables")), ["_n", "schema"], "rank")
+    return member.join(ranked.select("schema", (F.col("rank") + 1).cast("int").alias("rank")), "schema")
 
 
 def _ordinal(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:

@@ -121,6 +121,20 @@ def q_schema_maps(spark, sf):
     return m.select("schema", "id", F.col("rank").cast("int").alias("rank"))
 
 
+_ALL_MAPS_CTES = _MAPS_CTES[:-1] + [
+    ("ranked", """SELECT schema, row_number() OVER (ORDER BY count(*) DESC, schema) AS rank FROM tbl
+        WHERE schema IN (SELECT schema FROM sube) GROUP BY schema""")]
+
+
+@register("schema_maps_all", C.oracle(SC_FX, _ALL_MAPS_CTES, """
+SELECT m.schema, m.id, CAST(r.rank AS INT) AS rank FROM member m JOIN ranked r ON r.schema = m.schema"""))
+def q_schema_maps_all(spark, sf):
+    """D13 without the report's cap: map membership of every schema of the
+    analytics catalog graph, with its rank by table count."""
+    m = LY.schema_maps(scope_graph(spark, sf, "analytics", None))
+    return m.select("schema", "id", F.col("rank").cast("int").alias("rank"))
+
+
 # ---------------------------------------------------------------- reports
 
 _TE_BRONZE = f"""SELECT DISTINCT source_table_full_name AS source, target_table_full_name AS target, entity_type, entity_id

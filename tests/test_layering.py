@@ -63,3 +63,19 @@ def test_slots_follow_names_within_a_layer(spark):
     slots = {r.id: tuple(r)[1:] for r in LY.map_slots(nodes, LY.layer_nodes(nodes, edges)).collect()}
     assert slots == {"amber": (0, 0, None, None), "Zinc": (0, 1, None, None), "sink": (1, 0, None, None),
                      "spare1": (None, None, 0, 0), "spare2": (None, None, 0, 1)}
+
+
+def test_schema_maps_return_every_schema_with_its_rank(spark):
+    from lineaweave.operators import graph as G
+    import __spark_entry__ as E
+    ids = [f"analytics.s{k:02}.t{j}" for k in range(30) for j in range(2 + k % 3)]
+    edges = [(f"analytics.s{k:02}.t0", f"analytics.s{k:02}.t1") for k in range(30) if k != 7]
+    nodes = spark.createDataFrame([(i, "table") for i in ids], "id string, node_type string")
+    graph = G.Graph(nodes, spark.createDataFrame(edges, "source string, target string"))
+    maps = LY.schema_maps(graph)
+    order = sorted((k for k in range(30) if k != 7), key=lambda k: (-(2 + k % 3), k))
+    want = {(f"s{k:02}", f"analytics.s{k:02}.t{j}", n + 1) for n, k in enumerate(order) for j in range(2 + k % 3)}
+    assert {(r["schema"], r["id"], r["rank"]) for r in maps.collect()} == want
+    assert {(r["schema"], r["id"], r["rank"]) for r in LY.schema_maps(graph, 12).collect()} == {w for w in want if w[2] <= 12}
+    assert "Window" not in maps._jdf.queryExecution().toString()
+    assert "schema_maps_all" in E.queries() and "LIMIT" not in E.oracle_sql()["schema_maps_all"]
