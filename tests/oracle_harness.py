@@ -58,6 +58,9 @@ def compare(spark, con, name, fn, sql, sf_dir) -> tuple[bool, str]:
         return False, f"{name}: columns differ spark={sorted(sp.columns)} duck={sorted(dd.columns)}"
     if len(sp) != len(dd):
         return False, f"{name}: rows spark={len(sp)} duck={len(dd)}"
+    for c in sp.columns:
+        if str(dd[c].dtype) == "Int64" and str(sp[c].dtype) == "float64":
+            sp[c] = sp[c].astype("Int64")
     a, b = canon(sp), canon(dd)
     if a != b:
         diff = [(x, y) for x, y in zip(a, b) if x != y][:3]
