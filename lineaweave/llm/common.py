@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
@@ -66,6 +67,36 @@ def ragged(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=kind))
 
 
+def row_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The batches' rows as tuples of Python values, one after the other."""
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def row_batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Rows put into batches of at most ``most``."""
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == most:
+            yield _rows(held, schema)
+            held = []
+    if held:
+        yield _rows(held, schema)
+
+
+def _rows(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """Join with every key of ``left`` dealt over ``salts`` partitions by column ``by``; ``right``,
+    the smaller side, is repeated for each. So no key, however frequent, fills one task."""
+    spread = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    each = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return spread.join(each, [*on, "_salt"], how).drop("_salt")
+
+
 @contextmanager
 def new_file(folder: str, name: str) -> Iterator[tuple[pa.NativeFile, str]]:
     """A file to write in a shared folder, and its URI. The name is new in

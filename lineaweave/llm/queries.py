@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, language, line_rules, sentence_pieces, signature_join, token_files, trie_tokens,
+from . import (decontaminate, language, line_rules, prefix_tree, sentence_pieces, signature_join, token_files, trie_tokens,
                url_templates, warc, weak_quality)
 
 #: The url filter's rules: (verdict, host and path prefix).
@@ -130,3 +130,38 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sentence_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length and checksum of every document's ids, with both checks of them."""
     return sentence_pieces.encode_documents(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+#: CRC-32 of a string of ASCII characters, as DuckDB SQL.
+CRC32_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)),
+  4294967295)"""
+
+CONVERSATION_TREE_SQL = f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos,
+    md5(coalesce(role, '')) || md5(coalesce(text, '')) AS what, strlen(coalesce(text, ''))::BIGINT AS size
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {CRC32_SQL.format('conv_id::VARCHAR')} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, pos, what, size FROM c JOIN t ON t.conv_id = c.base AND pos <= h
+  UNION ALL SELECT c.conv_id, pos + 9, what, size FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+path AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(what, ',') OVER w AS key, size FROM r
+    WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+ends AS (SELECT key, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+  FROM (SELECT conv_id, arg_max(key, depth) AS key FROM path GROUP BY conv_id) GROUP BY key),
+node AS (SELECT key, depth, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs,
+    CASE WHEN depth > 0 THEN left(key, greatest(65 * depth - 66, 0)) END AS parent FROM path GROUP BY key, depth),
+kids AS (SELECT parent, count(*) AS n FROM node GROUP BY parent),
+sub AS (SELECT up.key, sum(CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((node.n_convs - 1) * node.size) AS saved
+  FROM node JOIN path up ON up.conv_id = node.conv_id AND up.depth <= node.depth LEFT JOIN kids ON kids.parent = node.key GROUP BY up.key)
+SELECT node.conv_id, node.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, node.n_convs::BIGINT AS n_convs,
+  coalesce(kids.n, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens,
+  sha256(coalesce(ids, '')) AS ends_sha256
+FROM node LEFT JOIN node p ON p.key = node.parent AND p.depth = node.depth - 1 LEFT JOIN kids ON kids.parent = node.key
+  JOIN sub ON sub.key = node.key LEFT JOIN ends ON ends.key = node.key"""
+
+
+@query("op11_conversation_tree", CONVERSATION_TREE_SQL)
+def conversation_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix tree of the rebuilt conversations."""
+    return prefix_tree.conversation_tree(table(spark, sf_dir, "conversations"), sharers=prefix_tree.SHARERS)
