@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, language, line_rules, prefix_tree, sentence_pieces, signature_join, token_files, trie_tokens,
+from . import (decontaminate, language, line_rules, prefix_tree, sentence_pieces, signature_join, structure_repair, token_files, trie_tokens,
                url_templates, warc, weak_quality)
 
 #: The url filter's rules: (verdict, host and path prefix).
@@ -165,3 +165,48 @@ FROM node LEFT JOIN node p ON p.key = node.parent AND p.depth = node.depth - 1 L
 def conversation_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the prefix tree of the rebuilt conversations."""
     return prefix_tree.conversation_tree(table(spark, sf_dir, "conversations"), sharers=prefix_tree.SHARERS)
+
+
+STRUCTURE_REPAIR_SQL = rf"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {CRC32_SQL.format("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS hit FROM conversations),
+damaged AS (SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+    CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE hit WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM raw),
+n AS (SELECT *, row_number() OVER w AS pos, left(role, 1) AS c, lag(left(role, 1)) OVER w || left(role, 1) AS step FROM damaged
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text))),
+f AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS dup,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut FROM n),
+ins(i, k, m) AS (VALUES (0, 0, 0), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 0, 2), (2, 1, 3), (3, 0, 3), (3, 1, 2)),
+act(m, c, op, price, j) AS (SELECT m, NULL::VARCHAR, 'D', 3, m FROM range(4) t(m) UNION ALL SELECT m, NULL::VARCHAR, 'R', 2, CASE m WHEN 2 THEN 3 ELSE 2 END FROM range(4) t(m)
+  UNION ALL VALUES (0, 's', 'K', 0, 1), (0, 'u', 'K', 0, 2), (1, 'u', 'K', 0, 2), (3, 'u', 'K', 0, 2), (2, 'a', 'K', 0, 3)),
+dp AS (SELECT conv_id, 0::BIGINT AS pos, 0 AS st, {{'cost': 0, 'audit': '', 'body': ''}} AS best FROM (SELECT DISTINCT conv_id FROM f)
+  UNION ALL
+  SELECT dp.conv_id, f.pos, act.j, min({{'cost': dp.best.cost + 2 * ins.k + act.price + CASE WHEN act.op <> 'D' AND f.cut THEN 1 ELSE 0 END,
+      'audit': dp.best.audit || repeat('I', ins.k) || act.op,
+      'body': dp.best.body || CASE ins.k WHEN 0 THEN '' WHEN 2 THEN 'user:' || chr(10) || 'assistant:' || chr(10)
+          ELSE CASE ins.m WHEN 2 THEN 'user:' ELSE 'assistant:' END || chr(10) END
+        || CASE act.op WHEN 'D' THEN '' WHEN 'K' THEN f.role || ':' || f.text || chr(10)
+          ELSE CASE act.j WHEN 2 THEN 'user:' ELSE 'assistant:' END || f.text || chr(10) END}})
+  FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.pos = dp.pos + 1 JOIN ins ON ins.i = dp.st
+    JOIN act ON act.m = ins.m AND (act.c IS NULL OR act.c = f.c) AND (act.op = 'D' OR NOT (f.blank OR f.dup))
+  GROUP BY dp.conv_id, f.pos, act.j),
+ended AS (SELECT conv_id, min({{'cost': best.cost + CASE st WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 0 END,
+    'audit': best.audit || CASE st WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END,
+    'body': best.body || CASE st WHEN 1 THEN 'user:' || chr(10) || 'assistant:' || chr(10) WHEN 2 THEN 'assistant:' || chr(10) ELSE '' END}}) AS best
+  FROM dp JOIN (SELECT conv_id AS id, max(pos) AS most FROM f GROUP BY conv_id) ON id IS NOT DISTINCT FROM dp.conv_id AND dp.pos = most GROUP BY conv_id),
+k AS (SELECT conv_id AS id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (NOT blank AND dup) AS duplicate, count(*) FILTER (NOT blank AND NOT dup AND cut) AS truncated,
+    count(*) FILTER (step NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+  coalesce(best.audit, '') AS audit, sha256(coalesce(left(best.body, greatest(length(best.body) - 1, 0)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN k ON k.id IS NOT DISTINCT FROM a.conv_id
+  LEFT JOIN ended ON ended.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+
+@query("op12_structure_repair", STRUCTURE_REPAIR_SQL)
+def structure_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after damage."""
+    conversations = table(spark, sf_dir, "conversations")
+    return structure_repair.repair_conversations(structure_repair.damage(conversations), ids=conversations)
