@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, language, line_rules, prefix_tree, sentence_pieces, signature_join, structure_repair, token_files, trie_tokens,
+from . import (contextual_pii, decontaminate, language, line_rules, prefix_tree, sentence_pieces, signature_join, structure_repair, token_files, trie_tokens,
                url_templates, warc, weak_quality)
 
 #: The url filter's rules: (verdict, host and path prefix).
@@ -210,3 +210,9 @@ def structure_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults and cheapest repair of every conversation after damage."""
     conversations = table(spark, sf_dir, "conversations")
     return structure_repair.repair_conversations(structure_repair.damage(conversations), ids=conversations)
+
+
+@query("op13_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return contextual_pii.personal_data(table(spark, sf_dir, "documents"))

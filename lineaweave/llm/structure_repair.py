@@ -277,7 +277,7 @@ def repair_conversations(rows: DataFrame, ids: DataFrame | None = None, with_tex
 
     Rows go by turn, null first, ties by role and the text's MD5. A null role or text is one space; rows with a null conv_id
     are one conversation; a repeated row is a duplicate. A conversation without rows has zeros, no edits and the empty
-    hash; without conversations there is no row. Other columns are not read."""
+    hash; without conversations there is no row. An empty role has no initial and cannot stay. Other columns are not read."""
     every = rows.select("conv_id").unionByName((rows if ids is None else ids).select("conv_id")).distinct()
     edited = with_edits(stored(structure(rows, every), "structure"))
     counts = [("gaps", "long"), ("blank", "long"), ("duplicate", "long"), ("truncated", "long"), ("illegal", "long"), ("cost", "long")]

@@ -4,7 +4,10 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 import pytest
+from conftest_llm import prose
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, id string, n int, row int"
 
@@ -27,15 +30,6 @@ def docs_of(spark):
     return make
 
 
-WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
-
-
-def prose(seed: int, n: int) -> str:
-    import random
-    r = random.Random(seed)
-    return " ".join(r.choice(WORDS) + r.choice(["", "", "s", "ed", "ing"]) + str(r.randrange(60)) for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def odd_rows():
     """Null, empty, blank, very long, equal and repeated rows."""

@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import prose
+from conftest_llm import prose
 
 from lineaweave.llm import decontaminate, signature_join, url_templates
 from lineaweave.llm.components import components

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import prose
+from conftest_llm import prose
 from pyspark.sql import functions as F
 
 from lineaweave.llm import language, line_rules, sentence_pieces, token_files, trie_tokens, weak_quality
