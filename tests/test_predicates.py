@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lineaweave.functions import predicates as P
 
-from conftest import lineage_rows
+from lineage_data import lineage_rows
 
 
 def test_entity_id_validation(spark):

@@ -3,7 +3,7 @@ import pytest
 
 from lineaweave.operators import graph as G
 
-from conftest import lineage_rows
+from lineage_data import lineage_rows
 
 META = ("table_catalog string, table_schema string, table_name string, table_type string, table_owner string, "
         "comment string, created timestamp_ntz, last_altered timestamp_ntz")

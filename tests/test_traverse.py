@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from lineaweave.operators import traverse as TV
 
-from conftest import lineage_rows
+from lineage_data import lineage_rows
 
 
 def _chain(spark, n):
