@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
@@ -97,6 +97,25 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: str, how:
     return spread.join(each, [*on, "_salt"], how).drop("_salt")
 
 
+def bounded_sample(rows: DataFrame, text: str, most: int, by: str | None = None) -> DataFrame:
+    """At most ``most`` distinct texts, those with the smallest hashes; with ``by``, of each of its values (equal texts of
+    a value are one; its nulls are left out). Only hashes below a first bound are ranked; texts move once chosen."""
+    hashed = rows.withColumn("_hash", F.pmod(F.xxhash64(text), F.lit(1 << 62)))
+    # three times the share that would do; with fewer texts than that, all
+    room = F.when(F.col("_n") > 3 * most, (F.lit(float(1 << 62)) * (3 * most) / F.col("_n")).cast("long")).otherwise(F.lit(1 << 62))
+    some = F.approx_count_distinct("_hash").alias("_n")
+    if by is None:
+        below = hashed.agg(some).select(room).first()[0]
+        ends = hashed.where(F.col("_hash") < below).select("_hash").distinct().orderBy("_hash").limit(most)
+        last = ends.agg(F.max("_hash")).first()[0]
+        return hashed.where(F.col("_hash") <= F.lit(last).cast("long")).dropDuplicates(["_hash"]).drop("_hash")
+    bounds = stored(hashed.groupBy(by).agg(some).select(by, room.alias("_below")), "sample-bounds")
+    near = hashed.select(by, "_hash").join(bounds, by).where("_hash < _below").select(by, "_hash").distinct()
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("_hash"))
+    ends = near.withColumn("_rank", rank).where(F.col("_rank") <= most).groupBy(by).agg(F.max("_hash").alias("_last"))
+    return hashed.join(stored(ends, "sample-ends"), by).where("_hash <= _last").dropDuplicates([by, "_hash"]).drop("_hash", "_last")
+
+
 @contextmanager
 def new_file(folder: str, name: str) -> Iterator[tuple[pa.NativeFile, str]]:
     """A file to write in a shared folder, and its URI. The name is new in

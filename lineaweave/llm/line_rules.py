@@ -187,12 +187,15 @@ def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stay = judged.groupBy("id", "host", "text_hash").agg(F.first("cut").alias("_cut")).withColumnsRenamed(
         {"id": "_id", "host": "_host", "text_hash": "_hash"})
     stay = stay.join(gone, F.col("_id").eqNullSafe(F.col("_gone")), "left_anti")
-    kept = docs.join(stay, docs[id_col].eqNullSafe(stay["_id"]) & (_host(host_col) == F.col("_host")) &
-                     (F.xxhash64(text_col) == F.col("_hash")))
+    # the given columns in one struct, so that none has the name of one made here
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_own"), _host(host_col).alias("_of"),
+                         F.xxhash64(text_col).alias("_sum"))
+    kept = packed.join(stay, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_host")) & (F.col("_sum") == F.col("_hash")))
     # Python sees the texts that lose a line only
-    kept = kept.withColumn("_text", _cut(F.when(F.col("_cut").isNotNull(), F.col(text_col)), F.col("_cut")))
-    given = {text_col: F.coalesce("_text", F.col(text_col))}
+    own = F.col("_row")[text_col]
+    kept = kept.withColumn("_text", _cut(F.when(F.col("_cut").isNotNull(), own), F.col("_cut")))
+    given = {text_col: F.coalesce(F.col("_text"), own)}
     if chars_col is not None:
         length = F.length("_text").cast(docs.schema[chars_col].dataType)
-        given[chars_col] = F.when(F.col("_text").isNotNull(), length).otherwise(F.col(chars_col))
-    return kept.select(*(given[c].alias(c) if c in given else F.col(c) for c in docs.columns))
+        given[chars_col] = F.when(F.col("_text").isNotNull(), length).otherwise(F.col("_row")[chars_col])
+    return kept.select(*(given.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))

@@ -6,7 +6,12 @@ in multithreaded batches of distinct chunks: if no piece has the marker after
 another character, no token crosses from a word into the next marker, so a
 text's ids are those of its chunks (a run of markers and what follows it).
 Every chunk's ids are held against the sentencepiece library's own, and the
-decoded text against the given one."""
+decoded text against the given one.
+
+A piece has the marker at its start only, so merges or best paths of a whole
+text never cross from one chunk into the next: chunks that agree make texts that
+agree. The library's threads are as many as Spark gives a task
+(``spark.task.cpus``)."""
 
 from __future__ import annotations
 
@@ -17,15 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import ChunkTable, ragged, slices
 
 MARK = "▁"
 #: Distinct chunks that a task keeps at a time.
-KEEP = 200_000
-#: Threads of the tokenizers library in each task, by default as many as a task has cores.
-THREADS = 1
+KEEP = 60_000
 # kinds of model and of piece, fixed by the format
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -122,13 +126,20 @@ def splits_at_marker(m: dict) -> bool:
     return not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, kind in m["pieces"] if kind in (_NORMAL, _USER))
 
 
+def task_threads() -> int:
+    """Cores that Spark gives each task; one outside of a task."""
+    context = TaskContext.get()
+    return max(1, context.cpus()) if context is not None else 1
+
+
 class PieceEncoder:
     """Encodes and decodes texts through a bounded table of chunks.
 
     ``encode`` gives, for each text, ids, whether the sentencepiece library
     agrees on every chunk, and the text decoded again."""
 
-    def __init__(self, path: str | None = None, threads: int = THREADS, keep: int = KEEP):
+    def __init__(self, path: str | None = None, threads: int | None = None, keep: int = KEEP):
+        threads = threads or task_threads()
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         import sentencepiece
@@ -158,6 +169,8 @@ class PieceEncoder:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         plain = [c[1:].replace(MARK, " ") for c in new] if self.by_chunk else new
         theirs = self.own.encode(plain, num_threads=self.threads)
+        if self.by_chunk and MARK in new:  # its plain text is empty, for which the library adds no marker
+            theirs[new.index(MARK)] = [self.own.piece_to_id(MARK)]
         back = self.tokenizer.decode_batch(got, skip_special_tokens=False)
         self.same = np.concatenate([self.same, np.array([a == b for a, b in zip(got, theirs, strict=True)], bool)])
         # the decoder takes the prefix off; inside a text it is a space
@@ -178,7 +191,7 @@ class PieceEncoder:
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
-                     threads: int = THREADS, with_ids: bool = True) -> DataFrame:
+                     threads: int | None = None, with_ids: bool = True) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``n_tokens``, ``ids_crc32``
     (of the ids as little-endian unsigned 32-bit integers), ``parity`` (the
     sentencepiece library gives the same ids), ``round_trip`` (the ids decode
@@ -207,7 +220,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def decode_documents(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None,
-                     threads: int = THREADS) -> DataFrame:
+                     threads: int | None = None) -> DataFrame:
     """``id_col`` and the ``text`` of each row's ids; null ids give an empty text."""
     given = tokens.select(tokens[id_col].alias("id"), tokens[ids_col].alias("ids"))
 

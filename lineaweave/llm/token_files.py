@@ -19,6 +19,7 @@ import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -92,7 +93,10 @@ class BatchEncoder:
             ends = np.cumsum(pc.binary_length(pa.array(block)).to_numpy())
             to = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
             if len(ids) != to[-1] or (np.cumsum(self.width[ids])[to - 1] != ends).any():
-                raise ValueError("the tokenizer joined chunks that a space parts")
+                own = self.plain(block)  # it joined chunks that a space parts: each by itself
+                flat += [np.array(i, np.int32) for i in own]
+                size.append(np.fromiter(map(len, own), np.int64, len(own)))
+                continue
             flat.append(ids)
             size.append(np.diff(to, prepend=0))
         return np.concatenate(flat), np.concatenate(size)
@@ -115,17 +119,21 @@ class BatchEncoder:
         starts = split.offsets.to_numpy()[:-1].astype(np.int64) - split.offsets[0].as_py()
         pieces = split.flatten()
         first, coded = pieces.take(pa.array(starts)), pieces.dictionary_encode()
-        # distinct chunks with their space; behind them the texts' first chunks, which have none
-        chunks = [f" {p}" for p in coded.dictionary.to_pylist()] + first.to_pylist()
-        hard = np.concatenate([self.hard(coded.dictionary), self.hard(first)])
+        # distinct chunks, which stand behind a space; then the texts' first chunks, which do not
+        inner, n_inner = coded.dictionary.to_pylist(), len(coded.dictionary)
+        chunks = inner + first.to_pylist()
         code = coded.indices.to_numpy().astype(np.int64)
-        code[starts] = len(coded.dictionary) + np.arange(len(first))
-        # where each chunk's ids are: among the known ones, or behind them
-        at = np.fromiter((self.known.get(c, -1) for c in chunks), np.int64, len(chunks))
-        easy = ~hard & (np.arange(len(chunks)) < len(coded.dictionary))
+        code[starts] = n_inner + np.arange(len(first))
+        # where each chunk's ids are: among the known ones, which are not hard, or behind them
+        at = np.full(len(chunks), -1, np.int64)
+        at[:n_inner] = np.fromiter(map(self.known.get, inner, repeat(-1)), np.int64, n_inner)
+        new = np.flatnonzero(at[:n_inner] < 0)
+        hard = np.zeros(len(chunks), bool)
+        hard[new], hard[n_inner:] = self.hard(coded.dictionary.take(pa.array(new))), self.hard(first)
+        easy = ~hard & (np.arange(len(chunks)) < n_inner)
         side, alone = np.flatnonzero((at < 0) & easy), np.flatnonzero((at < 0) & ~easy)
-        flat, size = self.joined([chunks[k] for k in side])
-        own = self.plain([chunks[k] for k in alone])
+        flat, size = self.joined([f" {inner[k]}" for k in side.tolist()])
+        own = self.plain([f" {chunks[k]}" if k < n_inner else chunks[k] for k in alone.tolist()])
         n = len(self.size)
         at[side], at[alone] = n + np.arange(len(side)), n + len(side) + np.arange(len(alone))
         ids = np.concatenate([self.flat, flat, *(np.array(i, np.int32) for i in own)])
@@ -139,7 +147,7 @@ class BatchEncoder:
             out[k] = np.array(theirs, np.int32)
         # keep the new chunks that the batch has twice
         twice = np.bincount(code, minlength=len(chunks))[side] > 1
-        self.known.update((chunks[k], n + j) for j, k in enumerate(side[twice]))
+        self.known.update((inner[k], n + j) for j, k in enumerate(side[twice].tolist()))
         self.flat = np.concatenate([self.flat, flat[np.repeat(twice, size)]])
         self.size = np.concatenate([self.size, size[twice]])
         return out
@@ -241,7 +249,8 @@ def read_tokens(files: DataFrame, with_ids: bool = False) -> DataFrame:
                     for doc_ids, sizes, ids in read_segments(f):
                         at = np.concatenate([[0], np.cumsum(sizes)])
                         raw = ids.astype("<u4")
-                        crc = [zlib.crc32(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+                        view, byte = memoryview(raw).cast("B"), (4 * at).tolist()
+                        crc = [zlib.crc32(view[a:b]) for a, b in zip(byte[:-1], byte[1:], strict=True)]
                         columns = [pa.array(doc_ids, pa.int64()), pa.array(start + at[:-1]), pa.array(sizes), pa.array(crc, pa.int64())]
                         names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                         if with_ids:

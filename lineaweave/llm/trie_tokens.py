@@ -26,6 +26,8 @@ from .sentence_pieces import _BYTE, _CONTROL, _UNKNOWN, MARK, model_path, parse_
 MAX_NODES = 400_000
 #: An unknown character costs so much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
+#: A longer pre-token is scored by itself, with as many places in memory as the longest piece has characters.
+SHARED = 200
 
 
 def unigram_scores(path: str | None = None) -> tuple[dict[str, float], bool]:
@@ -45,8 +47,8 @@ class ForwardTrie:
     falls back to bytes, and costs the worst score less ``UNKNOWN_PENALTY``
     for each."""
 
-    def __init__(self, scores: dict[str, float], byte_fallback: bool):
-        self.scores, self.bytes = scores, byte_fallback
+    def __init__(self, scores: dict[str, float], byte_fallback: bool, max_nodes: int = MAX_NODES):
+        self.scores, self.bytes, self.max_nodes = scores, byte_fallback, max_nodes
         self.worst = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
         lengths: dict[str, set[int]] = {}
         for p in scores:
@@ -62,10 +64,33 @@ class ForwardTrie:
 
     def count(self, text: str) -> int:
         """Tokens of ``text``: stored if it has been there, else it is put into the trie."""
+        if len(text) > SHARED:
+            return self.alone(text)
         if (known := self.terminal.get(text)) is None:
+            if len(self.child) > self.max_nodes:
+                self.clear()
             known = self.terminal[text] = self.insert(text)
         return known
 
+    def alone(self, text: str) -> int:
+        """Tokens of a text that is too long to share: the same scores, of which the last places alone are kept."""
+        reach = max((sizes[0] for sizes in self.lengths.values()), default=1)
+        score, tokens = [0.0] * (reach + 1), [0] * (reach + 1)
+        for depth, c in enumerate(text, 1):
+            best, n = None, 0
+            for size in self.lengths.get(c, ()):
+                if size <= depth and (s := self.scores.get(text[depth - size:depth])) is not None:
+                    start = (depth - size) % (reach + 1)
+                    if best is None or score[start] + s > best:
+                        best, n = score[start] + s, tokens[start] + 1
+            if c not in self.scores:
+                own, start = len(c.encode()) if self.bytes else 1, (depth - 1) % (reach + 1)
+                s = score[start] + own * self.worst
+                if best is None or s > best:
+                    best, n = s, tokens[start] + own
+            score[depth % (reach + 1)], tokens[depth % (reach + 1)] = best, n
+        return tokens[len(text) % (reach + 1)]
+
     def insert(self, text: str) -> int:
         """Score what the trie doesn't have of ``text``; its terminal count."""
         node, depth, path = 0, 0, [0]
@@ -109,11 +134,9 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     given = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
 
     def run(batches):
-        trie = ForwardTrie(*unigram_scores(path))
+        trie = ForwardTrie(*unigram_scores(path), max_nodes)
         for batch in slices(batches):
             split = [pre_tokens(t or "") for t in batch["text"].to_pylist()]
-            if len(trie.child) > max_nodes:
-                trie.clear()
             known: dict[str, int] = {}
             where = np.fromiter((known.setdefault(p, len(known)) for p in chain.from_iterable(split)), np.int64)
             counts = np.fromiter(map(trie.count, known), np.int64, len(known))

@@ -13,16 +13,17 @@ built a level at a time from the paths' segments:
   labels of its parent's purity, from the whole corpus down.
 
 A url is blocked if its template's purity is below ``MIN_PURITY``. Work is
-done on distinct paths with counts; a level costs two grouped sums and two
-joins on host, template and segment, which the adaptive join splits where one
-host has most rows."""
+done on distinct paths with counts; a level costs two grouped sums and three
+joins, of the paths that go on there; the tree ends where no two paths go on together. Branches are
+dealt over salts to their node, so one node's many branches fill no task; the other joins are on
+host, template and segment, which the adaptive join splits."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored
+from .common import salted_join, stored
 
 #: Templates with a smoothed share of allowed labels below this are rejected.
 MIN_PURITY = 0.4
@@ -32,8 +33,6 @@ STRENGTH = 4.0
 Z = 2.0
 #: Siblings from which a rare segment (at most ``RARE`` urls) is variable.
 FAN, RARE = 12, 3
-#: Levels of a tree; what is below ends as one wildcard. The number of rounds depends on this alone.
-LEVELS = 8
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -83,15 +82,21 @@ def learn_templates(urls: DataFrame) -> DataFrame:
     prior = (good + STRENGTH / 2) / (good + bad + STRENGTH)
     hosts = urls.groupBy("host").agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).select(
         "host", _purity(F.col("g"), F.col("b"), F.lit(prior)).alias("purity"))
-    state = stored(urls.join(hosts, "host").withColumn("template", F.lit("")), "url-level")
-    for level in range(1, min(total["deep"] or 0, LEVELS) + 1):
-        here = state.where(F.size("segments") >= level).withColumn("segment", F.element_at("segments", level))
+    state = stored(urls.join(hosts, "host").withColumns({"template": F.lit(""), "paths": F.lit(0).cast("long")}), "url-level")
+    ended = []
+    for level in range(1, (total["deep"] or 0) + 1):
+        # a path that is alone under its template meets no siblings: the rest of its levels is its own
+        ended.append(_alone(state.where((F.size("segments") < level) | (F.col("paths") == 1)), level))
+        state = state.where((F.size("segments") >= level) & (F.col("paths") != 1))
+        if state.isEmpty():
+            break
+        here = state.withColumn("segment", F.element_at("segments", level))
         branches = here.groupBy("host", "template", "segment").agg(
-            F.sum("n").alias("n"), F.sum("good").alias("g"), F.sum("bad").alias("b"), F.first("purity").alias("purity"))
+            F.sum("n").alias("n"), F.sum("good").alias("g"), F.sum("bad").alias("b"), F.first("purity").alias("purity"), F.count("*").alias("paths"))
         branches = branches.withColumn("wild", shape(F.col("segment")))
         nodes = branches.where("wild IS NULL").groupBy("host", "template").agg(
             F.count("*").alias("fan"), F.sum("g").alias("all_g"), F.sum("b").alias("all_b"))
-        joined = branches.join(nodes, ["host", "template"], "left")
+        joined = salted_join(branches, nodes, ["host", "template"], "segment", "left")
         labels = F.col("g") + F.col("b")
         share = F.col("all_g") / (F.col("all_g") + F.col("all_b"))
         error = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-4)) / labels)
@@ -100,17 +105,26 @@ def learn_templates(urls: DataFrame) -> DataFrame:
                           F.when(similar, F.lit("{*}")), F.col("segment"))
         named = joined.withColumn("next", F.concat("template", F.lit("/"), name))
         pure = named.groupBy("host", "next").agg(
-            F.sum("g").alias("sg"), F.sum("b").alias("sb"), F.first("purity").alias("before")).select(
-            "host", "next", _purity(F.col("sg"), F.col("sb"), F.col("before")).alias("purity"))
-        steps = named.drop("purity").join(pure, ["host", "next"]).select("host", "template", "segment", "next", F.col("purity").alias("p"))
-        moved = state.withColumn("segment", F.get("segments", F.lit(level - 1))).join(
+            F.sum("g").alias("sg"), F.sum("b").alias("sb"), F.first("purity").alias("before"), F.sum("paths").alias("paths")).select(
+            "host", "next", "paths", _purity(F.col("sg"), F.col("sb"), F.col("before")).alias("purity"))
+        steps = named.drop("purity", "paths").join(pure, ["host", "next"]).select("host", "template", "segment", "next", "paths", F.col("purity").alias("p"))
+        moved = state.drop("paths").withColumn("segment", F.get("segments", F.lit(level - 1))).join(
             steps, ["host", "template", "segment"], "left").select(
             "host", "path", "segments", "n", "good", "bad", F.coalesce("p", "purity").alias("purity"),
-            F.coalesce("next", "template").alias("template"))
-        before, state = state, stored(moved, "url-level")
-        drop_stored(before)
-    deeper = F.when(F.size("segments") > LEVELS, F.lit("/{**}")).otherwise(F.lit(""))
-    return state.select("host", "path", F.concat("template", deeper).alias("template"), "purity")
+            F.coalesce("next", "template").alias("template"), "paths")
+        state = stored(moved, "url-level")
+    out = state.select("host", "path", "template", "purity")
+    for paths in ended:
+        out = out.unionByName(paths)
+    return out
+
+
+def _alone(paths: DataFrame, level: int) -> DataFrame:
+    """Template and purity of paths without siblings from a level on."""
+    rest = F.filter("segments", lambda x, k: k >= level - 1)
+    names = F.transform(rest, lambda x: F.concat(F.lit("/"), F.coalesce(shape(x), x)))
+    return paths.select("host", "path", F.concat("template", F.array_join(names, "")).alias("template"),
+                        F.aggregate(rest, F.col("purity"), lambda p, x: _purity(F.col("good"), F.col("bad"), p)).alias("purity"))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url",

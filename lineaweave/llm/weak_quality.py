@@ -23,10 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged, slices, stored
+from .common import bounded_sample, ragged, slices, stored
 
 NOTHING, GOOD, BAD = 0, 1, 2
-#: About so many documents train the scorer (all, if there are fewer), spread evenly by a hash of the text.
+#: Distinct texts that train the scorer at most, those with the smallest hashes.
 MAX_SAMPLE = 6000
 #: Weights of the scorer.
 DIMENSIONS = 1 << 17
@@ -186,11 +186,9 @@ def fit(docs: DataFrame, text_col: str = "text", max_sample: int = MAX_SAMPLE) -
     texts = docs.select(F.col(text_col).alias("text")).where("text IS NOT NULL")
     counted = texts.mapInArrow(_vote, "pattern string").groupBy("pattern").count().collect()
     model = estimate({r[0]: r[1] for r in counted})
-    if (n := sum(r[1] for r in counted)) > max_sample:
-        texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int((1 << 40) * (max_sample / n)))
-    sample = stored(texts.mapInArrow(_hashed, "pattern string, at array<int>, share array<float>"), "weak-sample").toArrow()
+    sample = stored(bounded_sample(texts, "text", max_sample).mapInArrow(_hashed, "pattern string, at array<int>, share array<float>"), "weak-sample").toArrow()
     order = sample.combine_chunks()
-    rows = [(float(p), np.asarray(a), np.asarray(s, float)) for p, a, s in zip(
+    rows = [(float(p), np.asarray(a, np.int64), np.asarray(s, float)) for p, a, s in zip(
         model.posterior(order["pattern"].to_pylist()), order["at"].to_pylist(), order["share"].to_pylist(), strict=True)]
     rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tolist()[:8]))  # sums in the same order in each run
     return model, train(rows)

@@ -163,6 +163,76 @@ def test_url_rules(spark):
     assert url_templates.judge_urls(df.where("page_id < 0"), RULES).count() == 0
 
 
+def plain_templates(urls):
+    """Templates and purities by recursion over each host's paths. urls: {(host, segments): (n, good, bad)}"""
+    U, out = url_templates, {}
+    good, bad = sum(v[1] for v in urls.values()), sum(v[2] for v in urls.values())
+    prior = (good + U.STRENGTH / 2) / (good + bad + U.STRENGTH)
+
+    def wild(s):
+        m = re.match(r"^(.*?)(\.[A-Za-z]\w{0,4})?$", s)
+        stem, end = m.group(1), m.group(2) or ""
+        kind = ("{n}" if re.match(r"^\d+$", stem) else "{h}" if re.match(r"^[0-9a-fA-F-]{8,}$", stem)
+                else "{x}" if re.search(r"\d.*\d.*\d", stem) else "{long}" if len(stem) > 40 else None)
+        return kind and kind + end
+
+    def go(paths, depth, template, purity):
+        for p in (p for p in paths if len(p[1]) == depth):
+            out[p] = (template, round(purity, 9))
+        by = {}
+        for p in paths:
+            if len(p[1]) > depth:
+                by.setdefault(p[1][depth], []).append(p)
+        tally = {s: [sum(urls[p][k] for p in ps) for k in range(3)] for s, ps in by.items()}
+        plain = [s for s in by if wild(s) is None]
+        all_g, all_b = (sum(tally[s][k] for s in plain) for k in (1, 2))
+        named = {}
+        for s, ps in by.items():
+            n, g, b = tally[s]
+            name = wild(s)
+            if name is None and len(plain) >= U.FAN and n <= U.RARE:
+                name = "{rare}"
+            if name is None and len(plain) > 1:
+                share = all_g / (all_g + all_b) if all_g + all_b else 0
+                if g + b == 0 or abs(g / (g + b) - share) <= U.Z * (max(share * (1 - share), 1e-4) / (g + b)) ** 0.5:
+                    name = "{*}"
+            named.setdefault(name or s, []).extend(ps)
+        for name, ps in named.items():
+            g, b = (sum(urls[p][k] for p in ps) for k in (1, 2))
+            go(ps, depth + 1, f"{template}/{name}", (g + U.STRENGTH * purity) / (g + b + U.STRENGTH))
+    for host in {h for h, _ in urls}:
+        own = [p for p in urls if p[0] == host]
+        g, b = (sum(urls[p][k] for p in own) for k in (1, 2))
+        go(own, 0, "", (g + U.STRENGTH * prior) / (g + b + U.STRENGTH))
+    return out
+
+
+def test_url_templates_by_brute_force_at_any_depth(spark):
+    r = random.Random(8)
+    deep = "a/b/c/d/e/f/g/h/i/j"
+    urls = [f"https://{h}.org/{deep}/{part}/{k}" for h in ("x", "y") for part in ("good", "bad") for k in range(25)]
+    urls += [f"https://{r.choice('xyz')}.org/{'/'.join(r.choice(['u', 'v', str(r.randrange(99)), 'w1x2y3', 'p.html']) for _ in range(r.randrange(5)))}"
+             for _ in range(300)]
+    urls += [f"https://z.org/rare/word{chr(97 + k)}" for k in range(20)] + [None, "", "no scheme", urls[0], urls[0], "https://z.org/" + "q/" * 400]
+    rules = [("allow", "x.org/" + deep + "/good"), ("block", "x.org/" + deep + "/bad"), ("block", "y.org/u"), ("allow", "z.org/v")]
+    df = spark.createDataFrame([(k, u, "x", "t") for k, u in enumerate(urls)] + [(0, urls[0], "x", "t")], "page_id long, url string, host string, template string")
+    got = url_templates.judge_urls(df.where("page_id <> 355"), rules).collect()
+    distinct = {}
+    for x in got:
+        key = (x["host"], tuple(s for s in x["path"].split("/") if s), x["path"])
+        n, g, b = distinct.get(key, (0, 0, 0))
+        labelled = x["rule"] is not None
+        distinct[key] = (n + 1, g + (labelled and x["verdict"] == "allow"), b + (labelled and x["verdict"] == "block"))
+    assert len({(h, s) for h, s, _ in distinct}) == len(distinct)
+    want = plain_templates({(h, s): v for (h, s, _), v in distinct.items()})
+    for x in got:
+        template, purity = want[x["host"], tuple(s for s in x["path"].split("/") if s)]
+        assert (x["template"], round(x["purity"], 9)) == (template, purity)
+        assert x["verdict"] == (x["verdict"] if x["rule"] else "block" if x["purity"] < url_templates.MIN_PURITY else "allow")
+    parts = {x["path"].split("/")[11]: x["template"] for x in got if x["host"] == "x.org" and x["path"].startswith("/" + deep)}
+    assert parts["good"] != parts["bad"]
+
+
 def test_url_templates_generalise_and_reject(spark):
     rules = [("block", "a.com/ads/1"), ("allow", "a.com/news/1"), ("allow", "b.com/x/")]
     urls = [f"http://a.com/{part}/{n}.html" for part in ("ads", "news") for n in range(100, 260)]
@@ -173,7 +243,7 @@ def test_url_templates_generalise_and_reject(spark):
     assert got["http://a.com/ads/250.html"]["verdict"] == "block" and got["http://a.com/ads/250.html"]["rule"] is None
     assert got["http://a.com/news/250.html"]["verdict"] == "allow"
     assert got["http://a.com/news/305/deep/305"]["template"].endswith("/{n}/deep/{n}")
-    assert got[urls[-1]]["template"].endswith("/{**}")
+    assert got[urls[-1]]["template"].endswith("/" + "/".join("qrstuvwxyzab"))
 
 
 def test_pipeline_equals_its_stages_by_brute_force(spark, docs_of, tmp_path):

@@ -1,14 +1,18 @@
 """Operators that judge each document: line rules, language, quality, token counts, pieces."""
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import prose
 from pyspark.sql import functions as F
 
-from lineaweave.llm import language, line_rules, sentence_pieces, token_files, trie_tokens, weak_quality
+from lineaweave.llm import language, line_rules, queries, sentence_pieces, token_files, trie_tokens, weak_quality
+from lineaweave.llm.common import bounded_sample
+from lineaweave.llm.language import words_of
 
 
 def rows(df):
@@ -129,7 +133,10 @@ def test_language(docs_of, odd_rows):
     assert [got[k]["lang_pred"] for k in range(1, 6)] == ["en", "de", "de", "und", "und"]
     assert got[6]["lang_pred"] in model.languages  # a letter, but none that training knows
     assert all(0 <= r["score"] <= 1 for r in got.values())
-    assert language.predict(docs_of(odd_rows), model, columns=["doc_id"]).columns == ["doc_id", "lang_pred", "score"]
+    odd = language.predict(docs_of([*odd_rows, (30, "½ ² ① ⅷ"), (31, "Ж" * 300_000)]).withColumn("score", F.lit("x")), model).collect()
+    assert len(odd) == len(odd_rows) + 2 and all(0 <= r["score"] <= 1 and r["kept"] == "x" for r in odd)
+    assert all((r["lang_pred"] == "und") == (not any(c.isalpha() for c in r["text"] or "")) for r in odd)
+    assert words_of("हिन्दी e\u0301a ½x²") == ["हिन्दी", "e\u0301a", "x"]
     none = language.fit(docs_of(en).where("doc_id < 0"))
     assert rows(language.predict(docs_of([(1, "the dog")]), none))[1]["lang_pred"] == "und"
 
@@ -137,14 +144,71 @@ def test_language(docs_of, odd_rows):
 def test_language_backs_off_to_shorter_grams():
     model = language.model_of({"a": Counter({"abcde": 5}), "b": Counter({"vwxyz": 5})})
     for word in ("abcd", "abc", "xab", "a"):
-        assert model.predict(word, {})[0] == "a"
-    assert model.word_scores("abcde") is model.words["abcde"]
+        assert model.predict(pa.array([word]))[0] == ["a"]
+    scores, known = model.word_scores(["abcde", "abc"])
+    assert known.tolist() == [True, False]
+    assert np.allclose(scores[0], [np.log(5.5) - np.log(5 + 0.5 * 3), np.log(0.5) - np.log(5 + 0.5 * 3)])
+
+
+def plain_language(train, texts):
+    """Languages and scores word by word, in plain Python; also the share of words that training knows."""
+    docs = {(lang, t) for t, lang in train if lang is not None and words_of(t or "")}
+    languages = sorted({lang for lang, _ in docs})
+    counts = {n: {lang: Counter() for lang in languages} for n in (0, *language.NGRAMS)}
+    for lang, t in docs:
+        for w in words_of(t):
+            counts[0][lang][w] += 1
+            for n in language.NGRAMS:
+                counts[n][lang].update(language.grams(w, n))
+    known = {n: set().union(*own.values()) for n, own in counts.items()}
+
+    def log(n, lang, g):
+        return np.log(counts[n][lang][g] + 0.5) - np.log(sum(counts[n][lang].values()) + 0.5 * (len(known[n]) + 1))
+
+    def score(lang, w):
+        if w in known[0]:
+            return log(0, lang, w)
+        for n in language.NGRAMS:
+            if own := [g for g in language.grams(w, n) if g in known[n]]:
+                return np.mean([log(n, lang, g) for g in own])
+        return 0.0
+    out = []
+    for t in texts:
+        words = words_of(t or "")
+        total = np.array([sum(score(lang, w) for w in words) for lang in languages])
+        out.append(("und", 0.0, 0.0) if not words else (languages[int(np.argmax(total))], 1 / np.exp(total - total.max()).sum(),
+                                                        sum(w in known[0] for w in words) / len(words)))
+    return out
+
+
+def test_language_query_by_brute_force(spark, docs_of, tmp_path):
+    r = random.Random(4)
+    stems = {"en": ["the", "of", "house", "tree"], "de": ["der", "und", "haus", "baum"], "fr": ["le", "et", "maison", "été"]}
+    given = [(k, " ".join(r.choice(stems[lang]) + r.choice(["", "", "s", "en"]) for _ in range(r.randrange(1, 9))) + ".", lang)
+             for k in range(90) for lang in [r.choice(list(stems))]]
+    given += [(200, None, "en"), (201, "", "de"), (202, "das haus", None), (203, "12 ½", "xx"), (None, "le tree", "fr"), (3, given[3][1], given[3][2])]
+    docs_of(given).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.language_id(spark, str(tmp_path)).collect()
+
+    def out(i):
+        return i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    train = [(t, lang) for i, t, lang in given if i is not None and not out(i)]
+    want = sorted(((i is None, i or 0), out(i), p, round(s, 6)) for (i, _, _), (p, s, _) in zip(given, plain_language(train, [t for _, t, _ in given]), strict=True))
+    assert sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["held_out"], r["lang_pred"], round(r["score"], 6)) for r in got) == want
+
+
+def test_samples_are_bounded_by_distinct_texts(docs_of):
+    rows = [(k, "copied") for k in range(300)] + [(1000 + k, f"text {k}", "de" if k % 10 else "fr") for k in range(400)]
+    docs = docs_of(rows)
+    assert bounded_sample(docs, "text", 100).count() == 100
+    got = bounded_sample(docs, "text", 100, by="lang").groupBy("lang").agg(F.count("*"), F.countDistinct("text")).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == {"en": (1, 1), "de": (100, 100), "fr": (40, 40)}
 
 
 def test_quality_classifier_learns_from_votes(docs_of, odd_rows):
     good = [(k, "\n".join(" ".join(prose(97 * k + j, 12).split()) + "." for j in range(8))) for k in range(150)]
     bad = [(1000 + k, " ".join(w.upper() + "!!###" for w in prose(k, 60).split())) for k in range(40)]
-    got = rows(weak_quality.classify(docs_of(good + bad + odd_rows[:3])))
+    got = rows(weak_quality.classify(docs_of(good + bad + odd_rows + [(2000, "x" * 300_000)]).withColumn("score", F.lit(1))))
     assert np.mean([got[i]["kept"] for i, _ in good[10:]]) > 0.95
     assert not any(got[i]["kept"] for i, _ in bad)
 
@@ -183,10 +247,31 @@ def test_trie_counts_equal_a_plain_segmentation(docs_of, odd_rows):
         assert (r["n_pre_tokens"], r["n_tokens"]) == (len(own), sum(map(plain, own)))
 
 
+def test_long_pre_tokens_count_as_in_the_trie():
+    scores, fallback = trie_tokens.unigram_scores()
+    trie = trie_tokens.ForwardTrie(scores, fallback)
+    r = random.Random(6)
+    for n in (201, 500, 3000):
+        text = "".join(r.choice("abcdeééth\u2581 日😀") for _ in range(n))
+        assert trie.alone(text) == trie.insert(text)
+    nodes = len(trie.child)
+    assert trie.count("x" * 400_000) > 0 and len(trie.child) == nodes
+
+
+def test_line_rules_with_columns_of_their_own_names(docs_of):
+    docs = docs_of([(k, "\n".join(prose(90 * k + j, 12) for j in range(8)) + "\nfooter of this site") for k in range(30)])
+    own = {"_text": "t", "_cut": "c", "_host": "h", "_hash": "s", "_id": "i", "_gone": "g", "_row": "r"}
+    for name, value in own.items():
+        docs = docs.withColumn(name, F.lit(value))
+    got = line_rules.clean_documents(docs).collect()
+    assert len(got) == 30 and not any("footer" in r["text"] for r in got)
+    assert all(r[name] == value for r in got for name, value in own.items())
+
+
 def test_sentence_pieces_equal_the_library(docs_of, odd_rows):
     import sentencepiece
     own = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.model_path(None))
-    extra = [(20, "  two  spaces "), (21, "<s> </s> <0x0A> ▁"), (22, "a\n\nb")]
+    extra = [(18, "hello world "), (19, "a "), (20, "  two  spaces "), (21, "<s> </s> <0x0A> ▁"), (22, "a\n\nb")]
     given = dict(odd_rows + extra)
     tokens = sentence_pieces.encode_documents(docs_of(odd_rows + extra))
     for r in tokens.collect():
