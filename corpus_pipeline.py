@@ -13,8 +13,9 @@ from lineaweave.llm import decontaminate, language, line_rules, sentence_pieces,
 from lineaweave.llm.common import stored
 from lineaweave.llm.queries import held_out, table
 
-#: Least score of a text's language; it is rejected below, as it is without a letter.
-MIN_LANGUAGE_SCORE = 0.5
+#: Least score of a text's language, and least share of its words that training knows, whatever its length; it is rejected
+#: below, as it is without a letter. Of clean texts far more words are known, even with a small training part.
+MIN_LANGUAGE_SCORE, MIN_KNOWN_WORDS = 0.5, 0.1
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +26,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the languages that this stage's documents teach."""
     model = language.fit(docs.where(~held_out() & F.col("doc_id").isNotNull()))
-    judged = language.predict(docs.drop("lang_pred", "score"), model)
-    return judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).drop("lang_pred", "score")
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "text")
+    judged = language.predict(whole, model, columns=["row"])
+    fits = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE) & (F.col("known") >= MIN_KNOWN_WORDS)
+    return judged.where(fits).select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
