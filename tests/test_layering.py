@@ -1,6 +1,8 @@
 """Dependency layering (D11, D12, D14) against a brute-force condensation."""
 import random
 
+from pyspark.sql import functions as F
+
 from lineaweave.operators import layering as LY
 
 
@@ -58,6 +60,54 @@ def test_layers_equal_brute_force(spark):
     assert len({got[f"eight-{c}"] for c in "abcde"}) == 1 and got["eight-f"][0] == 1
 
 
+def test_rounds_grow_with_the_log_of_a_cycles_length(spark, monkeypatch):
+    monkeypatch.setattr(LY, "STEPS", 4)
+    contract, rounds = LY._contract, []
+    monkeypatch.setattr(LY, "_contract", lambda e: (out := contract(e), rounds.append(len(out[1])))[0])
+    taken = []
+    for n in (16, 128):
+        names = [f"c{k:04}" for k in range(n)]
+        both = [(names[k], names[(k + 1) % n]) for k in range(n)] + [("in", names[0]), (names[3], "out"), ("out", "past")]
+        got = {r.id: (r.layer, r.orphan) for r in LY.layer_nodes(*_frames(spark, [*names, "in", "out", "past"], both)).collect()}
+        assert got == {**dict.fromkeys(names, (1, False)), "in": (0, False), "out": (2, False), "past": (3, False)}
+        taken.append(sum(rounds))
+        rounds.clear()
+    assert taken[1] <= taken[0] + 3 * 4  # eight times as long: a few rounds more
+
+
+def test_contracted_graphs_have_the_same_components(spark, monkeypatch):
+    monkeypatch.setattr(LY, "STEPS", 2)
+    ids, edges = _parts()
+    nodes, pairs = _frames(spark, ids, edges)
+    want = _expected(ids, edges)
+    got = {r.id: (r.layer, r.orphan) for r in LY.layer_nodes(nodes, pairs).collect()}
+    assert got == want
+
+
+def test_maps_are_layered_and_placed_as_each_alone(spark):
+    r = random.Random(5)
+    rows, edges = [], []
+    for m in "abc":
+        ids = [f"{m}{k}" for k in range(8)] + ["shared"]
+        rows += [(m, i) for i in ids]
+        edges += [(m, *r.sample(ids, 2)) for _ in range(7)]
+    members, links = spark.createDataFrame(rows, "schema string, id string"), spark.createDataFrame(edges, "schema string, source string, target string")
+    layers = LY.layer_maps(members, links, ["schema"])
+    names = members.select("id", F.col("id").alias("name")).distinct()
+    placed = {(x["schema"], x["id"]): tuple(x)[2:] for x in LY.place_maps(names, layers, ["schema"]).collect()}
+    got = {(x["schema"], x["id"]): (x["layer"], x["orphan"]) for x in layers.collect()}
+    for m in "abc":
+        ids = [i for k, i in rows if k == m]
+        own = _expected(ids, [(s, t) for k, s, t in edges if k == m])
+        assert {i: got[m, i] for i in ids} == own
+        wide = max([4, *(v[0] + 1 for v in own.values() if not v[1])])
+        for i, (layer, orphan) in own.items():
+            at = sorted(j for j, v in own.items() if v == (layer, orphan)).index(i)
+            assert placed[m, i] == ((None, None, at // wide, at % wide) if orphan else (layer, at, None, None))
+    plan = LY.place_maps(names, layers, ["schema"])._jdf.queryExecution().toString()
+    assert "Python" not in plan and "SinglePartition" not in plan
+
+
 def test_slots_follow_names_within_a_layer(spark):
     nodes, edges = _frames(spark, ["Zinc", "amber", "sink", "spare2", "spare1"], [("amber", "sink"), ("Zinc", "sink")])
     slots = {r.id: tuple(r)[1:] for r in LY.map_slots(nodes, LY.layer_nodes(nodes, edges)).collect()}
