@@ -77,10 +77,10 @@ def resolve_names(entities: DataFrame, registry: DataFrame) -> DataFrame:
     PIPELINE: registry name; NOTEBOOK: last path segment of a path-like id,
     else of the audit path, else ``Notebook {id[:12]}``; anything else, or an
     id failing the safe-id pattern, falls back to ``{TYPE} {id[:12]}``."""
-    reg = registry.select("entity_type", "entity_id", F.col("name").alias("_rname"),
-                          F.col("owner").alias("_rowner"))
-    reg = reg.groupBy("entity_type", "entity_id").agg(F.min("_rname").alias("_rname"),
-                                                      F.min("_rowner").alias("_rowner"))
+    # one row of a repeated entity: the smallest name (null last) with its own owner
+    pick = F.min(F.struct(F.col("name").isNull().alias("none"), "name", "owner")).alias("_r")
+    reg = registry.groupBy("entity_type", "entity_id").agg(pick).select(
+        "entity_type", "entity_id", F.col("_r.name").alias("_rname"), F.nullif(F.col("_r.owner"), F.lit("")).alias("_rowner"))
     safe = F.coalesce(F.col("entity_id").rlike(P.SAFE_ENTITY_ID_RE), F.lit(False))
     j = entities.join(reg, ["entity_type", "entity_id"], "left")
     et, eid = F.col("entity_type"), F.col("entity_id")

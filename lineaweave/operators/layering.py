@@ -262,19 +262,21 @@ def placed_schema_maps(g: G.Graph, k: int | None = None) -> DataFrame:
 
 
 def _schema_maps(g: G.Graph, k: int | None) -> tuple[DataFrame, DataFrame]:
-    """Members (schema, id, rank) and edges (schema, source, target) of the schemas' maps."""
-    ids = g.nodes.select("id")
-    e = (g.edges.join(ids.select(F.col("id").alias("source")), "source", "left_semi")
-         .join(ids.select(F.col("id").alias("target")), "target", "left_semi"))
+    """Members (schema, id, rank) and edges (schema, source, target) of the schemas' maps. Each step is written once, since
+    the next ones read it several times."""
+    nodes = materialize(g.nodes.select("id", "node_type"), "map-nodes")
+    ids = nodes.select("id")
+    e = materialize(g.edges.join(ids.select(F.col("id").alias("source")), "source", "left_semi")
+                    .join(ids.select(F.col("id").alias("target")), "target", "left_semi").select("source", "target"), "map-edges")
     und = e.select(F.col("source").alias("a"), F.col("target").alias("b")) \
         .unionByName(e.select(F.col("target").alias("a"), F.col("source").alias("b"))).distinct()
-    tables = g.nodes.filter(F.col("node_type") == "table").select("id", schema_of(F.col("id")).alias("schema"))
-    nb = tables.join(und.withColumnRenamed("a", "id"), "id").select("schema", F.col("b").alias("id"))
+    tables = nodes.filter(F.col("node_type") == "table").select("id", schema_of(F.col("id")).alias("schema"))
+    nb = tables.join(und.withColumnRenamed("a", "id"), "id").select("schema", F.col("b").alias("id")).distinct()
     ent_nb = (nb.filter(F.col("id").startswith("entity:"))
               .join(und.withColumnRenamed("a", "id"), "id").select("schema", F.col("b").alias("id")))
-    member = tables.unionByName(nb).unionByName(ent_nb).distinct()
-    sub_edges = (e.join(member.select("schema", F.col("id").alias("source")), "source")
-                 .join(member.select("schema", F.col("id").alias("target")), ["schema", "target"]))
+    member = materialize(tables.unionByName(nb).unionByName(ent_nb).distinct(), "map-members")
+    sub_edges = materialize(e.join(member.select("schema", F.col("id").alias("source")), "source")
+                            .join(member.select("schema", F.col("id").alias("target")), ["schema", "target"]), "map-links")
     has_edges = sub_edges.select("schema").distinct()
     sizes = tables.groupBy("schema").agg(F.count("*").alias("n_tables")).join(has_edges, "schema", "left_semi")
     if k is not None:

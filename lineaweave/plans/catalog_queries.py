@@ -89,7 +89,8 @@ def q_invalid_ids(spark, sf):
 
 
 @register("resolve_names", C.oracle(TL + _REG_FX, _FULL_CTES + [("reg", _REG), ("regg", """
-SELECT entity_type, entity_id, min(name) AS rname, min(owner) AS rowner FROM reg GROUP BY ALL""")], """
+SELECT DISTINCT ON (entity_type, entity_id) entity_type, entity_id, name AS rname, nullif(owner, '') AS rowner FROM reg
+ORDER BY entity_type, entity_id, name NULLS LAST, owner NULLS FIRST""")], """
 SELECT n.id, n.entity_type, n.entity_id,
   CASE WHEN NOT regexp_full_match(n.entity_id, '[A-Za-z0-9_./@ +:-]{1,512}')
          THEN n.entity_type || ' ' || substr(n.entity_id, 1, 12)

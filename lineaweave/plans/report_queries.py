@@ -6,17 +6,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog as CA
+from ..operators import cost as CO
 from ..operators import graph as G
 from ..operators import layering as LY
 from ..operators import medallion as MD
 from ..operators import readiness as RD
 from ..operators import reports as RP
 from ..operators import requests as RQ
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialize
 from . import common as C
 from .common import register
 from .graph_queries import _scope_ctes, scope_graph
 from .catalog_queries import _REG, _REG_FX, _registry
+from .graph_queries import _COST_FX, _COSTS_CTES, _cost
 
 TL = ("table_lineage",)
 SC_FX = TL + ("tables", "columns")
@@ -42,8 +44,13 @@ _LAYER_CTES = _scope_ctes(*SCOPE) + [
 ]
 
 
+def _written(g: G.Graph) -> G.Graph:
+    """A graph whose plan is cut, for queries that read it several times."""
+    return G.Graph(materialize(g.nodes, "graph-nodes"), materialize(g.edges, "graph-edges"))
+
+
 def _layers(spark, sf):
-    g = scope_graph(spark, sf, *SCOPE)
+    g = _written(scope_graph(spark, sf, *SCOPE))
     return g, LY.layer_nodes(g.nodes, g.edges)
 
 
@@ -73,7 +80,26 @@ def q_map_slots(spark, sf):
     return out.select("id", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("layer", "slot", "grid_row", "grid_col")])
 
 
-@register("report_lineage_map", C.oracle(SC_FX, _LAYER_CTES + [
+# Boxes of a map: a node's label with its resolved name, its type and status.
+_BOX_CTES = [("reg", _REG),
+    ("regg", "SELECT DISTINCT ON (entity_type, entity_id) entity_type, entity_id, name FROM reg ORDER BY entity_type, entity_id, name NULLS LAST"),
+    ("named", """SELECT n.*, CASE WHEN NOT regexp_full_match(n.entity_id, '[A-Za-z0-9_./@ +:-]{1,512}') THEN n.entity_type || ' ' || left(n.entity_id, 12)
+        WHEN n.entity_type = 'NOTEBOOK' AND contains(n.entity_id, '/') THEN string_split(n.entity_id, '/')[-1]
+        WHEN n.entity_type = 'NOTEBOOK' THEN coalesce(r.name, 'Notebook ' || left(n.entity_id, 12))
+        WHEN n.entity_type IN ('JOB', 'PIPELINE') AND r.name <> '' THEN r.name
+        ELSE n.entity_type || ' ' || left(n.entity_id, 12) END AS shown
+      FROM cls n LEFT JOIN regg r ON r.entity_type = n.entity_type AND r.entity_id = n.entity_id"""),
+    ("box", """SELECT id, node_type AS kind, CASE node_type WHEN 'entity' THEN shown ELSE name END AS label,
+        CASE node_type WHEN 'entity' THEN entity_type ELSE table_type END AS type, coalesce(lineage_status, '') AS status FROM named""")]
+
+
+def _names(spark, sf, nodes):
+    """Display names of the entities among ``nodes``."""
+    ents = nodes.filter(F.col("node_type") == "entity").select("entity_type", "entity_id").distinct()
+    return CA.resolve_names(ents, _registry(spark, sf))
+
+
+@register("report_lineage_map", C.oracle(SC_FX + _REG_FX, _LAYER_CTES + _BOX_CTES + [
     ("lab", "SELECT l.*, lower(coalesce(n.name, n.id)) AS k FROM layers l JOIN cls n ON n.id = l.id"),
     ("pr", "SELECT greatest(coalesce(max(layer) + 1, 0), 4) AS per_row FROM layers WHERE NOT orphan"),
     ("slots", """
@@ -84,17 +110,14 @@ SELECT id, -1, -1,
        CAST(floor((row_number() OVER (ORDER BY k, id) - 1) / (SELECT per_row FROM pr)) AS INT),
        CAST((row_number() OVER (ORDER BY k, id) - 1) % (SELECT per_row FROM pr) AS INT)
 FROM lab WHERE orphan""")], """
-SELECT n.id, n.node_type AS kind,
-       CASE WHEN n.node_type = 'entity' THEN n.entity_type || ' ' || n.entity_id ELSE n.name END AS label,
-       s.layer, s.slot, s.grid_row, s.grid_col
-FROM cls n JOIN slots s ON s.id = n.id""", recursive=True))
+SELECT b.id, b.kind, b.label, b.type, b.status, s.layer, s.slot, s.grid_row, s.grid_col
+FROM box b JOIN slots s ON s.id = b.id""", recursive=True))
 def q_report_lineage_map(spark, sf):
     """Lineage-map rows of the main.bronze scope: node, kind, label,
     layer and slot (or orphan grid cell)."""
     g, layers = _layers(spark, sf)
-    slots = LY.map_slots(g.nodes, layers)
-    m = RP.lineage_map(g.nodes, layers, slots)
-    return m.select("id", "kind", "label",
+    m = RP.lineage_map(g.nodes, LY.map_slots(g.nodes, layers), _names(spark, sf, g.nodes))
+    return m.select("id", "kind", "label", "type", "status",
                     *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("layer", "slot", "grid_row", "grid_col")])
 
 
@@ -112,11 +135,11 @@ _MAPS_CTES = _scope_ctes("analytics", None) + [
         ORDER BY n DESC, schema LIMIT 12""")]
 
 
-@register("schema_maps", C.oracle(SC_FX, _MAPS_CTES, """
+@register("schema_maps_top", C.oracle(SC_FX, _MAPS_CTES, """
 SELECT m.schema, m.id, CAST(t.rank AS INT) AS rank FROM member m JOIN top t ON t.schema = m.schema"""))
-def q_schema_maps(spark, sf):
-    """Per-schema map membership of the analytics catalog graph, top 12
-    schemas by table count, empty maps skipped."""
+def q_schema_maps_top(spark, sf):
+    """D13 with the report's top 12 schemas by table count: map membership in
+    the analytics catalog graph, empty maps skipped."""
     m = LY.schema_maps(scope_graph(spark, sf, "analytics", None), 12)
     return m.select("schema", "id", F.col("rank").cast("int").alias("rank"))
 
@@ -126,15 +149,54 @@ _ALL_MAPS_CTES = _MAPS_CTES[:-1] + [
         WHERE schema IN (SELECT schema FROM sube) GROUP BY schema""")]
 
 
-@register("schema_maps_all", C.oracle(SC_FX, _ALL_MAPS_CTES, """
-SELECT m.schema, m.id, CAST(r.rank AS INT) AS rank FROM member m JOIN ranked r ON r.schema = m.schema"""))
-def q_schema_maps_all(spark, sf):
-    """D13 without the report's cap: map membership of every schema of the
-    analytics catalog graph, with its rank by table count."""
+_ALL_MAPS = C.oracle(SC_FX, _ALL_MAPS_CTES, """
+SELECT m.schema, m.id, CAST(r.rank AS INT) AS rank FROM member m JOIN ranked r ON r.schema = m.schema""")
+
+
+@register("schema_maps", _ALL_MAPS)
+@register("schema_maps_all", _ALL_MAPS)
+def q_schema_maps(spark, sf):
+    """Map membership of every schema of the analytics catalog graph,
+    with its rank by table count; empty maps skipped."""
     m = LY.schema_maps(scope_graph(spark, sf, "analytics", None))
     return m.select("schema", "id", F.col("rank").cast("int").alias("rank"))
 
 
+# Every map by itself: closure, condensation and longest paths with the schema as a key.
+_PLACED_CTES = _ALL_MAPS_CTES + [
+    ("mem", "SELECT m.schema, m.id, r.rank FROM member m JOIN ranked r ON r.schema = m.schema"),
+    ("me", """SELECT DISTINCT a.schema, e.source, e.target FROM edges e JOIN mem a ON a.id = e.source
+        JOIN mem b ON b.id = e.target AND b.schema = a.schema WHERE e.source <> e.target"""),
+    ("mt(k, s, t)", "SELECT schema, source, target FROM me UNION SELECT mt.k, mt.s, e.target FROM mt JOIN me e ON e.schema = mt.k AND e.source = mt.t"),
+    ("mc", """SELECT x.k, x.id, least(x.id, coalesce(min(b.s), x.id)) AS comp
+        FROM (SELECT schema AS k, source AS id FROM me UNION SELECT schema, target FROM me) x
+        LEFT JOIN (SELECT a.k, a.s, a.t FROM mt a JOIN mt b ON b.k = a.k AND b.s = a.t AND b.t = a.s) b ON b.k = x.k AND b.t = x.id
+        GROUP BY x.k, x.id"""),
+    ("md", """SELECT DISTINCT me.schema AS k, a.comp AS s, b.comp AS t FROM me JOIN mc a ON a.k = me.schema AND a.id = me.source
+        JOIN mc b ON b.k = me.schema AND b.id = me.target WHERE a.comp <> b.comp"""),
+    ("ml(k, c, l)", """SELECT DISTINCT k, comp, 0 FROM mc WHERE NOT EXISTS (SELECT 1 FROM md WHERE md.k = mc.k AND md.t = mc.comp)
+        UNION SELECT ml.k, md.t, ml.l + 1 FROM ml JOIN md ON md.k = ml.k AND md.s = ml.c"""),
+    ("placed", """SELECT mem.schema, mem.rank, mem.id, d.layer, lower(coalesce(n.name, n.id)) AS label_key,
+          greatest(coalesce(max(d.layer) OVER (PARTITION BY mem.schema) + 1, 0), 4) AS wide
+        FROM mem JOIN cls n ON n.id = mem.id LEFT JOIN mc ON mc.k = mem.schema AND mc.id = mem.id
+        LEFT JOIN (SELECT k, c, max(l) AS layer FROM ml GROUP BY k, c) d ON d.k = mc.k AND d.c = mc.comp"""),
+    ("spot", "SELECT *, row_number() OVER (PARTITION BY schema, layer ORDER BY label_key, id) - 1 AS at FROM placed")]
+
+
+@register("report_schema_maps", C.oracle(SC_FX + _REG_FX, _PLACED_CTES + _BOX_CTES, """
+SELECT s.schema, s.rank::INT AS rank, s.id, b.kind, b.label, b.type, b.status, coalesce(s.layer, -1)::INT AS layer,
+  CASE WHEN s.layer IS NULL THEN -1 ELSE s.at END::INT AS slot, CASE WHEN s.layer IS NULL THEN s.at // s.wide ELSE -1 END::INT AS grid_row,
+  CASE WHEN s.layer IS NULL THEN s.at % s.wide ELSE -1 END::INT AS grid_col
+FROM spot s JOIN box b ON b.id = s.id""", recursive=True))
+def q_report_schema_maps(spark, sf):
+    """P6 over all schemas of the analytics catalog: every schema's map,
+    layered and placed in the same rounds, with resolved labels."""
+    g = _written(scope_graph(spark, sf, "analytics", None))
+    m = RP.lineage_map(g.nodes, LY.placed_schema_maps(g), _names(spark, sf, g.nodes))
+    return m.select("schema", "rank", "id", "kind", "label", "type", "status",
+                    *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("layer", "slot", "grid_row", "grid_col")])
+
+
 # ---------------------------------------------------------------- reports
 
 _TE_BRONZE = f"""SELECT DISTINCT source_table_full_name AS source, target_table_full_name AS target, entity_type, entity_id
@@ -221,13 +283,14 @@ def q_report_lineage(spark, sf):
     return RP.lineage_report(te, names)
 
 
-@register("report_pipelines", C.oracle(_RP_FX, _RP_CTES, """
-SELECT entity_type AS type, '' AS name, entity_id, coalesce(last_run, '') AS last_run,
-       coalesce(owner, '') AS owner, CAST(NULL AS DOUBLE) AS cost_usd
-FROM cls WHERE node_type = 'entity'"""))
+@register("report_pipelines", C.oracle(_RP_FX + _REG_FX + _COST_FX, _RP_CTES + _BOX_CTES + _COSTS_CTES, """
+SELECT n.entity_type AS type, n.shown AS name, n.entity_id, coalesce(n.last_run, '') AS last_run, coalesce(n.owner, '') AS owner, c.cost_usd
+FROM named n LEFT JOIN costs c ON c.entity_type = n.entity_type AND c.entity_id = n.entity_id WHERE n.node_type = 'entity'"""))
 def q_report_pipelines(spark, sf):
-    """The Pipelines sheet (no cost attached in this scope)."""
-    return RP.pipelines_report(scope_graph(spark, sf, *SCOPE).nodes)
+    """The Pipelines sheet with resolved names and 30-day cost."""
+    nodes = materialize(scope_graph(spark, sf, *SCOPE).nodes, "graph-nodes")
+    cost = CO.entity_cost(*_cost(spark, sf), C.COST_AS_OF, C.COST_DAYS)
+    return RP.pipelines_report(CO.attach_cost(nodes, cost), _names(spark, sf, nodes))
 
 
 @register("report_column_lineage", C.oracle(_RP_FX, _RP_CTES, "SELECT * FROM cedges"))
