@@ -19,17 +19,18 @@ derived relations current:
 * ST4 ``stream_orders_daily``: the demo pipeline — CSV landing ingest (A9)
   to the daily orders roll-up (E14) in ``complete`` mode.
 
-Sinks are parquet tables under the checkpoint directory with one folder
-per micro-batch epoch, and streams keep their checkpoint locations there:
-no state lives in the driver, a restarted query resumes where it stopped,
-and a replayed batch rewrites its own epoch, so it cannot change the
-result. ``run_available`` drives a query with
+Sinks are parquet tables with one folder per micro-batch epoch, beside the
+stream's checkpoint in a folder ``base``: no state lives in the driver, and a
+replayed batch rewrites its own epoch, so it cannot change the result. A caller
+that gives the same ``base`` again resumes where the last run stopped; without
+one, each call starts anew under the checkpoint directory. ``run_available`` drives a query with
 ``trigger(availableNow=True)``."""
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,9 @@ class LogTable:
         try:
             return (self.spark.read.schema(f"{self.schema}, _epoch long").option("basePath", self.path)
                     .parquet(self.path))
-        except Exception:  # folder not created yet
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], f"{self.schema}, _epoch long")
 
     def before(self, epoch: int) -> DataFrame:
@@ -101,10 +104,10 @@ def read_event_stream(spark: SparkSession, path: str, schema, files_per_trigger:
     return s.withColumn("event_time", ntz_to_instant("event_time"))
 
 
-def stream_edges(events: DataFrame, watermark: str | None = None) -> DataFrame:
+def stream_edges(events: DataFrame, watermark: str | None = None, base: str | None = None) -> DataFrame:
     """ST1: maintain the distinct 6-key lineage rows; returns the sink."""
     spark = events.sparkSession
-    base = _base(spark, "edges")
+    base = base or _base(spark, "edges")
     sink = LogTable(spark, f"{base}/table", ", ".join(f"{c} string" for c in EDGE_KEY))
     s = events.select(*EDGE_KEY, "event_time")
     if watermark:
@@ -121,12 +124,12 @@ def stream_edges(events: DataFrame, watermark: str | None = None) -> DataFrame:
     return sink.read_all().drop("_epoch")
 
 
-def stream_entity_rollup(events: DataFrame) -> DataFrame:
+def stream_entity_rollup(events: DataFrame, base: str | None = None) -> DataFrame:
     """ST2: per-entity last run and event count, upserted by key from the
     ``update``-mode output of a stateful aggregation (state holds one row
     per entity)."""
     spark = events.sparkSession
-    base = _base(spark, "rollup")
+    base = base or _base(spark, "rollup")
     sink = LogTable(spark, f"{base}/table", "entity_type string, entity_id string, last_run timestamp, events bigint")
     agg = (events.filter(F.col("entity_type").isNotNull() & F.col("entity_id").isNotNull()
                          & (F.col("entity_type") != "") & (F.col("entity_id") != ""))
@@ -141,10 +144,10 @@ def stream_entity_rollup(events: DataFrame) -> DataFrame:
     return sink.latest_by_key(["entity_type", "entity_id"])
 
 
-def stream_daily_counts(events: DataFrame, watermark: str = "1 day") -> DataFrame:
+def stream_daily_counts(events: DataFrame, watermark: str = "1 day", base: str | None = None) -> DataFrame:
     """ST3: per-entity events per 1-day tumbling window, append mode."""
     spark = events.sparkSession
-    base = _base(spark, "daily")
+    base = base or _base(spark, "daily")
     out = f"{base}/table"
     agg = (events.filter(F.col("entity_type").isNotNull() & F.col("entity_id").isNotNull())
            .withWatermark("event_time", watermark)
@@ -156,10 +159,10 @@ def stream_daily_counts(events: DataFrame, watermark: str = "1 day") -> DataFram
     return spark.read.parquet(out)
 
 
-def stream_orders_daily(spark: SparkSession, landing: str) -> DataFrame:
+def stream_orders_daily(spark: SparkSession, landing: str, base: str | None = None) -> DataFrame:
     """ST4: landing CSV stream -> daily orders and revenue (complete mode)."""
     from ..operators.medallion import ingest_orders_stream, orders_daily
-    base = _base(spark, "orders")
+    base = base or _base(spark, "orders")
     sink = LogTable(spark, f"{base}/table", "order_date date, orders bigint, revenue double")
     agg = orders_daily(ingest_orders_stream(spark, landing))
 

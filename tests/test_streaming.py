@@ -1,7 +1,12 @@
 """Stream sinks: replayed micro-batches must not change the result."""
+import datetime as dt
 import uuid
 
+import pytest
+from lineage_data import lineage_rows
+
 from lineaweave.session import checkpoint_dir
+from lineaweave.streaming import incremental as ST
 from lineaweave.streaming.incremental import LogTable
 
 
@@ -18,3 +23,28 @@ def test_log_table_replay_is_idempotent(spark):
     assert sorted(tuple(r) for r in t.latest_epoch().collect()) == [("a", 5)]
     assert t.read_all().count() == 3
     assert t.before(1).count() == 2
+
+
+def test_streams_resume_where_they_stopped(spark, monkeypatch):
+    base = f"{checkpoint_dir(spark)}/test-resume-{uuid.uuid4().hex}"
+    runs, run = [], ST.run_available
+    monkeypatch.setattr(ST, "run_available", lambda *a: runs.append(run(*a)) or runs[-1])
+    first = lineage_rows(spark, [("a.b.x", "a.b.y", "JOB", "1"), ("a.b.x", "a.b.y", "JOB", "1"), ("a.b.y", "a.b.z", "JOB", "2")])
+    later = lineage_rows(spark, [("a.b.x", "a.b.y", "JOB", "1"), ("a.b.z", "a.b.w", "JOB", "2")])
+    for k, rows in enumerate((first, later)):
+        rows.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        events = ST.read_event_stream(spark, f"{base}/in", first.schema)
+        edges = ST.stream_edges(events, base=f"{base}/edges")
+        rollup = ST.stream_entity_rollup(events, base=f"{base}/rollup")
+        read = [sum(p.numInputRows for p in q.recentProgress) for q in runs[-2:]]
+        assert read == [[3, 3], [2, 2]][k]  # the second run reads the new rows only
+    every = first.unionByName(later)
+    assert sorted(map(tuple, edges.collect()), key=str) == sorted(map(tuple, every.select(*ST.EDGE_KEY).distinct().collect()), key=str)
+    assert {(r["entity_id"], r["events"]) for r in rollup.collect()} == {("1", 3), ("2", 2)}
+    assert rollup.first()["last_run"].replace(tzinfo=None) == dt.datetime(2024, 1, 10, 12)
+
+
+def test_unreadable_sink_is_an_error(spark):
+    sink = LogTable(spark, f"nosuchscheme://{uuid.uuid4().hex}/x", "k string")
+    with pytest.raises(Exception, match="nosuchscheme"):
+        sink.read_all()
