@@ -312,7 +312,12 @@ def q_report_export(spark, sf):
     return RP.export_lineage_rows(scope_graph(spark, sf, *SCOPE).edges)
 
 
-@register("write_report", None)
+@register("write_report", C.oracle(_RP_FX, _RP_CTES, """
+SELECT 'summary' AS report, 5::BIGINT AS rows
+UNION ALL SELECT 'tables', count(*) FROM cls WHERE node_type = 'table'
+UNION ALL SELECT 'pipelines', count(*) FROM cls WHERE node_type = 'entity'
+UNION ALL SELECT 'lineage', count(*) FROM te
+UNION ALL SELECT 'column_lineage', count(*) FROM cedges"""))
 def q_write_report(spark, sf):
     """Write every report relation of the main.bronze export to a
     folder (parquet) and read the written inventory back."""
