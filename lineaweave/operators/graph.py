@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import refs as R
+from .skew import fanout_join
 
 ROW_KEY = ("source_table_full_name", "target_table_full_name", "source_path", "target_path",
            "entity_type", "entity_id")
@@ -108,8 +109,9 @@ def direct_pairs(rows: DataFrame) -> DataFrame:
 def uncovered_pairs(pairs: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
     """Direct pairs (s, t) not covered by any entity that reads s and
     writes t. Two equi-joins (s -> entity, then (entity, t) semi) instead of
-    materialising every entity's sources x targets."""
-    via = (pairs.join(sources.select(F.col("table").alias("source"), "ekey"), "source")
+    materialising every entity's sources x targets. A table that many pairs
+    and many entities read is dealt over several tasks."""
+    via = (fanout_join(pairs, sources.select(F.col("table").alias("source"), "ekey"), ["source"])
            .join(targets.select("ekey", F.col("table").alias("target")), ["ekey", "target"], "left_semi")
            .select("source", "target"))
     return pairs.join(via, ["source", "target"], "left_anti")
@@ -363,23 +365,25 @@ def collapse_to_tables(edges: DataFrame) -> DataFrame:
     """C10 / V1 edges: table -> table pass-through edges plus, per entity,
     its sources joined to its targets (no self pairs, distinct). The join
     output is the operator's result set itself; both sides are deduplicated
-    before the join so the shuffle carries only distinct pairs."""
+    before the join so the shuffle carries only distinct pairs, and a hub
+    entity's pairs are dealt over several tasks."""
     ent_s = R.is_entity_id("source")
     ent_t = R.is_entity_id("target")
     direct = edges.filter(~ent_s & ~ent_t).select("source", "target")
     ins = edges.filter(~ent_s & ent_t).select(F.col("source").alias("s"), F.col("target").alias("e")).distinct()
     outs = edges.filter(ent_s & ~ent_t).select(F.col("source").alias("e"), F.col("target").alias("t")).distinct()
-    via = ins.join(outs, "e").select(F.col("s").alias("source"), F.col("t").alias("target"))
+    via = fanout_join(ins, outs, ["e"]).select(F.col("s").alias("source"), F.col("t").alias("target"))
     return direct.unionByName(via).filter(F.col("source") != F.col("target")).distinct()
 
 
 def pipeline_deps(edges: DataFrame) -> DataFrame:
-    """C11 / V2 edges: entity A -> entity B when A writes a table B reads, A != B."""
+    """C11 / V2 edges: entity A -> entity B when A writes a table B reads, A != B.
+    A hub table's pairs are dealt over several tasks."""
     ent_s = R.is_entity_id("source")
     ent_t = R.is_entity_id("target")
     writes = edges.filter(ent_s & ~ent_t).select(F.col("source").alias("a"), F.col("target").alias("t")).distinct()
     reads = edges.filter(~ent_s & ent_t).select(F.col("source").alias("t"), F.col("target").alias("b")).distinct()
-    return (writes.join(reads, "t").filter(F.col("a") != F.col("b"))
+    return (fanout_join(writes, reads, ["t"]).filter(F.col("a") != F.col("b"))
             .select(F.col("a").alias("source"), F.col("b").alias("target")).distinct())
 
 

@@ -10,8 +10,10 @@ Each hop's frontier is written to the checkpoint folder and read back
 (``session.materialize``): lineage is cut, a lost executor never replays
 earlier hops, and the planner sees the frontier's real size, so a small
 frontier is broadcast under ``autoBroadcastJoinThreshold`` while a large
-one takes a shuffle join with AQE skew splitting. Only an emptiness probe
-returns to the driver. Spark's recursive CTE is not used: it only allows
+one is shuffled to the adjacency, which is partitioned once and cached. Hub
+nodes are cut into parts of the adjacency first, and the frontier's rows of a
+hub are repeated for each part, so a hub's neighbours are read by many tasks.
+Only an emptiness probe returns to the driver. Spark's recursive CTE is not used: it only allows
 UNION ALL, which never reaches a fixpoint on cyclic lineage."""
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, materialize
 from . import graph as G
-
+from .skew import Hubs, cut, heavy_keys, repeated
 
 
 def reach(adj: DataFrame, seeds: DataFrame, max_hops: int | None = None, keys: tuple[str, ...] = ("seed",),
-          route: tuple[str, ...] = ()) -> DataFrame:
+          route: tuple[str, ...] = (), hubs: Hubs | None = None) -> DataFrame:
     """Breadth-first reach.
 
     ``adj(*route, node, nbr)`` distinct directed pairs; ``seeds(*keys,
@@ -37,12 +39,14 @@ def reach(adj: DataFrame, seeds: DataFrame, max_hops: int | None = None, keys: t
     hop count of every node reachable from each key (hop 0 = the seed),
     up to ``max_hops``. ``route`` columns (a subset of ``keys``) select the
     adjacency a key walks on, so e.g. up- and down-walks of many seeds run
-    in one loop. Terminates on cycles (visited anti-join) and when a hop
+    in one loop. ``hubs``, where given, are the nodes that ``adj`` has
+    in parts (its column ``part``, 0 for all others); see ``split_hubs``. Terminates on cycles (visited anti-join) and when a hop
     adds nothing. Each hop is appended once to the walk's folder, which one
     scan reads as the visited set and, at the end, as the result; nothing is
     written again. One count (the emptiness probe) per hop."""
     keys = tuple(keys)
-    adj = adj.select(*route, "node", "nbr")
+    step = [*route, "node"] if hubs is None else [*route, "node", "part"]
+    adj = adj.select(*step, "nbr")
     spark = adj.sparkSession
     base = f"{checkpoint_dir(spark).rstrip('/')}/lw-reach-{uuid.uuid4().hex}"
     paths: list[str] = []
@@ -58,7 +62,9 @@ def reach(adj: DataFrame, seeds: DataFrame, max_hops: int | None = None, keys: t
     while max_hops is None or hop < max_hops:
         hop += 1
         visited = spark.read.schema(schema).parquet(*paths).select(*keys, "node")
-        nxt = (frontier.join(adj, [*route, "node"]).select(*keys, F.col("nbr").alias("node")).distinct()
+        if hubs is not None:
+            frontier = repeated(frontier, hubs, list(keys))
+        nxt = (frontier.join(adj, step).select(*keys, F.col("nbr").alias("node")).distinct()
                .join(visited, [*keys, "node"], "left_anti").withColumn("hop", F.lit(hop)))
         nxt = append(nxt)
         if nxt.count() == 0:
@@ -67,6 +73,17 @@ def reach(adj: DataFrame, seeds: DataFrame, max_hops: int | None = None, keys: t
     return spark.read.schema(schema).parquet(*paths)
 
 
+def split_hubs(adj: DataFrame, route: tuple[str, ...] = (), heavy: int | None = None) -> tuple[DataFrame, Hubs | None]:
+    """``adj`` partitioned for ``reach`` and its hubs: nodes of more than
+    ``heavy`` neighbours are cut into parts by a hash of the neighbour (None,
+    and no parts, where there are none)."""
+    key = [*route, "node"]
+    hubs = heavy_keys(adj, key, heavy)
+    if hubs.n == 0:
+        return adj.repartition(*key), None
+    return cut(adj, hubs, ["nbr"]).repartition(*key, "part"), hubs
+
+
 def seeds_frame(spark: SparkSession, seeds: list[str] | DataFrame) -> DataFrame:
     """Seeds as a (seed, node) frame; a DataFrame with a ``seed`` column is
     used as is (the multi-seed path never touches the driver)."""
@@ -89,7 +106,7 @@ def lineage_adjacency(ev: DataFrame, direction: str) -> DataFrame:
 
 
 def trace_many(ev: DataFrame, seeds: list[str] | DataFrame, max_hops: int | None = None,
-               directions: tuple[str, ...] = ("up", "down")) -> DataFrame:
+               directions: tuple[str, ...] = ("up", "down"), heavy: int | None = None) -> DataFrame:
     """(seed, node, direction, hop) for every seed's ancestors
     ('up') and descendants ('down'), each direction with its own visited
     set (true ancestors and descendants, also on cyclic graphs). Both
@@ -102,9 +119,10 @@ def trace_many(ev: DataFrame, seeds: list[str] | DataFrame, max_hops: int | None
     views = {"up": pairs.select(F.col("t").alias("node"), F.col("s").alias("nbr")),
              "down": pairs.select(F.col("s").alias("node"), F.col("t").alias("nbr"))}
     adj = reduce(DataFrame.unionByName, [views[d].withColumn("direction", F.lit(d)) for d in directions])
-    adj = adj.repartition("direction", "node").persist(StorageLevel.MEMORY_AND_DISK)
+    adj, hubs = split_hubs(adj, ("direction",), heavy)
+    adj = adj.persist(StorageLevel.MEMORY_AND_DISK)
     start = reduce(DataFrame.unionByName, [sf.withColumn("direction", F.lit(d)) for d in directions])
-    r = reach(adj, start, max_hops, keys=("direction", "seed"), route=("direction",))
+    r = reach(adj, start, max_hops, keys=("direction", "seed"), route=("direction",), hubs=hubs)
     adj.unpersist()    # the result is written parquet; the caches are no longer needed
     pairs.unpersist()
     return r.select("seed", "node", "direction", "hop")
