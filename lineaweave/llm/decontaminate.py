@@ -16,7 +16,8 @@ documents, is the necessary prefix to join on:
 4. the words at that place are compared with the window's.
 
 The items' shingles are broadcast if their number bounds them to
-``BROADCAST_BYTES``; beyond it the join shuffles."""
+``BROADCAST_BYTES``; beyond it row, place and token are shuffled, each token
+over several tasks, and the words stay where they are."""
 
 from __future__ import annotations
 
@@ -25,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import salted_join, stored
 
 #: Words of a window and of a shingle.
 WINDOW, SHINGLE = 10, 4
@@ -84,14 +85,26 @@ def window_shingles(windows: DataFrame, size: int) -> DataFrame:
 
 def _shared_places(docs: DataFrame, tokens: DataFrame, size: int, window: int, broadcast: bool) -> DataFrame:
     """Rows of the documents' shingles that an item has, with the words around
-    each (``near``, from word ``from``), and for each document a row without."""
+    each (``near``, from word ``from``), and for each document a row without.
+
+    Where the items' shingles are broadcast, the words are at hand. Where the
+    join shuffles, only (row, place, token) moves; the places come back to
+    their document as one list, which the document's length bounds."""
     hashed = with_shingles(docs.select("row", "id", "words", F.size("words").cast("long").alias("n_words")), size)
-    # a last null is the document's own row
-    places = hashed.select("row", "id", "words", "n_words", F.posexplode(F.concat(
-        "hashes", F.array(F.lit(None).cast("long")))).alias("place", "token"))
     distinct = tokens.select(F.col("token").alias("t")).distinct()
-    joined = places.join(F.broadcast(distinct) if broadcast else distinct, F.col("token") == F.col("t"), "left")
-    found = joined.where("t IS NOT NULL OR token IS NULL")
+    own = F.array(F.lit(None).cast("struct<place:int,token:bigint>"))  # a last null is the document's own row
+    if broadcast:
+        places = hashed.select("row", "id", "words", "n_words", F.posexplode(F.concat(
+            "hashes", F.array(F.lit(None).cast("long")))).alias("place", "token"))
+        joined = places.join(F.broadcast(distinct), F.col("token") == F.col("t"), "left")
+        found = joined.where("t IS NOT NULL OR token IS NULL")
+    else:
+        moved = hashed.select("row", F.posexplode("hashes").alias("place", "token"))
+        shared = salted_join(moved, distinct.withColumnRenamed("t", "token"), ["token"], "row").groupBy("row").agg(
+            F.collect_list(F.struct("place", "token")).alias("shared"))
+        back = docs.join(shared, "row", "left").withColumn("one", F.explode(F.when(F.col("shared").isNull(), own).otherwise(
+            F.concat("shared", own))))
+        found = back.select("row", "id", "words", F.size("words").cast("long").alias("n_words"), "one.place", "one.token")
     begin = F.greatest(F.col("place") - (window - 1), F.lit(0))
     return found.select("row", F.when(F.col("token").isNull(), F.col("id")).alias("id"), "n_words", "token", "place",
                         begin.alias("from"), F.when(F.col("token").isNotNull(), F.slice(
@@ -100,7 +113,7 @@ def _shared_places(docs: DataFrame, tokens: DataFrame, size: int, window: int, b
 
 def find_windows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
-                 shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+                 shingle: int = SHINGLE, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
     """The documents (row, id, n_words) and the occurrences of windows in them (row, item, start, len).
 
     Windows of fewer words than a shingle are joined by shingles of their own size."""
@@ -108,13 +121,16 @@ def find_windows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     lengths = sorted(r[0] for r in windows.select(F.least("len", F.lit(shingle))).distinct().collect())
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
                       words_of(F.col(text_col)).alias("words"))
-    if len(lengths) > 1:  # row numbers must be the same in each pass
-        own = stored(own, "words")
-    starts, rows = [], None
+    sets = []
     for size in lengths or [shingle]:
         same = windows.where(F.least("len", F.lit(shingle)) == size)
         tokens = stored(window_shingles(same, size), "window-shingles")
-        near = stored(_shared_places(own, tokens, size, window, 24 * tokens.count() <= BROADCAST_BYTES), "places")
+        sets.append((size, same, tokens, 24 * tokens.count() <= broadcast_bytes))
+    if len(sets) > 1 or not sets[0][3]:  # row numbers must be the same in each pass
+        own = stored(own, "words")
+    starts, rows = [], None
+    for size, same, tokens, small in sets:
+        near = stored(_shared_places(own, tokens, size, window, small), "places")
         rows = near.where("token IS NULL").select("row", "id", "n_words") if rows is None else rows
         near = near.where("token IS NOT NULL").drop("id")
         rarity = near.groupBy("token").agg(F.count("*").alias("df"))

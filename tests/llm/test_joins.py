@@ -126,7 +126,8 @@ def brute_hits(text, items, n):
     return len(w), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(hit)
 
 
-def test_contamination_equals_brute_force(spark, docs_of, odd_rows):
+@pytest.mark.parametrize("broadcast_bytes", [decontaminate.BROADCAST_BYTES, 0])  # 0: items too large to broadcast
+def test_contamination_equals_brute_force(spark, docs_of, odd_rows, broadcast_bytes):
     item = prose(50, 25)
     w = item.split()
     items = [(1, item), (2, "Only three words"), (3, "zwei"), (4, None), (5, "..."), (10, item), (11, " ".join(w[3:15])),
@@ -134,7 +135,7 @@ def test_contamination_equals_brute_force(spark, docs_of, odd_rows):
     rows = odd_rows + [(20, "x " + item.upper() + " y"), (21, " ".join(w[:9])), (22, "-".join(w[5:15])), (23, "ONLY, three\nwords!"),
                        (24, "Zwei"), (25, "é " * 12), (26, "É. " * 14), (27, "a " * 40), (28, " ".join(w[2:14] + ["q"] + w[2:14]))]
     table = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
-    got = decontaminate.contamination(docs_of(rows), table).collect()
+    got = decontaminate.contamination(docs_of(rows), table, broadcast_bytes=broadcast_bytes).collect()
     texts = dict(rows)
     assert len(got) == len(rows)
     for r in got:
@@ -146,6 +147,16 @@ def test_contamination_equals_brute_force(spark, docs_of, odd_rows):
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in got if not r["contaminated"]}
 
 
+def test_shuffled_shingles_carry_no_words(spark, docs_of, monkeypatch):
+    """Beyond the broadcast bound a shingle's row is (row, place, token), however long its document is."""
+    kinds = []
+    join = decontaminate.salted_join
+    monkeypatch.setattr(decontaminate, "salted_join", lambda left, *a: kinds.append(dict(left.dtypes)) or join(left, *a))
+    table = spark.createDataFrame([(1, prose(50, 25))], "item_id long, text string")
+    decontaminate.contamination(docs_of([(1, prose(50, 25))]), table, broadcast_bytes=0)
+    assert kinds == [{"row": "bigint", "place": "int", "token": "bigint"}]
+
+
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
