@@ -61,8 +61,7 @@ def gen_bronze_orders(ids: DataFrame) -> DataFrame:
     decimal arithmetic, timestamp 2026-06-15 09:00 plus id minutes."""
     i = F.col("id")
     amount = F.round((i.cast("decimal(20,0)") * F.lit(7.7).cast("decimal(2,1)")) % F.lit(800), 2)
-    ts = F.expr("TIMESTAMP_NTZ '2026-06-15 09:00:00'") + F.make_interval(
-        F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(0), i.cast("int"), F.lit(0))
+    ts = F.expr("TIMESTAMP_NTZ '2026-06-15 09:00:00' + CAST(id AS BIGINT) * INTERVAL '1' MINUTE")
     return ids.select(i.alias("order_id"), (F.lit(100) + i % 7).alias("customer_id"),
                       amount.cast("double").alias("amount"), ts.alias("order_ts"))
 

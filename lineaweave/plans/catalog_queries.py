@@ -256,7 +256,16 @@ def q_overlay_audience(spark, sf):
     return out
 
 
-@register("sharing_available", None)
+@register("share_recipients", C.oracle(("share_recipient_privileges",), [], """
+SELECT share_name, recipient_name FROM share_recipient_privileges WHERE privilege_type = 'SELECT'"""))
+def q_share_recipients(spark, sf):
+    """A share's recipients as pairs, however many it has."""
+    return SH.share_recipients(_sh(spark, sf, "share_recipient_privileges"))
+
+
+@register("sharing_available", C.oracle(("table_share_usage",), [("p", "SELECT count(*) >= 0 AS readable FROM table_share_usage")], """
+SELECT a.audience, a.audience <> 'recipient' AND p.readable AS available
+FROM (VALUES ('provider'), ('recipient'), ('both')) AS a(audience), p"""))
 def q_sharing_available(spark, sf):
     """overlay availability per audience — a relation the audience needs
     is readable (here the recipient side's relation is missing)."""

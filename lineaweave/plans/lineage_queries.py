@@ -3,12 +3,16 @@ roll-ups, the whole-log graph and its view modes, and traces."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import refs as R
 from ..operators import graph as G
 from ..operators import traverse as TV
+from ..session import checkpoint_dir
+from ..sources import scans as S
 from . import common as C
 from .common import register
 
@@ -32,6 +36,18 @@ def q_scan_table_lineage(spark, sf):
                      "source_path", "target_path", "entity_type", "entity_id", _s("event_time"), "created_by")
 
 
+@register("scan_table_lineage_partitioned", C.oracle(TL, [], f"""
+SELECT CAST(CAST(event_time AS DATE) AS VARCHAR) AS event_date, count(*) AS n_rows, count(DISTINCT entity_id) AS n_entities
+FROM table_lineage WHERE event_time > {C.ts_bound(C.AS_OF, 20)}
+  AND {C.not_internal_sql('source_table_full_name')} AND {C.not_internal_sql('target_table_full_name')} GROUP BY 1"""))
+def q_scan_partitioned(spark, sf):
+    """A1 over a log with one folder per event_date: a 20-day window reads only its folders."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/lineage-by-date-{uuid.uuid4().hex}"
+    ev = S.scan_table_lineage(S.write_partitioned(C.fx(spark, sf, "table_lineage"), path), C.AS_OF, 20)
+    return ev.groupBy(F.to_date("event_time").cast("string").alias("event_date")).agg(
+        F.count("*").alias("n_rows"), F.countDistinct("entity_id").alias("n_entities"))
+
+
 @register("scan_table_lineage_short_window", C.oracle(TL, [], f"""
 SELECT count(*) AS n_rows, count(DISTINCT entity_id) AS n_entities FROM table_lineage
 WHERE event_time > {C.ts_bound(C.AS_OF, 20)} AND {C.not_internal_sql('source_table_full_name')}
@@ -212,6 +228,12 @@ def q_graph_edges(spark, sf):
     return full_graph(spark, sf).edges
 
 
+@register("full_view_edges", C.oracle(TL, _FULL_CTES, "SELECT e.source, e.target FROM edges e"))
+def q_full_view_edges(spark, sf):
+    """V3: the full view keeps every edge, entities included."""
+    return G.full_view(full_graph(spark, sf)).edges
+
+
 _COLLAPSE = """
 SELECT DISTINCT source, target FROM (
   SELECT source, target FROM edges WHERE NOT starts_with(source, 'entity:') AND NOT starts_with(target, 'entity:')

@@ -345,20 +345,31 @@ def _log(spark, sf):
 _LAT = """SELECT * FROM (SELECT latency_ms FROM request_log ORDER BY ts DESC, latency_ms DESC LIMIT 1000) x"""
 
 
-@register("latency_summary", C.oracle(("request_log",), [("s", _LAT), ("r", """
-SELECT latency_ms, row_number() OVER (ORDER BY latency_ms) - 1 AS i, count(*) OVER () AS k FROM s""")], """
+_LAT_CTES = [("s", _LAT), ("r", """
+SELECT latency_ms, row_number() OVER (ORDER BY latency_ms) - 1 AS i, count(*) OVER () AS k FROM s""")]
+_LAT_SUMMARY = """
 SELECT coalesce(round(max(latency_ms) FILTER (WHERE i = floor(k / 2)), 1), 0.0) AS p50_ms,
        coalesce(round(max(latency_ms) FILTER (WHERE i = floor(k * 0.95)), 1), 0.0) AS p95_ms,
        coalesce(round(max(latency_ms) FILTER (WHERE i = floor(k * 0.99)), 1), 0.0) AS p99_ms,
-       count(*) AS sample_count FROM r"""))
+       count(*) AS sample_count FROM r"""
+
+
+@register("latency_summary", C.oracle(("request_log",), _LAT_CTES, _LAT_SUMMARY))
 def q_latency_summary(spark, sf):
     """P50/P95/P99 index picks over the latest 1,000 requests."""
     return RQ.latency_summary(_log(spark, sf))
 
 
-@register("latency_by_user", None)
+@register("latency_by_user", C.oracle(("request_log",), [("r", """
+SELECT user_key, latency_ms, row_number() OVER (PARTITION BY user_key ORDER BY latency_ms) AS i,
+       count(*) OVER (PARTITION BY user_key) AS k FROM request_log""")], """
+SELECT user_key, max(latency_ms) FILTER (WHERE i = (50 * k + 99) // 100) AS p50_ms,
+       max(latency_ms) FILTER (WHERE i = (95 * k + 99) // 100) AS p95_ms,
+       max(latency_ms) FILTER (WHERE i = (99 * k + 99) // 100) AS p99_ms, count(*) AS sample_count
+FROM r GROUP BY user_key"""))
 def q_latency_by_user(spark, sf):
-    """E17 variant: per-user approximate percentiles (mergeable sketch)."""
+    """E17 variant: per-user percentiles by a mergeable sketch of accuracy
+    10,000, which is exact for users of fewer samples."""
     return RQ.latency_by_user(_log(spark, sf))
 
 
@@ -370,7 +381,9 @@ def q_request_rate(spark, sf):
     return RQ.request_rate(_log(spark, sf), C.NOW_TS, 60)
 
 
-@register("latency_advisory", None)
+@register("latency_advisory", C.oracle(("request_log",), _LAT_CTES + [("t", _LAT_SUMMARY)], """
+SELECT *, p99_ms > 2000 AS advise_upgrade, CASE WHEN p99_ms > 2000
+  THEN 'P99 latency ' || CAST(CAST(round(p99_ms) AS BIGINT) AS VARCHAR) || 'ms (>2s)' END AS reason FROM t"""))
 def q_latency_advisory(spark, sf):
     """Upgrade advisory from the latency summary (p99 > 2 s)."""
     return RQ.latency_advisory(RQ.latency_summary(_log(spark, sf)))
@@ -479,18 +492,37 @@ def q_parquet_roundtrip(spark, sf):
 
 # ---------------------------------------------------------------- readiness
 
-@register("source_readiness", None)
+_PROBED = ("table_lineage", "column_lineage", "tables", "columns", "usage", "list_prices",
+           "table_share_usage", "share_recipient_privileges", "catalog_provider_share_usage")
+_REQUIRED = ("table_lineage", "tables")
+
+
+def _readiness_sql() -> str:
+    probes = " UNION ALL ".join(
+        f"""SELECT '{n}' AS "check", true AS ok, {str(n in _REQUIRED).lower()} AS required, 'reachable' AS detail,
+        CAST(NULL AS VARCHAR) AS hint, (SELECT count(*) FROM {n}) > 0 AS non_empty""" for n in _PROBED)
+    return C.oracle(_PROBED, [
+        ("vis", """SELECT DISTINCT c FROM (SELECT source_table_catalog AS c FROM table_lineage UNION ALL
+           SELECT target_table_catalog FROM table_lineage) x WHERE c IS NOT NULL
+           AND c NOT IN ('system', 'samples', '__databricks_internal')"""),
+        ("cat", """SELECT count(*) AS n, count(*) FILTER (WHERE h) AS have, string_agg(c, ', ' ORDER BY c) FILTER (WHERE NOT h) AS missing
+           FROM (SELECT c, c IN (SELECT table_catalog FROM tables) AS h FROM vis) y"""),
+        ("every", probes + """ UNION ALL SELECT 'missing_relation', false, false, 'not reachable', 'optional relation not provided', false
+           UNION ALL SELECT 'catalog metadata', have > 0 OR n = 0, true, have || '/' || n || ' sampled catalog(s) expose metadata',
+             'Visible but no table metadata: ' || missing, have > 0 FROM cat""")], """
+SELECT *, (SELECT bool_and(ok) FROM every WHERE required) AS overall_ok FROM every""")
+
+
+@register("source_readiness", _readiness_sql())
 def q_readiness(spark, sf):
     """R1 + F4: reachability / emptiness probes of every input relation and
     the catalog-metadata check (catalogs seen in lineage vs metadata)."""
-    names = ["table_lineage", "column_lineage", "tables", "columns", "usage", "list_prices",
-             "table_share_usage", "share_recipient_privileges", "catalog_provider_share_usage"]
-    required = {"table_lineage", "tables"}
-    sources = {n: ((lambda n=n: C.fx(spark, sf, n)), n in required, f"grant read access to {n}") for n in names}
+    sources = {n: ((lambda n=n: C.fx(spark, sf, n)), n in _REQUIRED, f"grant read access to {n}") for n in _PROBED}
     sources["missing_relation"] = ((lambda: spark.read.parquet(f"{sf}/no_such_relation.parquet")), False,
                                    "optional relation not provided")
     ev = C.fx(spark, sf, "table_lineage")
     visible = (ev.select(F.col("source_table_catalog").alias("catalog"))
                .unionByName(ev.select(F.col("target_table_catalog").alias("catalog"))).filter("catalog IS NOT NULL"))
     df, overall = RD.source_readiness(spark, sources, visible, C.fx(spark, sf, "tables"))
-    return df.withColumn("overall_ok", F.lit(overall))
+    # an error's text names paths and versions: the registered form says only that there was one
+    return df.withColumn("detail", F.when(F.col("ok"), F.col("detail")).otherwise("not reachable")).withColumn("overall_ok", F.lit(overall))

@@ -22,15 +22,18 @@ _FILES = 8
 
 
 def _event_files(spark, sf) -> tuple[str, object]:
-    """Split the lineage log into time-ordered files (the stream's input):
-    range-partitioned by event time and written one range after another, so
-    file arrival order follows event time as in a live log."""
+    """The lineage log as time-ordered files (the stream's input): one write,
+    range-partitioned by event time; then the files' modification times, by
+    which a file stream orders them, are set in the order of the ranges, as
+    in a live log."""
     ev = C.fx(spark, sf, "table_lineage")
     path = f"{checkpoint_dir(spark).rstrip('/')}/event-files-{uuid.uuid4().hex}"
-    ranged = ev.repartitionByRange(_FILES, "event_time").withColumn("_part", F.spark_partition_id()).persist()
-    for i in range(_FILES):
-        ranged.filter(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(path)
-    ranged.unpersist()
+    ev.repartitionByRange(_FILES, "event_time").write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted((f.getPath() for f in files.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda f: f.getName())
+    for i, part in enumerate(parts):
+        files.setTimes(part, 1_700_000_000_000 + 1000 * i, -1)
     return path, ev.schema
 
 
@@ -48,6 +51,14 @@ def q_stream_edges(spark, sf):
     return ST.stream_edges(_events(spark, sf))
 
 
+@register("stream_edges_watermarked", C.oracle(TL, [EV], "SELECT DISTINCT " + ", ".join(G.ROW_KEY) + " FROM ev"))
+def q_stream_edges_watermarked(spark, sf):
+    """ST1 with 30 minutes of dedupe state: files arrive in the order of event
+    time, so no row is later than the watermark and the sink equals the batch
+    distinct."""
+    return ST.stream_edges(_events(spark, sf), watermark="30 minutes")
+
+
 @register("stream_entity_rollup", C.oracle(TL, [EV], """
 SELECT entity_type, entity_id, CAST(max(event_time) AS VARCHAR) AS last_run, count(*) AS events FROM ev
 WHERE entity_type IS NOT NULL AND entity_id IS NOT NULL AND entity_type <> '' AND entity_id <> ''

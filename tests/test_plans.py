@@ -2,12 +2,21 @@
 import io
 from contextlib import redirect_stdout
 
+import datetime as dt
+import os
+import uuid
+
+import pytest
+from pyspark.sql import functions as F
+
 from lineaweave.functions import predicates as P
 from lineaweave.operators import cost as CO
 from lineaweave.operators import graph as G
 from lineaweave.operators import requests as RQ
 from lineaweave.operators import traverse as TV
 from lineaweave.plans import common as C
+from lineaweave.session import checkpoint_dir
+from lineaweave.sources import scans as S
 
 SF = "/root/testdata/sf0.01"
 
@@ -51,3 +60,40 @@ def test_trace_rows_scan_log_once_without_shuffle(spark):
 def test_quota_window_partitioned_by_user_and_bucket(spark):
     p = _plan(RQ.over_quota(C.fx(spark, SF, "request_log"), 8, 86400), "simple")
     assert "Window" in p and "bucket" in p.split("Window")[1].split("\n")[0]
+
+
+@pytest.fixture(scope="module")
+def by_date(spark):
+    path = f"{checkpoint_dir(spark)}/test-by-date-{uuid.uuid4().hex}"
+    return path.removeprefix("file:"), S.write_partitioned(C.fx(spark, SF, "table_lineage"), path)
+
+
+def test_window_prunes_the_folders_of_other_dates(spark, by_date):
+    path, ev = by_date
+    windowed = S.scan_table_lineage(ev, C.AS_OF, 20)
+    line = next(x for x in _plan(windowed).split("\n") if x.startswith("PartitionFilters:"))
+    assert "event_date" in line and "2024-01-11" in line
+    n = windowed.count()
+    # what other folders hold is never opened: a broken file there does no harm, one inside the window does
+    start = dt.date(2024, 1, 31) - dt.timedelta(days=20)
+    old, new = (min(d for d in os.listdir(path) if d.startswith("event_date=") and (d < f"event_date={start}") == before)
+                for before in (True, False))
+    assert n < ev.count()
+    with open(f"{path}/{old}/part-broken.parquet", "w") as f:
+        f.write("no parquet")
+    again = spark.read.schema(ev.schema).parquet(path)
+    assert S.scan_table_lineage(again, C.AS_OF, 20).count() == n
+    with pytest.raises(Exception, match="part-broken"):
+        again.select("created_by").distinct().count()
+    os.remove(f"{path}/{old}/part-broken.parquet")
+    assert new > old
+
+
+def test_dates_prune_at_run_time(spark, by_date):
+    _, ev = by_date
+    days = spark.createDataFrame([(dt.date(2024, 1, 20), "late"), (dt.date(2024, 1, 21), "late"), (dt.date(2024, 1, 5), "done")],
+                                 "event_date date, state string").where("state = 'late'")
+    got = S.scan_on_dates(ev, days)
+    assert "dynamicpruning" in _plan(got).lower()
+    want = ev.where(F.col("event_date").isin(dt.date(2024, 1, 20), dt.date(2024, 1, 21))).count()
+    assert got.count() == want > 0

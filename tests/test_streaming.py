@@ -48,3 +48,21 @@ def test_unreadable_sink_is_an_error(spark):
     sink = LogTable(spark, f"nosuchscheme://{uuid.uuid4().hex}/x", "k string")
     with pytest.raises(Exception, match="nosuchscheme"):
         sink.read_all()
+
+
+def test_watermark_drops_only_rows_that_come_too_late(spark):
+    """Dedupe state of 30 minutes: a row is dropped if a batch before it has seen a time over 30 minutes later."""
+    base = f"{checkpoint_dir(spark)}/test-late-{uuid.uuid4().hex}"
+    noon = dt.datetime(2024, 1, 10, 12)
+    schema = lineage_rows(spark, [("a.b.x", "a.b.y", "JOB", "1")]).schema
+
+    def land(*rows):
+        out = [(s, "a.b.y", "TABLE", "TABLE", None, None, "JOB", "1", noon + dt.timedelta(minutes=m), "u", "a", "b", "a", "b") for s, m in rows]
+        spark.createDataFrame(out, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        events = ST.read_event_stream(spark, f"{base}/in", schema)
+        return {r[0] for r in ST.stream_edges(events, watermark="30 minutes", base=f"{base}/edges").collect()}
+
+    assert land(("first", 0), ("first", 1)) == {"first"}
+    assert land(("ahead", 90)) == {"first", "ahead"}
+    # 70 is within the 30 minutes before 90; 20 is not; a copy of a stored row changes nothing
+    assert land(("within", 70), ("late", 20), ("first", 80)) == {"first", "ahead", "within"}
