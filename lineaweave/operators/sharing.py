@@ -72,8 +72,7 @@ def sharing_available(audience: str, loaders: dict) -> bool:
 def overlay_out(nodes: DataFrame, so: DataFrame, privileges: DataFrame) -> DataFrame:
     """Sharing edges for shared tables present among the graph's
     table nodes: table -> share, share -> each recipient."""
-    tables = nodes.filter(F.col("node_type") == "table").select(F.col("id").alias("full_name"))
-    hit = so.join(tables, "full_name", "left_semi")
+    hit = _shared_tables(nodes, so)
     t2s = hit.select(F.col("full_name").alias("source"),
                      F.concat(F.lit("sharing:share:"), "share_name").alias("target"))
     s2r = (hit.select("share_name").distinct().join(share_recipients(privileges), "share_name")
@@ -85,13 +84,57 @@ def overlay_out(nodes: DataFrame, so: DataFrame, privileges: DataFrame) -> DataF
 def overlay_in(nodes: DataFrame, fc: DataFrame) -> DataFrame:
     """Provider -> table edges for table nodes whose catalog is a
     foreign (shared-in) catalog."""
-    t = nodes.filter(F.col("node_type") == "table").select(
-        "id", F.split(F.col("id"), r"\.").getItem(0).alias("catalog_name"))
-    return (t.join(fc.select("catalog_name", "provider_name"), "catalog_name")
+    return (_foreign_tables(nodes, fc.select("catalog_name", "provider_name"))
             .select(F.concat(F.lit("sharing:provider:"), "provider_name").alias("source"),
                     F.col("id").alias("target")).distinct())
 
 
+def _shared_tables(nodes: DataFrame, so: DataFrame) -> DataFrame:
+    tables = nodes.filter(F.col("node_type") == "table").select(F.col("id").alias("full_name"))
+    return so.join(tables, "full_name", "left_semi")
+
+
+def _foreign_tables(nodes: DataFrame, fc: DataFrame) -> DataFrame:
+    t = nodes.filter(F.col("node_type") == "table").select("id", F.split(F.col("id"), r"\.").getItem(0).alias("catalog_name"))
+    return t.join(fc, "catalog_name")
+
+
+def overlay_nodes(nodes: DataFrame, so: DataFrame, fc: DataFrame, privileges: DataFrame) -> DataFrame:
+    """The nodes that the overlay adds to a graph, one row per
+    id: shares of tables in view (``sub``: the alias a table has there, the
+    smallest of several), their recipients, and providers of catalogs in view
+    (``sub``: cloud and region)."""
+    hit = _shared_tables(nodes, so)
+    alias = F.when(F.coalesce("shared_as", F.lit("")) != "", F.concat(F.lit("as "), F.col("shared_as")))
+    shares = hit.groupBy("share_name").agg(F.min(alias).alias("sub")).select(
+        F.lit("share").alias("sharing_kind"), F.col("share_name").alias("label"), "sub")
+    recipients = (share_recipients(privileges).join(hit.select("share_name").distinct(), "share_name", "left_semi")
+                  .select(F.lit("recipient").alias("sharing_kind"), F.col("recipient_name").alias("label"),
+                          F.lit(None).cast("string").alias("sub")).distinct())
+    place = F.when(F.coalesce("region", F.lit("")) != "", F.trim(F.concat_ws(" ", "cloud", "region")))
+    providers = _foreign_tables(nodes, fc).groupBy("provider_name").agg(F.min(place).alias("sub")).select(
+        F.lit("provider").alias("sharing_kind"), F.col("provider_name").alias("label"), "sub")
+    every = shares.unionByName(recipients).unionByName(providers)
+    return every.select(F.concat_ws(":", F.lit("sharing"), "sharing_kind", "label").alias("id"),
+                        F.lit("sharing").alias("node_type"), "sharing_kind", "label", "sub")
+
+
+def overlay_badges(nodes: DataFrame, so: DataFrame, fc: DataFrame, privileges: DataFrame) -> DataFrame:
+    """Badges of the table nodes that are shared out or in. Out: the
+    numbers of distinct shares and recipients and the number shown (recipients,
+    or shares where nobody has a grant). In: provider and share names of the
+    table's catalog. Numbers come from pairs; no list is built for a table."""
+    pairs = _shared_tables(nodes, so).select(F.col("full_name").alias("id"), "share_name").distinct()
+    n_shares = pairs.groupBy("id").agg(F.count("*").alias("n_shares"))
+    granted = share_recipients(privileges).distinct()
+    n_rec = pairs.join(granted, "share_name").groupBy("id").agg(F.countDistinct("recipient_name").alias("n_recipients"))
+    n_rec0 = F.coalesce("n_recipients", F.lit(0))
+    out = n_shares.join(n_rec, "id", "left").select("id", "n_shares", n_rec0.alias("n_recipients"), F.when(
+        n_rec0 > 0, n_rec0).otherwise(F.col("n_shares")).alias("shown"))
+    inn = _foreign_tables(nodes, fc).select("id", F.col("provider_name").alias("in_provider"), F.col("share_names").alias("in_shares"))
+    return out.join(inn, "id", "full")
+
+
 def overview_shares(shares: DataFrame, table_share_usage: DataFrame, privileges: DataFrame) -> DataFrame:
     """shares with owner, comment, table count and sorted recipients."""
     nt = table_share_usage.groupBy("share_name").agg(F.count("*").alias("num_tables"))

@@ -292,6 +292,44 @@ def q_overlay_edges(spark, sf):
     return SH.overlay_out(nodes, so, priv).unionByName(SH.overlay_in(nodes, fc)).distinct()
 
 
+_OVERLAY_CTES = _FULL_CTES + [("so", _SO), ("fc", _FC),
+    ("hit", "SELECT so.* FROM so WHERE so.full_name IN (SELECT id FROM cls WHERE node_type = 'table')"),
+    ("grants", "SELECT DISTINCT share_name, recipient_name FROM share_recipient_privileges WHERE privilege_type = 'SELECT'"),
+    ("foreign_in", """SELECT n.id, fc.* FROM cls n JOIN fc ON fc.catalog_name = split_part(n.id, '.', 1)
+       WHERE n.node_type = 'table'""")]
+
+
+def _overlay(spark, sf, make):
+    priv = _sh(spark, sf, "share_recipient_privileges")
+    so = SH.shared_out(_sh(spark, sf, "table_share_usage"), priv)
+    fc = SH.foreign_catalogs(_sh(spark, sf, "catalog_provider_share_usage"), _sh(spark, sf, "providers"))
+    return make(full_graph(spark, sf).nodes, so, fc, priv)
+
+
+@register("overlay_nodes", C.oracle(TL + _SH_FX + _FC_FX, _OVERLAY_CTES, """
+SELECT 'sharing:' || sharing_kind || ':' || label AS id, 'sharing' AS node_type, sharing_kind, label, sub FROM (
+  SELECT 'share' AS sharing_kind, share_name AS label, min('as ' || nullif(shared_as, '')) AS sub FROM hit GROUP BY share_name
+  UNION ALL SELECT DISTINCT 'recipient', recipient_name, CAST(NULL AS VARCHAR) FROM grants
+    WHERE share_name IN (SELECT share_name FROM hit)
+  UNION ALL SELECT 'provider', provider_name, min(CASE WHEN coalesce(region, '') <> ''
+    THEN trim(coalesce(cloud, '') || ' ' || region) END) FROM foreign_in GROUP BY provider_name) x"""))
+def q_overlay_nodes(spark, sf):
+    """F5 + F6 + S1: share, recipient and provider nodes on the whole-log graph."""
+    return _overlay(spark, sf, SH.overlay_nodes)
+
+
+@register("overlay_badges", C.oracle(TL + _SH_FX + _FC_FX, _OVERLAY_CTES + [("outb", """
+SELECT h.full_name AS id, count(DISTINCT h.share_name) AS n_shares, count(DISTINCT g.recipient_name) AS n_recipients
+FROM hit h LEFT JOIN grants g ON g.share_name = h.share_name GROUP BY h.full_name""")], """
+SELECT coalesce(o.id, i.id) AS id, n_shares, n_recipients,
+       CASE WHEN n_recipients > 0 THEN n_recipients ELSE n_shares END AS shown,
+       i.provider_name AS in_provider, i.share_names AS in_shares
+FROM outb o FULL JOIN foreign_in i ON i.id = o.id"""))
+def q_overlay_badges(spark, sf):
+    """F5 + F6: sharing badges of the whole-log graph's tables."""
+    return _overlay(spark, sf, SH.overlay_badges)
+
+
 @register("overview_shares", C.oracle(("shares",) + _SH_FX, [], """
 SELECT s.share_name, s.share_owner AS owner, s.comment, coalesce(t.n, 0) AS num_tables,
        coalesce(r.recipients, '') AS recipients
