@@ -25,8 +25,10 @@ class Hubs:
     """Heavy keys (columns ``on``) with the columns that say how each is cut."""
 
     def __init__(self, rows: DataFrame, on: list[str], limit: int | None = None):
-        self.rows, self.on = materialize(rows, "hubs"), on
-        self.n = self.rows.count()
+        self.on, self.n = on, 0
+        if not rows.isEmpty():  # mostly it is: then nothing is written
+            self.rows = materialize(rows, "hubs")
+            self.n = self.rows.count()
         self.limit = BROADCAST_ROWS if limit is None else limit
 
     @cached_property
@@ -86,9 +88,9 @@ def fanout_join(left: DataFrame, right: DataFrame, on: list[str], heavy: int | N
     heavy = HEAVY if heavy is None else heavy
     left, right = materialize(left, "fan-left"), materialize(right, "fan-right")
 
-    def count(df: DataFrame, name: str) -> DataFrame:
-        return df.dropna(subset=on).groupBy(*on).agg(F.count("*").alias(name))
-    n = count(left, "l").join(count(right, "r"), on).where((F.col("l") > heavy) | (F.col("r") > heavy))
+    both = left.select(*on, F.lit(True).alias("_left")).unionByName(right.select(*on, F.lit(False).alias("_left")))
+    n = both.dropna(subset=on).groupBy(*on).agg(F.count_if("_left").alias("l"), F.count_if(~F.col("_left")).alias("r"))
+    n = n.where((F.col("l") > 0) & (F.col("r") > 0) & (F.greatest("l", "r") > heavy))
     hubs = Hubs(n.select(*on, F.ceil(F.col("l") / heavy).cast("int").alias("_a"),
                          F.ceil(F.col("r") / heavy).cast("int").alias("_b")), on, limit)
     if hubs.n == 0:
