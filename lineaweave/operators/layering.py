@@ -185,11 +185,12 @@ def _components(edges: DataFrame) -> DataFrame:
     return found.all()
 
 
-def _layers(nodes: DataFrame, edges: DataFrame, count: int) -> DataFrame:
-    """(n, layer) of all ``count`` nodes of ``nodes`` (n) over ``edges`` (s, t)."""
+def condensed(nodes: DataFrame, edges: DataFrame, count: int) -> DataFrame:
+    """(n, comp, layer) of all ``count`` nodes of ``nodes`` (n) over ``edges`` (s, t); a component is named by one of its nodes."""
     layers, free = _peel(nodes.select("n", F.lit(0).alias("base")), edges, "peel")
+    single = layers.select("n", F.col("n").alias("comp"), "layer")
     if free == count:
-        return layers
+        return single
     # what follows an unlayered node is unlayered; each has an unlayered predecessor, so these edges have all of them as ends
     inner = materialize(edges.join(layers.select(F.col("n").alias("s")), "s", "left_anti").select("s", "t"), "layer-inner")
     comp = _components(inner)
@@ -201,10 +202,10 @@ def _layers(nodes: DataFrame, edges: DataFrame, count: int) -> DataFrame:
     comps = materialize(comp.select("comp").distinct().join(base, "comp", "left").select(
         F.col("comp").alias("n"), F.coalesce("base", F.lit(0)).alias("base")), "layer-comps")
     placed, _ = _peel(comps, between, "condensed")
-    return layers.unionByName(comp.join(placed.select(F.col("n").alias("comp"), "layer"), "comp").select("n", "layer"))
+    return single.unionByName(comp.join(placed.select(F.col("n").alias("comp"), "layer"), "comp").select("n", "comp", "layer"))
 
 
-def _numbered(nodes: DataFrame, edges: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame, int]:
+def numbered(nodes: DataFrame, edges: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame, int]:
     """Distinct nodes (key, id, n) and edges (s, t) between them by number, without self-loops; the number of nodes."""
     seen = Observation()
     ids = nodes.select(*key, "id").distinct().observe(seen, F.count(F.lit(1)).alias("n"))
@@ -217,7 +218,7 @@ def _numbered(nodes: DataFrame, edges: DataFrame, key: list[str]) -> tuple[DataF
 
 def strongly_connected(ids: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, comp): the component of every id of ``ids`` over ``edges`` among them, named by its smallest id."""
-    nodes, pairs, _ = _numbered(ids, edges, [])
+    nodes, pairs, _ = numbered(ids, edges, [])
     comp = materialize(nodes.join(_components(pairs), "n", "left").select("id", F.coalesce("comp", "n").alias("c")), "scc-ids")
     return comp.join(comp.groupBy("c").agg(F.min("id").alias("comp")), "c").select("id", "comp")
 
@@ -225,9 +226,9 @@ def strongly_connected(ids: DataFrame, edges: DataFrame) -> DataFrame:
 def layer_maps(members: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
     """D11 and D12 for many maps in the same rounds: (key, id, layer, orphan) of every member (key, id) over the maps' edges
     (key, source, target). An orphan has no edge in its map and no layer."""
-    ids, pairs, count = _numbered(members, edges, key)
+    ids, pairs, count = numbered(members, edges, key)
     ends = pairs.select(F.explode(F.array("s", "t")).alias("n")).distinct().withColumn("linked", F.lit(True))
-    placed = ids.join(_layers(ids, pairs, count), "n").join(ends, "n", "left")
+    placed = ids.join(condensed(ids, pairs, count), "n").join(ends, "n", "left")
     return placed.select(*key, "id", F.when(F.col("linked"), F.col("layer")).cast("int").alias("layer"), F.col("linked").isNull().alias("orphan"))
 
 
@@ -281,11 +282,11 @@ def _schema_maps(g: G.Graph, k: int | None) -> tuple[DataFrame, DataFrame]:
     sizes = tables.groupBy("schema").agg(F.count("*").alias("n_tables")).join(has_edges, "schema", "left_semi")
     if k is not None:
         sizes = sizes.orderBy(F.desc("n_tables"), F.asc("schema")).limit(k)
-    ranked = _ordinal(sizes.withColumn("_n", -F.col("n_tables")), ["_n", "schema"], "rank")
+    ranked = ordinal(sizes.withColumn("_n", -F.col("n_tables")), ["_n", "schema"], "rank")
     return member.join(ranked.select("schema", (F.col("rank") + 1).cast("int").alias("rank")), "schema"), sub_edges
 
 
-def _ordinal(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
+def ordinal(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
     """Global 0-based position of each row under ``order``: rows are dealt into sorted ranges, a row's number within its range
     is added to the rows of the ranges before. One count for each range reaches the driver."""
     spark = df.sparkSession
@@ -304,7 +305,7 @@ def place_maps(nodes: DataFrame, layers: DataFrame, key: list[str]) -> DataFrame
     lower(name or id) within a layer; orphans get a grid (row, col) with max(max_layer + 1, 4) per row."""
     names = nodes.select("id", F.lower(F.coalesce(F.col("name"), F.col("id"))).alias("_k")).dropDuplicates(["id"])
     group = F.coalesce("layer", F.lit(-1))
-    ranked = materialize(_ordinal(layers.join(names, "id").withColumn("_group", group), [*key, "_group", "_k", "id"]), "placed")
+    ranked = materialize(ordinal(layers.join(names, "id").withColumn("_group", group), [*key, "_group", "_k", "id"]), "placed")
     starts = ranked.groupBy(*key, "_group").agg(F.min("idx").alias("_s"))
     wide = ranked.groupBy(*key).agg(F.greatest(F.coalesce(F.max("layer") + 1, F.lit(0)), F.lit(4)).alias("_wide"))
     at = ranked.join(starts, [*key, "_group"]).withColumn("_at", F.col("idx") - F.col("_s"))

@@ -45,11 +45,12 @@ def parquet_roundtrip(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def publish(df: DataFrame, name: str, table: bool = False) -> DataFrame:
-    """Publish a relation under a name: a session view, or a managed
-    table (``saveAsTable``) when ``table`` is set."""
+def publish(df: DataFrame, name: str, table: bool = False, path: str | None = None) -> DataFrame:
+    """Publish a relation under a name: a session view, or a table of the
+    catalog (``saveAsTable``) when ``table`` is set, managed or, with ``path``, in that folder."""
     if table:
-        df.write.mode("overwrite").saveAsTable(name)
+        writer = df.write.mode("overwrite")
+        (writer if path is None else writer.option("path", path)).saveAsTable(name)
     else:
         df.createOrReplaceTempView(name)
     return df.sparkSession.table(name)

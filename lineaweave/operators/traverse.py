@@ -225,7 +225,6 @@ def depth_reach(edges: DataFrame, node: str, depth: int | None) -> DataFrame:
     entity costs 0, onto a table 1 (a 0-1 BFS in rounds). Each round first
     closes the zero-cost steps, then takes one table hop; a table at the
     depth limit is not expanded at all. Exact minimum table-hop distance."""
-    from ..session import LoopState
     spark = edges.sparkSession
     parts = []
     for d in ("up", "down"):
@@ -235,36 +234,38 @@ def depth_reach(edges: DataFrame, node: str, depth: int | None) -> DataFrame:
     ent = F.col("nbr").startswith("entity:")
     to_entity = adj.filter(ent).persist(StorageLevel.MEMORY_AND_DISK)
     to_table = adj.filter(~ent).persist(StorageLevel.MEMORY_AND_DISK)
-    st = LoopState()
-    frontier = materialize(spark.createDataFrame([("up", node), ("down", node)], "direction string, node string"),
-                           "focus0")
-    visited = frontier
+    base, paths = f"{checkpoint_dir(spark).rstrip('/')}/lw-focus-{uuid.uuid4().hex}", []
+
+    def append(df: DataFrame) -> tuple[DataFrame, int]:
+        """Write a round's new nodes once; they and their number."""
+        path = f"{base}/r{len(paths)}"
+        df.write.parquet(path)
+        paths.append(path)
+        out = spark.read.schema("direction string, node string").parquet(path)
+        return out, out.count()
+
+    def step(frontier: DataFrame, by: DataFrame) -> tuple[DataFrame, int]:
+        visited = spark.read.schema("direction string, node string").parquet(*paths)
+        return append(frontier.join(by, ["direction", "node"]).select("direction", F.col("nbr").alias("node"))
+                      .distinct().join(visited, ["direction", "node"], "left_anti"))
+
+    frontier, _ = append(spark.createDataFrame([("up", node), ("down", node)], "direction string, node string"))
     rounds = 0
     while depth is None or rounds < depth:
         # zero-cost closure through entities (tables at the limit never expand)
         ents = frontier
         while True:
-            e_next = (ents.join(to_entity, ["direction", "node"]).select("direction", F.col("nbr").alias("node"))
-                      .distinct().join(visited, ["direction", "node"], "left_anti"))
-            e_next, n = st.step(e_next, "focusE")
+            ents, n = step(ents, to_entity)
             if n == 0:
                 break
-            visited = visited.unionByName(e_next)
-            frontier = frontier.unionByName(e_next)
-            ents = e_next
+            frontier = frontier.unionByName(ents)
         rounds += 1
-        nxt = (frontier.join(to_table, ["direction", "node"]).select("direction", F.col("nbr").alias("node"))
-               .distinct().join(visited, ["direction", "node"], "left_anti"))
-        nxt, n = st.step(nxt, "focusT")
+        frontier, n = step(frontier, to_table)
         if n == 0:
             break
-        visited = st.cut(visited.unionByName(nxt), "focusV") if st.due() else visited.unionByName(nxt)
-        frontier = nxt
-    out = materialize(visited.distinct(), "focus")
-    st.release()
     to_entity.unpersist()
     to_table.unpersist()
-    return out
+    return spark.read.schema("direction string, node string").parquet(*paths)
 
 
 def focus(g: G.Graph, table: str, depth: int = 0) -> G.Graph:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import refs as R
+from ..operators import closure as CL
 from ..operators import graph as G
 from ..operators import traverse as TV
 from ..session import checkpoint_dir
@@ -312,6 +313,47 @@ def q_trace_many(spark, sf):
     return out.withColumn("hop", F.col("hop").cast("int"))
 
 
+_ALL_SEEDS = f"""SELECT DISTINCT table_catalog || '.' || table_schema || '.' || table_name AS seed FROM tables
+  WHERE table_catalog NOT IN ({', '.join(f"'{c}'" for c in S.SKIP_CATALOGS)})
+    AND table_schema NOT IN ({', '.join(f"'{c}'" for c in S.SKIP_SCHEMAS)})
+    AND NOT regexp_matches(table_name, '^(__materialization_mat_|event_log_|__apply_changes)')"""
+
+
+def _cone_sql(direction: str) -> list:
+    a, b = ("target", "source") if direction == "up" else ("source", "target")
+    return [(f"c_{direction}(seed, node)", f"""SELECT seed, seed FROM ({_ALL_SEEDS}) s
+      UNION SELECT w.seed, ev.{b}_table_full_name FROM c_{direction} w JOIN ev ON ev.{a}_table_full_name = w.node
+      WHERE ev.{b}_table_full_name IS NOT NULL""")]
+
+
+def _all_cones(spark, sf):
+    seeds = S.list_tables(C.fx(spark, sf, "tables")).select(F.col("fqdn").alias("seed"))
+    return CL.seed_cones(C.lineage(spark, sf), seeds)
+
+
+@register("cone_pairs", C.oracle(TL + ("tables",), [EV] + _cone_sql("up") + _cone_sql("down"), """
+SELECT seed, node, 'up' AS direction FROM c_up UNION ALL SELECT seed, node, 'down' FROM c_down""", recursive=True))
+def q_cone_pairs(spark, sf):
+    """D4 over every table of the catalogs, as sets of seeds: no hop limit."""
+    return CL.seed_nodes(_all_cones(spark, sf))
+
+
+@register("cone_counts", C.oracle(TL + ("tables",), [EV] + _cone_sql("up") + _cone_sql("down"), """
+SELECT node, 'up' AS direction, count(*) AS n_seeds FROM c_up GROUP BY node
+UNION ALL SELECT node, 'down', count(*) FROM c_down GROUP BY node""", recursive=True))
+def q_cone_counts(spark, sf):
+    """D4 over every table: of how many tables each node is an ancestor or descendant, from bitmaps alone."""
+    return CL.seed_counts(_all_cones(spark, sf))
+
+
+@register("cone_sizes", C.oracle(TL + ("tables",), [EV] + _cone_sql("up") + _cone_sql("down"), """
+SELECT seed, 'up' AS direction, count(*) AS n_nodes FROM c_up GROUP BY seed
+UNION ALL SELECT seed, 'down', count(*) FROM c_down GROUP BY seed""", recursive=True))
+def q_cone_sizes(spark, sf):
+    """D4 over every table: the size of each table's cones."""
+    return CL.cone_sizes(_all_cones(spark, sf))
+
+
 _TRACE_CTES = ([EV] + _walk_sql("up", _SEED_SQL) + _walk_sql("down", _SEED_SQL) + [
     ("tr", f"""SELECT * FROM ev WHERE target_table_full_name IN (SELECT node FROM m_up WHERE hop < {C.ORACLE_HOPS})
       UNION SELECT * FROM ev WHERE source_table_full_name IN (SELECT node FROM m_down WHERE hop < {C.ORACLE_HOPS})"""),

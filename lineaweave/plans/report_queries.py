@@ -3,6 +3,8 @@ request log, the demo medallion workload and data readiness."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import catalog as CA
@@ -490,6 +492,14 @@ def q_parquet_roundtrip(spark, sf):
     return pub.groupBy("customer_id").agg(F.count("*").alias("orders"))
 
 
+@register("published_table", C.oracle(("bronze_orders",), [], """
+SELECT customer_id, count(*) AS orders FROM bronze_orders GROUP BY customer_id"""))
+def q_published_table(spark, sf):
+    """The bronze orders as a table of the catalog, aggregated from its name."""
+    pub = MD.publish(_bronze(spark, sf), f"lw_silver_{uuid.uuid4().hex}", table=True, path=_scratch(spark, "published"))
+    return pub.groupBy("customer_id").agg(F.count("*").alias("orders"))
+
+
 # ---------------------------------------------------------------- readiness
 
 _PROBED = ("table_lineage", "column_lineage", "tables", "columns", "usage", "list_prices",

@@ -72,43 +72,3 @@ def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/lw-{tag}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-class LoopState:
-    """Per-round state of an iterative operator.
-
-    ``step`` writes the round's frame to the checkpoint folder and counts it
-    (the count is the loop's emptiness probe). With ``every`` > 1 only every
-    ``every``-th round is written and the others are persisted; that saves
-    writes, but every transformation over a chain of cached frames is
-    re-analysed against the whole cache, which measured slower here, so
-    the default writes every round: plans stay shallow, and a lost executor
-    never replays a previous round."""
-
-    def __init__(self, every: int = 1):
-        self.every, self.round, self.held = every, 0, []
-
-    def step(self, df: DataFrame, tag: str = "round", cut: bool | None = None) -> tuple[DataFrame, int]:
-        from pyspark import StorageLevel
-        self.round += 1
-        if cut if cut is not None else self.round % self.every == 0:
-            out = materialize(df, tag)
-        else:
-            out = df.persist(StorageLevel.MEMORY_AND_DISK)
-            self.held.append(out)
-        return out, out.count()
-
-    def cut(self, df: DataFrame, tag: str = "cut") -> DataFrame:
-        """Checkpoint a frame built from held rounds, then release them."""
-        out = materialize(df, tag)
-        self.release()
-        return out
-
-    def due(self) -> bool:
-        return self.round % self.every == 0
-
-    def release(self) -> None:
-        for d in self.held:
-            d.unpersist()
-        self.held = []
-

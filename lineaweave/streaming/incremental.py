@@ -19,8 +19,9 @@ derived relations current:
 * ST4 ``stream_orders_daily``: the demo pipeline — CSV landing ingest (A9)
   to the daily orders roll-up (E14) in ``complete`` mode.
 
-Sinks are parquet tables with one folder per micro-batch epoch, beside the
-stream's checkpoint in a folder ``base``: no state lives in the driver, and a
+Sinks are parquet tables beside the stream's checkpoint in a folder ``base``: ST1
+and ST2 are bucketed by key, their epochs merged as they grow in number
+(``KeyedTable``), ST4 has a folder per epoch (``LogTable``). No state lives in the driver, and a
 replayed batch rewrites its own epoch, so it cannot change the result. A caller
 that gives the same ``base`` again resumes where the last run stopped; without
 one, each call starts anew under the checkpoint directory. ``run_available`` drives a query with
@@ -29,13 +30,14 @@ one, each call starts anew under the checkpoint directory. ``run_available`` dri
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialize
 
 EDGE_KEY = list(G.ROW_KEY)
 
@@ -86,6 +88,101 @@ class LogTable:
         return rows.join(last, "_epoch", "left_semi").drop("_epoch")
 
 
+class KeyedTable:
+    """A stream's parquet table, bucketed by a hash of ``keys``, in folders
+    ``run-<first>-<last>`` of the epochs they hold.
+
+    An epoch writes a run of its own; a replay overwrites it with the same
+    rows. Before epoch E, for every power p of ``fan`` that divides E, the runs
+    of the last p epochs are merged bucket by bucket into one, so a reader
+    opens about ``fan`` runs for each power, however many epochs there were, and a
+    row is rewritten once for each. A run counts once its ``_SUCCESS`` file is
+    there, and a wider one stands for those within it, so a merge takes effect at
+    once or not at all; a merge cut short is written anew. Only epochs before
+    the running one are merged, so a replay meets what the first attempt met.
+    Runs stay until a later merge of their width or more, so a frame read
+    before the last merge can still be computed, one from before the merge
+    before that cannot.
+
+    With ``newest``, a key's row of the newest epoch is its value and merges keep
+    only that. ``buckets`` is fixed for a table's life. A lookup of a
+    micro-batch reads the buckets that its keys fall into, as partitions."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], newest: bool = False,
+                 buckets: int = 64, fan: int = 8):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), f"{schema}, _epoch long"
+        self.keys, self.newest, self.buckets, self.fan = keys, newest, buckets, fan
+        self.folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self.files = self.folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def bucket(self):
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def _path(self, run: tuple[int, int]):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/run-{run[0]}-{run[1]}")
+
+    def _stored(self) -> list[tuple[int, int]]:
+        """Complete runs, each before those within it."""
+        if not self.files.exists(self.folder):
+            return []
+        names = [f.getPath().getName().split("-") for f in self.files.listStatus(self.folder)]
+        runs = [(int(n[1]), int(n[2])) for n in names if n[0] == "run"]
+        done = [r for r in runs if self.files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(self._path(r), "_SUCCESS"))]
+        return sorted(done, key=lambda r: (r[0], -r[1]))
+
+    def runs(self, first: int = 0, last: int | None = None) -> list[tuple[int, int]]:
+        """The runs to read for the epochs from ``first`` to ``last``: none is within another."""
+        out: list[tuple[int, int]] = []
+        for run in self._stored():
+            if run[0] >= first and (last is None or run[1] <= last) and not (out and run[1] <= out[-1][1]):
+                out.append(run)
+        return out
+
+    def read(self, first: int = 0, last: int | None = None, only: list[int] | None = None) -> DataFrame:
+        """Rows of these epochs with ``_epoch`` and ``_bucket``; of the buckets ``only``, if given."""
+        paths = [str(self._path(r).toString()) for r in self.runs(first, last)]
+        if not paths:
+            return self.spark.createDataFrame([], f"{self.schema}, _bucket int")
+        frames = [self.spark.read.schema(f"{self.schema}, _bucket int").option("basePath", p).parquet(p) for p in paths]
+        out = reduce(DataFrame.unionByName, frames)
+        return out if only is None else out.where(F.col("_bucket").isin(only))
+
+    def lookup(self, batch: DataFrame, epoch: int) -> DataFrame:
+        """Rows of earlier epochs in the buckets that ``batch`` touches; at most ``buckets`` numbers reach the driver."""
+        return self.read(last=epoch - 1, only=[r[0] for r in batch.select(self.bucket()).distinct().collect()])
+
+    def append(self, df: DataFrame, epoch: int) -> None:
+        self._write(df.withColumn("_epoch", F.lit(epoch).cast("long")).withColumn("_bucket", self.bucket()), (epoch, epoch))
+
+    def _write(self, df: DataFrame, run: tuple[int, int]) -> None:
+        # a bucket over several tasks, so that a large one is not one task's; "static": a half-written run goes whole
+        dealt = df.repartition(F.col("_bucket"), F.pmod(F.xxhash64(*self.keys, F.lit(1)), F.lit(16)))
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("_bucket").parquet(str(self._path(run).toString()))
+
+    def compact(self, epoch: int) -> None:
+        """Merge the runs that end just before ``epoch``."""
+        width = self.fan
+        while epoch and epoch % width == 0:
+            run = (epoch - width, epoch - 1)
+            if run not in self._stored():
+                self._write(self._valid(self.read(*run)), run)
+                for old in self._stored():  # what wider runs of an earlier merge stand for
+                    if old[1] < run[0] and any(w != old and w[0] <= old[0] and old[1] <= w[1] for w in self._stored()):
+                        self.files.delete(self._path(old), True)
+            width *= self.fan
+
+    def _valid(self, rows: DataFrame) -> DataFrame:
+        if not self.newest:
+            return rows
+        values = [c for c in rows.columns if c not in (*self.keys, "_bucket")]
+        best = F.max_by(F.struct(*values), F.col("_epoch")).alias("_best")
+        return rows.groupBy(*self.keys, "_bucket").agg(best).select(*self.keys, "_bucket", "_best.*")
+
+    def current(self) -> DataFrame:
+        """The table's rows; with ``newest`` the newest of each key."""
+        return self._valid(self.read()).drop("_epoch", "_bucket")
+
+
 def run_available(query_writer, name: str):
     """Start a stream with the availableNow trigger and wait for it."""
     q = query_writer.trigger(availableNow=True).start()
@@ -108,20 +205,21 @@ def stream_edges(events: DataFrame, watermark: str | None = None, base: str | No
     """ST1: maintain the distinct 6-key lineage rows; returns the sink."""
     spark = events.sparkSession
     base = base or _base(spark, "edges")
-    sink = LogTable(spark, f"{base}/table", ", ".join(f"{c} string" for c in EDGE_KEY))
+    sink = KeyedTable(spark, f"{base}/table", ", ".join(f"{c} string" for c in EDGE_KEY), EDGE_KEY)
     s = events.select(*EDGE_KEY, "event_time")
     if watermark:
         s = s.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(EDGE_KEY)
     s = s.select(*EDGE_KEY)
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        cur = sink.before(epoch)
-        b = batch.distinct()
+        sink.compact(epoch)
+        b = materialize(batch.distinct(), "stream-batch")  # read twice below; the source only once
+        cur = sink.lookup(b, epoch)
         fresh = b.join(cur, [b[c].eqNullSafe(cur[c]) for c in EDGE_KEY], "left_anti")
         sink.append(fresh, epoch)  # rows no earlier epoch stored; a replay rewrites the same set
 
     run_available(s.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/ckpt"), "edges")
-    return sink.read_all().drop("_epoch")
+    return sink.current()
 
 
 def stream_entity_rollup(events: DataFrame, base: str | None = None) -> DataFrame:
@@ -130,18 +228,20 @@ def stream_entity_rollup(events: DataFrame, base: str | None = None) -> DataFram
     per entity)."""
     spark = events.sparkSession
     base = base or _base(spark, "rollup")
-    sink = LogTable(spark, f"{base}/table", "entity_type string, entity_id string, last_run timestamp, events bigint")
+    key = ["entity_type", "entity_id"]
+    sink = KeyedTable(spark, f"{base}/table", "entity_type string, entity_id string, last_run timestamp, events bigint", key, newest=True)
     agg = (events.filter(F.col("entity_type").isNotNull() & F.col("entity_id").isNotNull()
                          & (F.col("entity_type") != "") & (F.col("entity_id") != ""))
            .groupBy("entity_type", "entity_id")
            .agg(F.max("event_time").alias("last_run"), F.count("*").alias("events")))
 
     def upsert(batch: DataFrame, epoch: int) -> None:
+        sink.compact(epoch)
         sink.append(batch, epoch)  # update mode: full values of the changed keys
 
     run_available(agg.writeStream.outputMode("update").foreachBatch(upsert)
                   .option("checkpointLocation", f"{base}/ckpt"), "rollup")
-    return sink.latest_by_key(["entity_type", "entity_id"])
+    return sink.current()
 
 
 def stream_daily_counts(events: DataFrame, watermark: str = "1 day", base: str | None = None) -> DataFrame:
