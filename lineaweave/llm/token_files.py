@@ -84,16 +84,17 @@ class BatchEncoder:
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids, and how many each has, of chunks that begin with a space and are not hard."""
-        blocks = [chunks[k:k + JOINED] for k in range(0, len(chunks), JOINED)]
+    def joined(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and how many each has, of chunks, which are not hard, with a space before them."""
+        blocks = [chunks.slice(k, JOINED) for k in range(0, len(chunks), JOINED)]
         flat, size = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        for block, ids in zip(blocks, self.plain(["".join(b) for b in blocks]), strict=True):
+        for block, ids in zip(blocks, self.plain([f" {' '.join(strings(b))}" for b in blocks]), strict=True):
             ids = np.array(ids, np.int32)
-            ends = np.cumsum(pc.binary_length(pa.array(block)).to_numpy())
-            to = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
-            if len(ids) != to[-1] or (np.cumsum(self.width[ids])[to - 1] != ends).any():
-                own = self.plain(block)  # it joined chunks that a space parts: each by itself
+            ends = np.cumsum(pc.binary_length(block).to_numpy() + 1, dtype=np.int64)
+            reached = np.cumsum(self.width[ids])
+            to = np.searchsorted(reached, ends) + 1
+            if len(ids) != to[-1] or (reached[to - 1] != ends).any():
+                own = self.plain([f" {c}" for c in strings(block)])  # it joined chunks that a space parts: each by itself
                 flat += [np.array(i, np.int32) for i in own]
                 size.append(np.fromiter(map(len, own), np.int64, len(own)))
                 continue
@@ -120,8 +121,8 @@ class BatchEncoder:
         pieces = split.flatten()
         first, coded = pieces.take(pa.array(starts)), pieces.dictionary_encode()
         # distinct chunks, which stand behind a space; then the texts' first chunks, which do not
-        inner, n_inner = coded.dictionary.to_pylist(), len(coded.dictionary)
-        chunks = inner + first.to_pylist()
+        inner, n_inner = strings(coded.dictionary), len(coded.dictionary)
+        chunks = inner + strings(first)
         code = coded.indices.to_numpy().astype(np.int64)
         code[starts] = n_inner + np.arange(len(first))
         # where each chunk's ids are: among the known ones, which are not hard, or behind them
@@ -132,7 +133,7 @@ class BatchEncoder:
         hard[new], hard[n_inner:] = self.hard(coded.dictionary.take(pa.array(new))), self.hard(first)
         easy = ~hard & (np.arange(len(chunks)) < n_inner)
         side, alone = np.flatnonzero((at < 0) & easy), np.flatnonzero((at < 0) & ~easy)
-        flat, size = self.joined([f" {inner[k]}" for k in side.tolist()])
+        flat, size = self.joined(coded.dictionary.take(pa.array(side)))
         own = self.plain([f" {chunks[k]}" if k < n_inner else chunks[k] for k in alone.tolist()])
         n = len(self.size)
         at[side], at[alone] = n + np.arange(len(side)), n + len(side) + np.arange(len(alone))
@@ -153,6 +154,11 @@ class BatchEncoder:
         return out
 
 
+def strings(column: pa.Array) -> list[str]:
+    """As ``to_pylist``, which makes a scalar of each value first."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def gather(flat: np.ndarray, size: np.ndarray, index: np.ndarray) -> np.ndarray:
     """The runs of ``flat``, of ``size`` each, at ``index``, one after the other."""
     start, size = (np.cumsum(size) - size)[index], size[index]
