@@ -1,4 +1,6 @@
 """Hub keys: results equal the plain forms, and no task takes a hub whole."""
+import random
+
 import pytest
 from lineage_data import lineage_rows
 from pyspark.sql import functions as F
@@ -60,6 +62,37 @@ def test_views_with_hubs_equal_the_plain_views(unhinted, monkeypatch):
     assert [sorted(map(tuple, f(edges).collect())) for f in (G.collapse_to_tables, G.pipeline_deps)] == plain
 
 
+def _collapsed(edges):
+    table = lambda x: not x.startswith("entity:")
+    direct = {(a, b) for a, b in edges if table(a) and table(b)}
+    via = {(a, c) for a, e in edges if table(a) and not table(e) for x, c in edges if x == e and table(c)}
+    return {(a, b) for a, b in direct | via if a != b}
+
+
+@pytest.mark.parametrize("hashes", [True, False])  # False: every set of entities of a size has the same prints
+def test_collapse_is_exact_by_classes(unhinted, monkeypatch, hashes):
+    rng = random.Random(5)
+    tables, entities = [f"c.s.t{i}" for i in range(30)], [f"entity:JOB:{i}" for i in range(7)]
+    edges = {(rng.choice(tables), rng.choice(entities)) for _ in range(60)} | {(rng.choice(entities), rng.choice(tables)) for _ in range(60)}
+    edges |= {(rng.choice(tables), rng.choice(tables)) for _ in range(60)} | {(entities[0], entities[1]), (tables[0], tables[0])}
+    monkeypatch.setattr(G, "CELL", 3)
+    if not hashes:
+        monkeypatch.setattr(G.F, "xxhash64", lambda *c: F.lit(1).cast("long"))
+    got = [tuple(r) for r in G.collapse_to_tables(unhinted.createDataFrame(sorted(edges) * 2, "source string, target string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == _collapsed(edges)
+
+
+def test_collapse_neither_shuffles_nor_compares_the_pairs(unhinted):
+    """Three entities over the same 300 sources and 200 targets: one pair of classes stands for the 60,000 pairs, which come
+    from a join whose rows meet no later exchange or grouping."""
+    edges = [(f"c.s.a{i}", f"entity:JOB:{k}") for i in range(300) for k in range(3)] + [(f"entity:JOB:{k}", f"c.s.b{i}") for i in range(200) for k in range(3)]
+    out = G.collapse_to_tables(unhinted.createDataFrame(edges, "source string, target string"))
+    assert out.count() == 300 * 200
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not plan.startswith(("Aggregate", "Deduplicate"))
+    assert {r[1] for r in G.table_classes(unhinted.createDataFrame([(e, t) for t, e in edges[:900]], "e string, table string")).collect()} == {"c.s.a0"}
+
+
 def test_uncovered_pairs_with_a_hub_table(unhinted, monkeypatch):
     monkeypatch.setattr(SK, "HEAVY", 10)
     pairs = unhinted.createDataFrame([("hub", f"t{i}") for i in range(60)] + [("x", "y")], "source string, target string")
