@@ -5,17 +5,20 @@ hop. With millions of seeds, whose cones overlap, that is seeds x nodes rows in
 every shuffle. Here
 
 - the graph is condensed first: the members of a cycle are in the same cones;
-- every component carries the set of seeds whose cone it is in, as bitmaps of
-  ``BITS`` seeds each (``bucket``), so that a shuffled row stands for up to
-  ``BITS`` pairs of seed and node;
+- every component carries the set of seeds whose cone it is in, as the words of
+  a bitmap: a row of a round has the number of a word and its ``WORD`` seeds, and
+  words without a seed have none. So a row is small, and its size in memory is
+  near that in a shuffle, by which Spark deals rows to tasks. The result has the
+  words of ``BITS`` seeds each (``bucket``) in one row;
 - sets are handed on in topological order, so each is final when it is sent and
-  goes over each edge once: rows shuffled are edges x buckets at most. Up and
+  goes over each edge once: rows shuffled are edges x words at most. Up and
   down cones share the rounds (up counts levels from the other end).
 
 A round writes what it hands on, with the level where it is due, and reads only
 the edges of its own level and the folders that still hold rows due. Seeds are
-numbered in the order of their names, since names of a schema stand together and
-so mostly fall into the same bucket. Hops are not kept; where they matter, or
+numbered by the level of their component, then by name: those that the same nodes
+lead to are mostly of a level, and names of a schema stand together, so they
+mostly fall into the same words. Hops are not kept; where they matter, or
 a hop limit is set, use ``trace_many``."""
 
 from __future__ import annotations
@@ -31,13 +34,15 @@ from ..session import checkpoint_dir, materialize
 from .layering import condensed, numbered, ordinal
 from .skew import cut, heavy_keys, repeated
 
-#: Seeds of a bitmap: the size that Spark's bitmap functions fix.
+#: Seeds of a word, a long.
+WORD = 64
+#: Seeds of a row of the result.
 BITS = 32_768
 
 
 class Cones(NamedTuple):
-    """``sets`` (direction, comp, bucket, bits): the seeds in whose cone a component is, ``members`` (comp, node)
-    and ``seeds`` (seed, number), numbers from 1 as the bitmap functions count."""
+    """``sets`` (direction, comp, bucket, words): the seeds in whose cone a component is, as (word, bits) structs,
+    ``members`` (comp, node) and ``seeds`` (seed, number): bit number % WORD of word number // WORD."""
 
     sets: DataFrame
     members: DataFrame
@@ -53,12 +58,13 @@ def seed_cones(ev: DataFrame, seeds: DataFrame, directions: tuple[str, ...] = ("
     s, t = F.col("source_table_full_name"), F.col("target_table_full_name")
     pairs = materialize(ev.filter(s.isNotNull() & t.isNotNull()).select(s.alias("source"), t.alias("target")).distinct(), "cone-pairs")
     names = seeds.select("seed").dropna().distinct()
-    known = materialize(ordinal(names, ["seed"], "at").select("seed", (F.col("at") + 1).alias("number")), "cone-seeds")
-    ends = [pairs.select(F.col("source").alias("id")), pairs.select(F.col("target").alias("id")), known.select(F.col("seed").alias("id"))]
+    ends = [pairs.select(F.col("source").alias("id")), pairs.select(F.col("target").alias("id")), names.select(F.col("seed").alias("id"))]
     nodes, edges, count = numbered(reduce(DataFrame.unionByName, ends), pairs, [])
     placed = nodes.join(condensed(nodes, edges, count), "n").select("n", F.col("id").alias("node"), "comp", F.col("layer").cast("int").alias("layer"))
     placed = materialize(placed, "cone-components")
     top = placed.agg(F.max("layer")).first()[0] or 0
+    own = names.join(placed, F.col("seed") == F.col("node")).select("seed", "comp", "layer")
+    own = materialize(ordinal(own, ["layer", "seed"], "number"), "cone-seeds")
 
     comp = placed.select("n", "comp", "layer")
     links = edges.join(comp.toDF("s", "cs", "ls"), "s").join(comp.toDF("t", "ct", "lt"), "t").where("cs <> ct")
@@ -75,11 +81,11 @@ def seed_cones(ev: DataFrame, seeds: DataFrame, directions: tuple[str, ...] = ("
     # files sorted by level: a round's filter skips the others by their statistics
     out = materialize(out.repartitionByRange("at", "comp").sortWithinPartitions("at"), "cone-out")
 
-    own = known.join(placed, F.col("seed") == F.col("node"))
+    word, bit = F.expr(f"number div {WORD}").alias("word"), F.expr(f"shiftleft(1L, cast(number % {WORD} AS int))")
+    merged = F.bit_or("bits").alias("bits")
     first = reduce(DataFrame.unionByName, [
-        own.select(F.lit(d).alias("direction"), "comp", F.expr("layer" if d == "down" else f"{top} - layer").alias("level"), "number") for d in directions])
-    first = first.groupBy("direction", "comp", "level", F.bitmap_bucket_number("number").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
+        own.select(F.lit(d).alias("direction"), "comp", F.expr("layer" if d == "down" else f"{top} - layer").alias("level"), word, bit.alias("bits")) for d in directions])
+    first = first.groupBy("direction", "comp", "level", "word").agg(merged)
     base = f"{checkpoint_dir(spark).rstrip('/')}/lw-cones-{uuid.uuid4().hex}"
     sent: list[tuple[str, int]] = []  # a folder and the last level that its rows are due at
 
@@ -91,33 +97,34 @@ def seed_cones(ev: DataFrame, seeds: DataFrame, directions: tuple[str, ...] = ("
 
     send(first)
     schema = spark.read.parquet(sent[0][0]).schema
-    merged = F.bitmap_or_agg("bits").alias("bits")
     for level in range(top):
         due = [path for path, last in sent if last >= level]
         if not due:
             break
-        now = spark.read.schema(schema).parquet(*due).where(F.col("level") == level).groupBy(*key, "bucket").agg(merged)
+        now = spark.read.schema(schema).parquet(*due).where(F.col("level") == level).groupBy(*key, "word").agg(merged)
         if hubs.n:
-            now = repeated(now, hubs, ["bucket"])
+            now = repeated(now, hubs, ["word"])
         handed = now.join(out.where(F.col("at") == level).drop("at"), step).drop("comp").withColumnRenamed("nbr", "comp")
-        send(handed.groupBy("direction", "comp", "level", "bucket").agg(merged))
-    sets = spark.read.schema(schema).parquet(*[path for path, _ in sent]).groupBy(*key, "bucket").agg(merged)
-    return Cones(materialize(sets, "cone-sets"), placed.select("comp", "node"), known)
+        send(handed.groupBy("direction", "comp", "level", "word").agg(merged))
+    rows = spark.read.schema(schema).parquet(*[path for path, _ in sent]).withColumn("bucket", F.expr(f"word div {BITS // WORD}"))
+    # one shuffle by bucket serves both groupings
+    sets = rows.repartition(*key, "bucket").groupBy(*key, "bucket", "word").agg(merged).groupBy(*key, "bucket").agg(
+        F.collect_list(F.struct("word", "bits")).alias("words"))
+    return Cones(materialize(sets, "cone-sets"), placed.select("comp", "node"), own.select("seed", "number"))
 
 
 def seed_counts(cones: Cones) -> DataFrame:
     """(node, direction, n_seeds): of how many seeds a node is an ancestor ('up') or descendant ('down')."""
-    n = cones.sets.groupBy("direction", "comp").agg(F.sum(F.bitmap_count("bits")).alias("n_seeds"))
+    count = F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w["bits"]))
+    n = cones.sets.groupBy("direction", "comp").agg(F.sum(count).alias("n_seeds"))
     return n.join(cones.members, "comp").select("node", "direction", "n_seeds")
 
 
 def _numbers(sets: DataFrame) -> DataFrame:
-    """``sets`` with a row for each bit: its seed's ``number``. Words of 64 bits without any are passed over first."""
-    words = sets.withColumn("_w", F.explode(F.expr("filter(sequence(0, 511), w -> substring(bits, 8 * w + 1, 8) <> X'0000000000000000')")))
-    words = words.withColumn("_v", F.expr("cast(conv(hex(substring(bits, 8 * _w + 1, 8)), 16, -10) AS bigint)")).drop("bits")
-    # the first byte is the word's highest; in a byte the lowest bit comes first
-    bit = F.explode(F.expr("filter(sequence(0, 63), p -> (shiftright(_v, 8 * (7 - p div 8) + p % 8) & 1) = 1)"))
-    return words.withColumn("_p", bit).withColumn("number", (F.col("bucket") - 1) * BITS + F.col("_w") * 64 + F.col("_p") + 1).drop("_w", "_v", "_p")
+    """``sets`` with a row for each bit: its seed's ``number``."""
+    words = sets.select("direction", "comp", F.inline("words"))
+    at = F.explode(F.expr(f"filter(sequence(0, {WORD - 1}), p -> (shiftright(bits, p) & 1L) = 1L)"))
+    return words.withColumn("_p", at).select("direction", "comp", (F.col("word") * WORD + F.col("_p")).alias("number"))
 
 
 def cone_sizes(cones: Cones) -> DataFrame:

@@ -77,3 +77,13 @@ def test_no_seeds_and_no_events(spark):
     assert CL.seed_nodes(CL.seed_cones(ev, none)).count() == 0
     one = spark.createDataFrame([("c.s.n1",)], "seed string")
     assert {tuple(r) for r in CL.seed_nodes(CL.seed_cones(ev.limit(0), one)).collect()} == {("c.s.n1", "c.s.n1", "up"), ("c.s.n1", "c.s.n1", "down")}
+
+
+def test_a_set_holds_only_words_with_seeds(spark):
+    """A seed's own set is one word, whatever the number of seeds, and seeds of a level share words, wherever their names stand."""
+    n = 2_000
+    fan = spark.range(n).selectExpr("concat('c.s.a', id) AS source_table_full_name", "concat('c.s.', if(id % 2 = 0, 'a', 'b'), 'x', id % 60) AS target_table_full_name")
+    seeds = fan.selectExpr("explode(array(source_table_full_name, target_table_full_name)) AS seed")
+    cones = CL.seed_cones(fan, seeds)
+    held = {(r["node"], r["direction"]): len(r["words"]) for r in cones.sets.join(cones.members, "comp").collect()}
+    assert len(held) == 2 * (n + 60) and all(held[f"c.s.a{k}", "up"] <= 2 and held[f"c.s.a{k}", "down"] == 1 for k in range(n))
