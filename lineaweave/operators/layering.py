@@ -249,41 +249,51 @@ def schema_maps(g: G.Graph, k: int | None = None) -> DataFrame:
     neighbours that are entities. Schemas whose subgraph has no edge are
     skipped; with ``k``, the ``k`` schemas with most tables are kept (ties by name).
     Membership is keyed by bare schema name, as the report does."""
-    return _schema_maps(g, k)[0]
+    member, _, ids = _schema_maps(g, k)
+    return member.join(ids.select("n", "id"), "n").select("schema", "id", "rank")
 
 
 def placed_schema_maps(g: G.Graph, k: int | None = None) -> DataFrame:
     """P6 over all schemas: (schema, rank, id, layer, slot, grid_row, grid_col) of every member of every schema's map, all maps
-    layered and placed in the same rounds."""
-    member, edges = _schema_maps(g, k)
-    member = materialize(member, "map-members")
-    layers = materialize(layer_maps(member, edges, ["schema"]), "map-layers")
+    layered and placed in the same rounds, with nodes by number until they are placed."""
+    member, edges, ids = _schema_maps(g, k)
     ranks = member.select("schema", "rank").distinct()
-    return place_maps(g.nodes, layers, ["schema"]).join(ranks, "schema")
-
-
-def _schema_maps(g: G.Graph, k: int | None) -> tuple[DataFrame, DataFrame]:
-    """Members (schema, id, rank) and edges (schema, source, target) of the schemas' maps. Each step is written once, since
-    the next ones read it several times."""
-    nodes = materialize(g.nodes.select("id", "node_type"), "map-nodes")
-    ids = nodes.select("id")
-    e = materialize(g.edges.join(ids.select(F.col("id").alias("source")), "source", "left_semi")
-                    .join(ids.select(F.col("id").alias("target")), "target", "left_semi").select("source", "target"), "map-edges")
-    und = e.select(F.col("source").alias("a"), F.col("target").alias("b")) \
-        .unionByName(e.select(F.col("target").alias("a"), F.col("source").alias("b"))).distinct()
-    tables = nodes.filter(F.col("node_type") == "table").select("id", schema_of(F.col("id")).alias("schema"))
-    nb = tables.join(und.withColumnRenamed("a", "id"), "id").select("schema", F.col("b").alias("id")).distinct()
-    ent_nb = (nb.filter(F.col("id").startswith("entity:"))
-              .join(und.withColumnRenamed("a", "id"), "id").select("schema", F.col("b").alias("id")))
-    member = materialize(tables.unionByName(nb).unionByName(ent_nb).distinct(), "map-members")
-    sub_edges = materialize(e.join(member.select("schema", F.col("id").alias("source")), "source")
-                            .join(member.select("schema", F.col("id").alias("target")), ["schema", "target"]), "map-links")
+    member = member.select("schema", F.col("n").alias("id"))
+    layers = materialize(layer_maps(member, edges.toDF("schema", "source", "target"), ["schema"]), "map-layers")
+    placed = _placed(layers, ["schema"], ["id"]).withColumnRenamed("id", "n")
+    return placed.join(ids.select("n", "id"), "n").join(ranks, "schema").drop("n")
+
+
+def _label_key() -> F.Column:
+    return F.lower(F.coalesce(F.col("name"), F.col("id")))
+
+
+def _schema_maps(g: G.Graph, k: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (schema, n, rank) and edges (schema, s, t) of the schemas' maps, and the nodes (id, n, entity) by number. Numbers
+    are in the order in which maps place nodes. Each step is written once, since the next ones read it several times."""
+    named = g.nodes if "name" in g.nodes.columns else g.nodes.withColumn("name", F.lit(None).cast("string"))
+    nodes = materialize(named.select("id", "node_type", "name"), "map-nodes")
+    ids = ordinal(nodes.groupBy("id").agg(F.min(_label_key()).alias("_k")), ["_k", "id"], "n").select(
+        "id", "n", F.col("id").startswith("entity:").alias("entity"))
+    e = materialize(g.edges.join(ids.select(F.col("id").alias("source"), F.col("n").alias("s"), F.col("entity").alias("es")), "source")
+                    .join(ids.select(F.col("id").alias("target"), F.col("n").alias("t"), F.col("entity").alias("et")), "target")
+                    .select("s", "t", "es", "et"), "map-edges")
+    und = e.select(F.col("s").alias("a"), F.col("t").alias("n"), F.col("et").alias("entity")) \
+        .unionByName(e.select(F.col("t").alias("a"), F.col("s").alias("n"), F.col("es").alias("entity"))).distinct()
+    tables = materialize(nodes.filter(F.col("node_type") == "table").join(ids.select("id", "n"), "id")
+                         .select("n", schema_of(F.col("id")).alias("schema")), "map-tables")
+    nb = tables.withColumnRenamed("n", "a").join(und, "a").select("schema", "n", "entity").distinct()
+    ent_nb = nb.filter("entity").select("schema", F.col("n").alias("a")).join(und, "a").select("schema", "n")
+    member = materialize(tables.select("schema", "n").unionByName(nb.select("schema", "n")).unionByName(ent_nb).distinct(), "map-members")
+    sub_edges = materialize(e.join(member.select("schema", F.col("n").alias("s")), "s")
+                            .join(member.select("schema", F.col("n").alias("t")), ["schema", "t"]).select("schema", "s", "t"), "map-links")
     has_edges = sub_edges.select("schema").distinct()
     sizes = tables.groupBy("schema").agg(F.count("*").alias("n_tables")).join(has_edges, "schema", "left_semi")
     if k is not None:
         sizes = sizes.orderBy(F.desc("n_tables"), F.asc("schema")).limit(k)
     ranked = ordinal(sizes.withColumn("_n", -F.col("n_tables")), ["_n", "schema"], "rank")
-    return member.join(ranked.select("schema", (F.col("rank") + 1).cast("int").alias("rank")), "schema"), sub_edges
+    ranked = ranked.select("schema", (F.col("rank") + 1).cast("int").alias("rank"))
+    return member.join(ranked, "schema"), sub_edges, ids
 
 
 def ordinal(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
@@ -303,9 +313,14 @@ def ordinal(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
 def place_maps(nodes: DataFrame, layers: DataFrame, key: list[str]) -> DataFrame:
     """D14 for many maps: placement of each node (key, id) on its map. Connected nodes get (layer, slot) with slots ordered by
     lower(name or id) within a layer; orphans get a grid (row, col) with max(max_layer + 1, 4) per row."""
-    names = nodes.select("id", F.lower(F.coalesce(F.col("name"), F.col("id"))).alias("_k")).dropDuplicates(["id"])
+    names = nodes.select("id", _label_key().alias("_k")).dropDuplicates(["id"])
+    return _placed(layers.join(names, "id"), key, ["_k", "id"])
+
+
+def _placed(layers: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Placement with the nodes of a layer, and the orphans, under ``order``."""
     group = F.coalesce("layer", F.lit(-1))
-    ranked = materialize(ordinal(layers.join(names, "id").withColumn("_group", group), [*key, "_group", "_k", "id"]), "placed")
+    ranked = materialize(ordinal(layers.withColumn("_group", group), [*key, "_group", *order]), "placed")
     starts = ranked.groupBy(*key, "_group").agg(F.min("idx").alias("_s"))
     wide = ranked.groupBy(*key).agg(F.greatest(F.coalesce(F.max("layer") + 1, F.lit(0)), F.lit(4)).alias("_wide"))
     at = ranked.join(starts, [*key, "_group"]).withColumn("_at", F.col("idx") - F.col("_s"))

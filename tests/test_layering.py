@@ -129,3 +129,15 @@ def test_schema_maps_return_every_schema_with_its_rank(spark):
     assert {(r["schema"], r["id"], r["rank"]) for r in LY.schema_maps(graph, 12).collect()} == {w for w in want if w[2] <= 12}
     assert "Window" not in maps._jdf.queryExecution().toString()
     assert "schema_maps_all" in E.queries() and "LIMIT" not in E.oracle_sql()["schema_maps_all"]
+
+
+def test_schema_maps_join_by_number_in_display_order(spark):
+    from lineaweave.operators import graph as G
+    names = {"c.s.t0": "Zinc", "c.s.t1": "amber", "c.s.t2": "lone", "c.s.t3": "Lone2", "entity:JOB:1": None}
+    nodes = spark.createDataFrame([(i, "entity" if i.startswith("entity") else "table", n) for i, n in names.items()], "id string, node_type string, name string")
+    edges = spark.createDataFrame([("c.s.t0", "entity:JOB:1"), ("c.s.t1", "entity:JOB:1")], "source string, target string")
+    links = LY._schema_maps(G.Graph(nodes, edges), None)[1]
+    assert links.dtypes == [("schema", "string"), ("s", "bigint"), ("t", "bigint")]
+    got = {r["id"]: (r["layer"], r["slot"], r["grid_row"], r["grid_col"]) for r in LY.placed_schema_maps(G.Graph(nodes, edges)).collect()}
+    assert got == {"c.s.t1": (0, 0, None, None), "c.s.t0": (0, 1, None, None), "entity:JOB:1": (1, 0, None, None),
+                   "c.s.t2": (None, None, 0, 0), "c.s.t3": (None, None, 0, 1)}

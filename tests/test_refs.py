@@ -55,3 +55,15 @@ def test_type_label(spark):
     label, cross = R.type_label("t")
     assert [tuple(r) for r in df.select(label, cross).collect()] == [
         ("MAT VIEW", False), ("STORAGE", True), ("TABLE", False)]
+
+
+def test_bulk_rows_compile_to_methods_the_jvm_compiles(spark):
+    """HotSpot leaves methods of more than 8,000 bytes to the interpreter."""
+    import re
+
+    from lineaweave.operators import graph as G
+    names = [*G.ROW_KEY, "source_type", "target_type"]
+    plan = G.normalize_rows(spark.range(10).selectExpr(*[f"if(id % 2 = 0, string(id), null) AS {c}" for c in names]))._jdf.queryExecution()
+    text = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan.executedPlan())
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) < 8000
