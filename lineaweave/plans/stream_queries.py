@@ -19,16 +19,19 @@ from .common import register
 TL = ("table_lineage",)
 EV = ("ev", C.EV_SQL)
 _FILES = 8
+#: Bytes of a row group of the event files: Spark splits a file between tasks only where groups end.
+_GROUP_BYTES = 8 << 20
 
 
 def _event_files(spark, sf) -> tuple[str, object]:
     """The lineage log as time-ordered files (the stream's input): one write,
-    range-partitioned by event time; then the files' modification times, by
+    range-partitioned by event time, in small row groups, so that a few large
+    files are read by as many tasks as there are cores; then the files' modification times, by
     which a file stream orders them, are set in the order of the ranges, as
     in a live log."""
     ev = C.fx(spark, sf, "table_lineage")
     path = f"{checkpoint_dir(spark).rstrip('/')}/event-files-{uuid.uuid4().hex}"
-    ev.repartitionByRange(_FILES, "event_time").write.parquet(path)
+    ev.repartitionByRange(_FILES, "event_time").write.option("parquet.block.size", _GROUP_BYTES).parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     parts = sorted((f.getPath() for f in files.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda f: f.getName())

@@ -41,6 +41,9 @@ from ..session import checkpoint_dir, materialize
 
 EDGE_KEY = list(G.ROW_KEY)
 
+#: Rows of a bucket in a file of a keyed table, about.
+PART_ROWS = 250_000
+
 
 def _base(spark: SparkSession, tag: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/stream-{tag}-{uuid.uuid4().hex}"
@@ -151,12 +154,18 @@ class KeyedTable:
         """Rows of earlier epochs in the buckets that ``batch`` touches; at most ``buckets`` numbers reach the driver."""
         return self.read(last=epoch - 1, only=[r[0] for r in batch.select(self.bucket()).distinct().collect()])
 
-    def append(self, df: DataFrame, epoch: int) -> None:
-        self._write(df.withColumn("_epoch", F.lit(epoch).cast("long")).withColumn("_bucket", self.bucket()), (epoch, epoch))
+    def append(self, df: DataFrame, epoch: int, most: int | None = None) -> None:
+        """Write an epoch's rows, ``most`` at most; counted if that is not known."""
+        most = df.count() if most is None else most
+        self._write(df.withColumn("_epoch", F.lit(epoch).cast("long")).withColumn("_bucket", self.bucket()), (epoch, epoch), most)
+
+    def parts(self, most: int) -> int:
+        """Files of a bucket when a run of ``most`` rows is written: as many as its rows need, as a file costs time however small it is."""
+        return 1 + most // (self.buckets * PART_ROWS)
 
-    def _write(self, df: DataFrame, run: tuple[int, int]) -> None:
-        # a bucket over several tasks, so that a large one is not one task's; "static": a half-written run goes whole
-        dealt = df.repartition(F.col("_bucket"), F.pmod(F.xxhash64(*self.keys, F.lit(1)), F.lit(16)))
+    def _write(self, df: DataFrame, run: tuple[int, int], most: int) -> None:
+        # a large bucket over several tasks; "static": a half-written run goes whole
+        dealt = df.repartition(F.col("_bucket"), F.pmod(F.xxhash64(*self.keys, F.lit(1)), F.lit(self.parts(most))))
         dealt.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("_bucket").parquet(str(self._path(run).toString()))
 
     def compact(self, epoch: int) -> None:
@@ -165,7 +174,8 @@ class KeyedTable:
         while epoch and epoch % width == 0:
             run = (epoch - width, epoch - 1)
             if run not in self._stored():
-                self._write(self._valid(self.read(*run)), run)
+                rows = self.read(*run)
+                self._write(self._valid(rows), run, rows.count())
                 for old in self._stored():  # what wider runs of an earlier merge stand for
                     if old[1] < run[0] and any(w != old and w[0] <= old[0] and old[1] <= w[1] for w in self._stored()):
                         self.files.delete(self._path(old), True)
@@ -216,7 +226,7 @@ def stream_edges(events: DataFrame, watermark: str | None = None, base: str | No
         b = materialize(batch.distinct(), "stream-batch")  # read twice below; the source only once
         cur = sink.lookup(b, epoch)
         fresh = b.join(cur, [b[c].eqNullSafe(cur[c]) for c in EDGE_KEY], "left_anti")
-        sink.append(fresh, epoch)  # rows no earlier epoch stored; a replay rewrites the same set
+        sink.append(fresh, epoch, b.count())  # rows no earlier epoch stored; a replay rewrites the same set
 
     run_available(s.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/ckpt"), "edges")
     return sink.current()
@@ -237,7 +247,8 @@ def stream_entity_rollup(events: DataFrame, base: str | None = None) -> DataFram
 
     def upsert(batch: DataFrame, epoch: int) -> None:
         sink.compact(epoch)
-        sink.append(batch, epoch)  # update mode: full values of the changed keys
+        b = materialize(batch, "stream-batch")  # counted and written; the state only once
+        sink.append(b, epoch, b.count())  # update mode: full values of the changed keys
 
     run_available(agg.writeStream.outputMode("update").foreachBatch(upsert)
                   .option("checkpointLocation", f"{base}/ckpt"), "rollup")

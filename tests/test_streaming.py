@@ -118,3 +118,11 @@ def test_stream_of_many_epochs_equals_the_batch(spark):
     assert rollup == {r["entity_id"]: r["count"] for r in every.groupBy("entity_id").count().collect()}
     names = {p.name for p in __import__("pathlib").Path(f"{base.removeprefix('file:')}/edges/table").iterdir()}
     assert "run-0-7" in names
+
+
+def test_small_runs_have_a_file_for_each_bucket(spark, tmp_path):
+    t = ST.KeyedTable(spark, f"{tmp_path}/t", "k string", ["k"])
+    t.append(spark.range(2000).selectExpr("concat('k', id) AS k"), 0)
+    assert t.current().count() == 2000
+    assert len(list(tmp_path.glob("t/run-0-0/_bucket=*/part-*"))) == 64
+    assert t.parts(2000) == 1 and t.parts(64 * ST.PART_ROWS * 3) == 4
