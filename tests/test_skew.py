@@ -6,6 +6,7 @@ from lineage_data import lineage_rows
 from pyspark.sql import functions as F
 
 from lineaweave.operators import graph as G
+from lineaweave.operators import reports as RP
 from lineaweave.operators import skew as SK
 from lineaweave.operators import traverse as TV
 
@@ -93,6 +94,20 @@ def test_collapse_neither_shuffles_nor_compares_the_pairs(unhinted):
     assert {r[1] for r in G.table_classes(unhinted.createDataFrame([(e, t) for t, e in edges[:900]], "e string, table string")).collect()} == {"c.s.a0"}
 
 
+@pytest.mark.parametrize("view", [G.collapse_to_tables, RP.export_lineage_rows])
+def test_collapsed_pairs_are_dealt_by_their_number(unhinted, monkeypatch, view):
+    """One entity over 300 sources and 200 targets is one pair of classes, a row; its 60,000 pairs still come from many tasks,
+    and a task opens the list of sources a name at a time."""
+    monkeypatch.setattr(G, "PAIRS", 3_000, raising=False)
+    monkeypatch.setattr(G, "CELL", 20)
+    edges = [(f"c.s.a{i}", "entity:JOB:1") for i in range(300)] + [("entity:JOB:1", f"c.s.b{i}") for i in range(200)]
+    out = view(unhinted.createDataFrame(edges + [("c.s.a1", "c.s.z"), ("c.s.a2", "c.s.b2")], "source string, target string"))
+    rows = [n for _, n in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(rows) == 300 * 200 + 1 and len(rows) > 10 and max(rows) < sum(rows) / 4
+    opened = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate explode(transform(_sources" in line]
+    assert opened and not any("*(" in line for line in opened)
+
+
 def test_uncovered_pairs_with_a_hub_table(unhinted, monkeypatch):
     monkeypatch.setattr(SK, "HEAVY", 10)
     pairs = unhinted.createDataFrame([("hub", f"t{i}") for i in range(60)] + [("x", "y")], "source string, target string")
